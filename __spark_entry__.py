@@ -267,7 +267,7 @@ _LINEITEM_BILLS = """
 bills AS (
   SELECT CAST(l_shipdate AS DATE) AS usage_date, coalesce(p_type, '') AS service,
          coalesce(r_name, '') AS region, 'part-' || l_partkey AS resource_id,
-         CAST(l_extendedprice AS DECIMAL(20,6)) AS cost_usd
+         CAST(l_extendedprice AS DECIMAL(18,6)) AS cost_usd
   FROM lineitem
   LEFT JOIN part ON p_partkey = l_partkey
   LEFT JOIN supplier ON s_suppkey = l_suppkey
@@ -279,7 +279,7 @@ _EVENT_BILLS = """
 bills AS (
   SELECT CAST(ts AS DATE) AS usage_date, coalesce(event_type, '') AS service,
          'k-' || user_id % 4 AS region, 'user-' || user_id AS resource_id,
-         CAST(value AS DECIMAL(20,6)) AS cost_usd
+         CAST(value AS DECIMAL(18,6)) AS cost_usd
   FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
 )"""
 _RANGE_SQL = f"usage_date BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"

@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from costlens import schema as S
 
 
-def total_cost() -> Column:
-    """Exact decimal sum of cost."""
-    return F.sum(S.COST)
+def total_cost(bills: DataFrame) -> Column:
+    """Exact decimal sum of cost over raw lines or a rollup of them.
+
+    Lines are summed as whole dollars and fractions of one, both of which Spark
+    adds as 64-bit integers. A sum of the decimals themselves would add arbitrary
+    precision numbers line by line, at about twice the cost of the whole scan.
+    """
+    cost = F.col(S.COST)
+    if bills.schema[S.COST].dataType != S.MONEY:
+        return F.sum(cost)
+    dollars = cost.cast("bigint")
+    fraction = (cost - dollars.cast(S.MONEY)).cast("decimal(8,6)")
+    return F.sum(dollars) + F.sum(fraction)
 
 
 def line_count(bills: DataFrame) -> Column:

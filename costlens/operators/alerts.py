@@ -53,7 +53,7 @@ PORTUGUESE = Wording(
 
 def _month_service(bills: DataFrame) -> DataFrame:
     return bills.groupBy(month_of(S.USAGE_DATE).alias(S.MONTH), S.SERVICE).agg(
-        total_cost().alias(S.COST)
+        total_cost(bills).alias(S.COST)
     )
 
 
@@ -79,10 +79,13 @@ def growth_alerts(
     ``complete_months_only``. A service needs lines in both and a positive cost
     in the earlier one. Fewer than two months give no alert.
     """
-    per_day = bills.groupBy(S.USAGE_DATE, S.SERVICE).agg(total_cost().alias(S.COST))
-    days = per_day.groupBy(S.USAGE_DATE).agg(total_cost().alias(S.COST))
+    # The null test the join below implies, made on both sides of it: the two
+    # then share one scan and shuffle of the bills.
+    dated = bills.filter(month_of(S.USAGE_DATE).isNotNull())
+    per_day = dated.groupBy(S.USAGE_DATE, S.SERVICE).agg(total_cost(bills).alias(S.COST))
+    days = per_day.groupBy(S.USAGE_DATE).agg(F.sum(S.COST).alias(S.COST))
     months = days.groupBy(month_of(S.USAGE_DATE).alias(S.MONTH)).agg(
-        F.count(F.lit(1)).alias("n_days"), total_cost().alias(S.COST)
+        F.count(F.lit(1)).alias("n_days"), F.sum(S.COST).alias(S.COST)
     )
     if complete_months_only:
         months = months.filter(F.col("n_days") >= min_days)
@@ -114,7 +117,13 @@ def growth_alerts(
 
 
 def _resource_totals(bills: DataFrame) -> DataFrame:
-    return bills.groupBy(S.RESOURCE, S.SERVICE).agg(as_double(total_cost()).alias("cost"))
+    # With the null test that joins on the service imply made here, all uses of
+    # the totals share one scan and shuffle of the bills.
+    return (
+        bills.filter(F.col(S.SERVICE).isNotNull())
+        .groupBy(S.RESOURCE, S.SERVICE)
+        .agg(as_double(total_cost(bills)).alias("cost"))
+    )
 
 
 def _service_stats(totals: DataFrame, std_factor: float, min_resources: int) -> DataFrame:
@@ -155,7 +164,7 @@ def outlier_alerts(
     stats = _service_stats(totals, std_factor, min_resources)
     # equal costs have no outlier, whatever the last bit of their mean
     outliers = (
-        join_per_key(totals, stats, S.SERVICE, weight="resource_count")
+        join_per_key(totals, stats, S.SERVICE, spread_by=S.RESOURCE)
         .filter((F.col("cost_std") > 0) & (F.col("cost") > F.col("threshold")))
         .select(
             F.lit(wording.outlier_type).alias("alert_type"),

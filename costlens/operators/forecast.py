@@ -17,7 +17,7 @@ from costlens.functions.text import dollars, one_decimal
 
 
 def _days(bills: DataFrame, by: Sequence[str]) -> DataFrame:
-    return bills.groupBy(*by, S.USAGE_DATE).agg(as_double(total_cost()).alias("total_cost"))
+    return bills.groupBy(*by, S.USAGE_DATE).agg(as_double(total_cost(bills)).alias("total_cost"))
 
 
 def trend_features(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -31,15 +31,17 @@ def kpis(bills: DataFrame, months: DataFrame) -> DataFrame:
     ``bills`` are the filtered lines or their rollup; ``months`` the complete
     months of all lines, which the filters do not touch. No bills, no row.
     """
-    by_day_service = bills.groupBy(S.USAGE_DATE, S.SERVICE).agg(total_cost().alias(S.COST))
-    days = by_day_service.groupBy(S.USAGE_DATE).agg(total_cost().alias(S.COST))
-    services = by_day_service.groupBy(S.SERVICE).agg(total_cost().alias(S.COST))
+    by_day_service = bills.groupBy(S.USAGE_DATE, S.SERVICE).agg(
+        total_cost(bills).alias(S.COST)
+    )
+    days = by_day_service.groupBy(S.USAGE_DATE).agg(F.sum(S.COST).alias(S.COST))
+    services = by_day_service.groupBy(S.SERVICE).agg(F.sum(S.COST).alias(S.COST))
     # the smallest pair: largest cost first, then the alphabetically first name
     top = services.agg(F.min_by(S.SERVICE, F.struct(-F.col(S.COST), F.col(S.SERVICE))))
     total = as_double(F.col(S.COST))
     change = F.col("month_change_pct")
     return (
-        days.agg(total_cost().alias(S.COST), F.count(F.lit(1)).alias("n_days"))
+        days.agg(F.sum(S.COST).alias(S.COST), F.count(F.lit(1)).alias("n_days"))
         .filter(F.col("n_days") > 0)
         .select(
             total.alias("total_cost"),

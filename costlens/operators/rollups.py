@@ -15,7 +15,7 @@ from costlens.functions.numeric import line_count, total_cost
 
 def _rollup(bills: DataFrame, *keys: str) -> DataFrame:
     return bills.groupBy(*keys).agg(
-        total_cost().alias(S.COST), line_count(bills).alias(S.LINES)
+        total_cost(bills).alias(S.COST), line_count(bills).alias(S.LINES)
     )
 
 

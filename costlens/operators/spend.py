@@ -21,7 +21,7 @@ from costlens.functions.numeric import (
 
 def _days(bills: DataFrame, *by: str) -> DataFrame:
     """Exact cost per day, with optional further keys."""
-    return bills.groupBy(*by, S.USAGE_DATE).agg(total_cost().alias(S.COST))
+    return bills.groupBy(*by, S.USAGE_DATE).agg(total_cost(bills).alias(S.COST))
 
 
 def daily_spend(bills: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def all_months(bills: DataFrame) -> DataFrame:
         _days(bills)
         .groupBy(month_of(S.USAGE_DATE).alias(S.MONTH))
         .agg(
-            round_half_up(total_cost()).alias("total_cost"),
+            round_half_up(F.sum(S.COST)).alias("total_cost"),
             F.count(F.lit(1)).cast("bigint").alias("days_with_data"),
         )
     )
@@ -89,7 +89,7 @@ def monthly_change(bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS) -> D
 def region_ranking(bills: DataFrame) -> DataFrame:
     """Cost, lines and share of the total per region; shares are of rounded sums."""
     regions = bills.groupBy(S.REGION).agg(
-        round_half_up(total_cost()).alias("total_cost"),
+        round_half_up(total_cost(bills)).alias("total_cost"),
         line_count(bills).alias("line_count"),
     )
     # Every region has lines. Naming the count here keeps the subquery's
@@ -110,15 +110,15 @@ def region_totals(bills: DataFrame) -> DataFrame:
     """Unrounded cost per region, ascending."""
     return (
         bills.groupBy(S.REGION)
-        .agg(as_double(total_cost()).alias("total_cost"))
+        .agg(as_double(total_cost(bills)).alias("total_cost"))
         .orderBy("total_cost", S.REGION)
     )
 
 
 def service_distribution(bills: DataFrame) -> DataFrame:
     """Cost and share of the total per service, largest first."""
-    services = bills.groupBy(S.SERVICE).agg(total_cost().alias(S.COST))
-    grand_total = services.agg(as_double(total_cost())).scalar()
+    services = bills.groupBy(S.SERVICE).agg(total_cost(bills).alias(S.COST))
+    grand_total = services.agg(as_double(F.sum(S.COST))).scalar()
     cost = as_double(F.col(S.COST))
     return services.select(
         S.SERVICE,
@@ -134,7 +134,7 @@ def top_resources(bills: DataFrame, n: int = S.TOP_RESOURCES) -> DataFrame:
     """The ``n`` costliest resources, ranked by the rounded sum."""
     return (
         bills.groupBy(*_RESOURCE_KEYS)
-        .agg(round_half_up(total_cost()).alias("total_cost"))
+        .agg(round_half_up(total_cost(bills)).alias("total_cost"))
         .orderBy(F.desc("total_cost"), *_RESOURCE_KEYS)
         .limit(n)
         .withColumn("total_cost", as_double(F.col("total_cost")))
@@ -145,7 +145,7 @@ def top_resources_exact(bills: DataFrame, n: int = S.TOP_RESOURCES) -> DataFrame
     """The ``n`` costliest resources, ranked by the exact sum and then rounded."""
     return (
         bills.groupBy(*_RESOURCE_KEYS)
-        .agg(total_cost().alias("total_cost"))
+        .agg(total_cost(bills).alias("total_cost"))
         .orderBy(F.desc("total_cost"), *_RESOURCE_KEYS)
         .limit(n)
         .withColumn("total_cost", round_half_even(F.col("total_cost")))
@@ -157,7 +157,7 @@ def weekday_profile(bills: DataFrame, labels: Sequence[str] = S.WEEKDAYS_EN) ->
     mean = F.try_divide(as_double(F.col(S.COST)), F.col("line_count"))
     return (
         bills.groupBy(weekday_label(S.USAGE_DATE, labels).alias("weekday"))
-        .agg(total_cost().alias(S.COST), line_count(bills).alias("line_count"))
+        .agg(total_cost(bills).alias(S.COST), line_count(bills).alias("line_count"))
         .select("weekday", round_half_up(mean).alias("avg_cost"), "line_count")
         .orderBy("weekday")
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens import schema as S
@@ -23,10 +23,26 @@ def _wanted(columns: Iterable[str]) -> list[str]:
     return [c for c in S.BILL_COLUMNS if c in wanted]
 
 
+def _cents(price: str) -> Column:
+    """An amount as whole cents, which is what the tables' doubles hold."""
+    return F.rint(F.col(price) * 100).cast("bigint")
+
+
+def _dollars(cents: str) -> Column:
+    return (F.col(cents).cast("decimal(19,0)") / 100).cast("decimal(27,6)")
+
+
 def bill_from_lineitem(
     spark: SparkSession, sf_dir: str, columns: Iterable[str] = S.BILL_COLUMNS
 ) -> DataFrame:
-    """Line items as bills: part type is the service, supplier's region the region."""
+    """Line items as bills: part type is the service, supplier's region the region.
+
+    Where the date or else the part and supplier are not asked for, lines are
+    summed by the keys that are, as in a rollup, before any join. A part with
+    very many lines then reaches the join as one row, and the shuffle by its key
+    serves the sum and the join. By date and part there is little to sum; there
+    a hot part is left to the adaptive skew join.
+    """
     wanted = _wanted(columns)
 
     def table(name: str) -> DataFrame:
@@ -35,27 +51,40 @@ def bill_from_lineitem(
     lines = table("lineitem").filter(
         F.col("l_shipdate").isNotNull() & F.col("l_extendedprice").isNotNull()
     )
+    measures = {S.COST: F.col("l_extendedprice").cast(S.MONEY)}
+    source = {S.SERVICE: "l_partkey", S.RESOURCE: "l_partkey", S.REGION: "l_suppkey"}
+    keys = sorted({source[c] for c in wanted if c in source})
+    if S.USAGE_DATE in wanted:
+        lines = lines.withColumn("l_day", F.to_date("l_shipdate"))
+        keys.append("l_day")
+    if S.USAGE_DATE not in wanted or len(keys) == 1:
+        lines = lines.groupBy(*keys).agg(
+            F.sum(_cents("l_extendedprice")).alias("cents"), F.count(F.lit(1)).alias(S.LINES)
+        )
+        measures = {S.COST: _dollars("cents"), S.LINES: F.col(S.LINES)}
+
+    # Each dimension is joined as a plain table: from a file's size Spark can
+    # tell whether to broadcast it, from a join's it cannot.
     if S.SERVICE in wanted:
-        part = table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-        lines = lines.join(part, "l_partkey", "left")
+        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if S.REGION in wanted:
-        nation = table("nation").join(
-            table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
-        )
-        supplier = (
-            table("supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-            .select(F.col("s_suppkey").alias("l_suppkey"), "r_name")
-        )
-        lines = lines.join(supplier, "l_suppkey", "left")
+        for name, ours, theirs in (
+            ("supplier", "l_suppkey", "s_suppkey"),
+            ("nation", "s_nationkey", "n_nationkey"),
+            ("region", "n_regionkey", "r_regionkey"),
+        ):
+            lines = lines.join(table(name), F.col(ours) == F.col(theirs), "left")
     exprs = {
-        S.USAGE_DATE: F.to_date("l_shipdate"),
+        S.USAGE_DATE: F.col("l_day"),
         S.SERVICE: F.coalesce(F.col("p_type"), F.lit("")),
         S.REGION: F.coalesce(F.col("r_name"), F.lit("")),
         S.RESOURCE: F.concat(F.lit("part-"), F.col("l_partkey").cast("string")),
-        S.COST: F.col("l_extendedprice").cast(S.MONEY),
+        **measures,
     }
-    return lines.select(*[exprs[c].alias(c) for c in wanted])
+    shown = [c for c in wanted if c != S.COST]
+    if S.COST in wanted:
+        shown += measures
+    return lines.select(*[exprs[c].alias(c) for c in shown])
 
 
 def bill_from_events(
