@@ -15,12 +15,11 @@ def total_cost(bills: DataFrame) -> Column:
     adds as 64-bit integers. A sum of the decimals themselves would add arbitrary
     precision numbers line by line, at about twice the cost of the whole scan.
     """
-    cost = F.col(S.COST)
     if bills.schema[S.COST].dataType != S.MONEY:
-        return F.sum(cost)
-    dollars = cost.cast("bigint")
-    fraction = (cost - dollars.cast(S.MONEY)).cast("decimal(8,6)")
-    return F.sum(dollars) + F.sum(fraction)
+        return F.sum(S.COST)
+    dollars = f"cast({S.COST} as bigint)"
+    fraction = f"{S.COST} - cast({dollars} as {S.MONEY.simpleString()})"
+    return F.expr(f"sum({dollars}) + sum(cast({fraction} as decimal(8,6)))")
 
 
 def line_count(bills: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from costlens import schema as S
-from costlens.sources import bill_csv, bill_table
+from costlens.sources import bill_csv, bill_table, files
 
 
 class RejectedLines(ValueError):
@@ -49,7 +49,7 @@ def load_bills(
     rejects = seen.get["rejects"]
     if rejects:
         if strict:
-            bill_table.discard(spark, staged)
+            files.delete(spark, staged)
             raise RejectedLines(f"{csv_path}: lines rejected, table left as it was")
         rejected = bill_csv.rejected_lines(parsed)
         if reject_path is not None:

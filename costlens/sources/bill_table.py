@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from costlens import schema as S
 from costlens.functions.dates import month_of
+from costlens.sources import files
 
 _STORED = T.StructType([*S.BILL_LINE.fields, T.StructField(S.MONTH, T.StringType())])
 # Spark's file listing skips names that start with an underscore.
@@ -71,31 +72,20 @@ def _write_offsets(spark: SparkSession, path: str) -> None:
 def publish(spark: SparkSession, staged: str, path: str) -> None:
     """Put the staged folder in the table's place; a failure leaves the old table."""
     old = f"{staged}__old"
-    fs = _file_system(spark, path)
-    replaced = fs.exists(_path(spark, path))
-    if replaced and not fs.rename(_path(spark, path), _path(spark, old)):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(_path(spark, staged), _path(spark, path)):
+    replaced = files.exists(spark, path)
+    if replaced:
+        files.move(spark, path, old)
+    try:
+        files.move(spark, staged, path)
+    except Exception:
         if replaced:
-            fs.rename(_path(spark, old), _path(spark, path))
-        raise OSError(f"cannot move {staged} to {path}")
+            files.move(spark, old, path)
+        raise
     if replaced:
-        fs.delete(_path(spark, old), True)
-
-
-def discard(spark: SparkSession, staged: str) -> None:
-    _file_system(spark, staged).delete(_path(spark, staged), True)
+        files.delete(spark, old)
 
 
 def replace_bills(bills: DataFrame, path: str) -> None:
     """Full refresh of the table with ``bills``."""
     publish(bills.sparkSession, stage_bills(bills, path), path)
 
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _file_system(spark: SparkSession, path: str):
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return _path(spark, path).getFileSystem(conf)

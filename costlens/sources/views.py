@@ -9,10 +9,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens import schema as S
+from costlens.sources.files import stored_bytes
+
+BROADCAST_BYTES = 10 * 1024**2
+
+
+# Declared so that opening a table starts no job to read its schema.
+_SCHEMAS = {
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_extendedprice double, "
+    "l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_type string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
 
 
 def _wanted(columns: Iterable[str]) -> list[str]:
@@ -23,13 +38,9 @@ def _wanted(columns: Iterable[str]) -> list[str]:
     return [c for c in S.BILL_COLUMNS if c in wanted]
 
 
-def _cents(price: str) -> Column:
-    """An amount as whole cents, which is what the tables' doubles hold."""
-    return F.rint(F.col(price) * 100).cast("bigint")
-
-
-def _dollars(cents: str) -> Column:
-    return (F.col(cents).cast("decimal(19,0)") / 100).cast("decimal(27,6)")
+# An amount as whole cents, which is what the tables' doubles hold, and back.
+_CENTS = "cast(rint(l_extendedprice * 100) as bigint)"
+_DOLLARS = "cast(cast(cents as decimal(19,0)) / 100 as decimal(27,6))"
 
 
 def bill_from_lineitem(
@@ -46,12 +57,10 @@ def bill_from_lineitem(
     wanted = _wanted(columns)
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = table("lineitem").filter(
-        F.col("l_shipdate").isNotNull() & F.col("l_extendedprice").isNotNull()
-    )
-    measures = {S.COST: F.col("l_extendedprice").cast(S.MONEY)}
+    lines = table("lineitem").filter("l_shipdate is not null and l_extendedprice is not null")
+    measures = {S.COST: f"cast(l_extendedprice as {S.MONEY.simpleString()})"}
     source = {S.SERVICE: "l_partkey", S.RESOURCE: "l_partkey", S.REGION: "l_suppkey"}
     keys = sorted({source[c] for c in wanted if c in source})
     if S.USAGE_DATE in wanted:
@@ -59,32 +68,34 @@ def bill_from_lineitem(
         keys.append("l_day")
     if S.USAGE_DATE not in wanted or len(keys) == 1:
         lines = lines.groupBy(*keys).agg(
-            F.sum(_cents("l_extendedprice")).alias("cents"), F.count(F.lit(1)).alias(S.LINES)
+            F.expr(f"sum({_CENTS})").alias("cents"), F.expr("count(1)").alias(S.LINES)
         )
-        measures = {S.COST: _dollars("cents"), S.LINES: F.col(S.LINES)}
+        measures = {S.COST: _DOLLARS, S.LINES: S.LINES}
 
-    # Each dimension is joined as a plain table: from a file's size Spark can
-    # tell whether to broadcast it, from a join's it cannot.
     if S.SERVICE in wanted:
-        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        part = table("part").withColumnRenamed("p_partkey", "l_partkey")
+        lines = lines.join(part, "l_partkey", "left")
     if S.REGION in wanted:
-        for name, ours, theirs in (
-            ("supplier", "l_suppkey", "s_suppkey"),
-            ("nation", "s_nationkey", "n_nationkey"),
-            ("region", "n_regionkey", "r_regionkey"),
-        ):
-            lines = lines.join(table(name), F.col(ours) == F.col(theirs), "left")
+        places = table("nation").join(
+            table("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "left"
+        )
+        supplier = table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey as n_nationkey")
+        supplier = supplier.join(places, "n_nationkey", "left").select("l_suppkey", "r_name")
+        # From a join Spark cannot tell that this is no larger than its file.
+        if stored_bytes(spark, f"{sf_dir}/supplier.parquet") <= BROADCAST_BYTES:
+            supplier = F.broadcast(supplier)
+        lines = lines.join(supplier, "l_suppkey", "left")
     exprs = {
-        S.USAGE_DATE: F.col("l_day"),
-        S.SERVICE: F.coalesce(F.col("p_type"), F.lit("")),
-        S.REGION: F.coalesce(F.col("r_name"), F.lit("")),
-        S.RESOURCE: F.concat(F.lit("part-"), F.col("l_partkey").cast("string")),
+        S.USAGE_DATE: "l_day",
+        S.SERVICE: "coalesce(p_type, '')",
+        S.REGION: "coalesce(r_name, '')",
+        S.RESOURCE: "concat('part-', l_partkey)",
         **measures,
     }
     shown = [c for c in wanted if c != S.COST]
     if S.COST in wanted:
         shown += measures
-    return lines.select(*[exprs[c].alias(c) for c in shown])
+    return lines.selectExpr(*[f"{exprs[c]} as {c}" for c in shown])
 
 
 def bill_from_events(
@@ -92,13 +103,15 @@ def bill_from_events(
 ) -> DataFrame:
     """Events as bills: the event type is the service, the user the resource."""
     exprs = {
-        S.USAGE_DATE: F.to_date("ts"),
-        S.SERVICE: F.coalesce(F.col("event_type"), F.lit("")),
-        S.REGION: F.concat(F.lit("k-"), (F.col("user_id") % 4).cast("string")),
-        S.RESOURCE: F.concat(F.lit("user-"), F.col("user_id").cast("string")),
-        S.COST: F.col("value").cast(S.MONEY),
+        S.USAGE_DATE: "to_date(ts)",
+        S.SERVICE: "coalesce(event_type, '')",
+        S.REGION: "concat('k-', user_id % 4)",
+        S.RESOURCE: "concat('user-', user_id)",
+        S.COST: f"cast(value as {S.MONEY.simpleString()})",
     }
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter(
-        F.col("ts").isNotNull() & F.col("value").isNotNull()
+    return (
+        spark.read.schema(_SCHEMAS["events"])
+        .parquet(f"{sf_dir}/events.parquet")
+        .filter("ts is not null and value is not null")
+        .selectExpr(*[f"{exprs[c]} as {c}" for c in _wanted(columns)])
     )
-    return events.select(*[exprs[c].alias(c) for c in _wanted(columns)])
