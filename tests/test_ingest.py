@@ -1,0 +1,169 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from costlens import schema as S
+from costlens.plans.ingest import RejectedLines, load_bills
+from costlens.sources import bill_csv, bill_table
+
+HEADER = "data,servico,regiao,recurso_id,custo_usd"
+GOOD = "2024-01-01,EC2,us-east-1,i-1,1.50"
+
+
+@pytest.fixture
+def csv(tmp_path):
+    def write(*lines, name="bills.csv", header=HEADER):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join([header, *lines]) + "\n", encoding="utf-8")
+        return str(path)
+
+    return write
+
+
+def valid(spark, path, **kwargs):
+    lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path, **kwargs))
+    return [tuple(r) for r in lines.collect()]
+
+
+def rejects(spark, path):
+    parsed = bill_csv.parse_bill_csv(spark, path)
+    return sorted(tuple(r) for r in bill_csv.rejected_lines(parsed).collect())
+
+
+EXPECTED = (dt.date(2024, 1, 1), "EC2", "us-east-1", "i-1", Decimal("1.500000"))
+
+
+def test_columns_bind_by_name(spark, csv):
+    assert valid(spark, csv(GOOD)) == [EXPECTED]
+    reordered = csv("1.50,i-1,x,EC2,2024-01-01,us-east-1",
+                    header="custo_usd,recurso_id,extra.col,servico,data,regiao")
+    assert valid(spark, reordered) == [EXPECTED]
+    english = csv(GOOD, header=",".join(S.BILL_COLUMNS))
+    assert valid(spark, english, header={c: c for c in S.BILL_COLUMNS}) == [EXPECTED]
+
+
+def test_missing_column_or_file_raises(spark, csv):
+    with pytest.raises(ValueError, match="custo_usd"):
+        bill_csv.parse_bill_csv(spark, csv("2024-01-01,a,b,c", header="data,servico,regiao,recurso_id"))
+    with pytest.raises(AnalysisException):
+        bill_csv.parse_bill_csv(spark, "/nowhere/bills.csv")
+
+
+def test_bad_rows_are_set_aside_with_their_text(spark, csv):
+    path = csv(
+        GOOD,
+        "2024-01-01,EC2,us-east-1,short",
+        GOOD + ",long",
+        "2024-13-01,EC2,us-east-1,i-2,1",
+        "2024-01-01,EC2,us-east-1,i-3,abc",
+        "2024-01-01,EC2,us-east-1,i-4,",
+        ",EC2,us-east-1,i-5,1",
+    )
+    assert valid(spark, path) == [EXPECTED]
+    assert rejects(spark, path) == [
+        ("invalid cost", "2024-01-01,EC2,us-east-1,i-3,abc"),
+        ("invalid cost", "2024-01-01,EC2,us-east-1,i-4,"),
+        ("invalid date", ",EC2,us-east-1,i-5,1"),
+        ("invalid date", "2024-13-01,EC2,us-east-1,i-2,1"),
+        ("malformed row", GOOD + ",long"),
+        ("malformed row", "2024-01-01,EC2,us-east-1,short"),
+    ]
+
+
+def test_short_rows_stay_out_whatever_is_selected(spark, csv):
+    path = csv(GOOD, "2024-01-01,EC2,us-east-1,short")
+    lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path))
+    assert lines.count() == 1
+    assert lines.select(S.SERVICE).count() == 1
+    assert [r.service for r in lines.select(S.SERVICE).collect()] == ["EC2"]
+
+
+def test_blank_text_is_kept_empty(spark, csv):
+    path = csv('2024-01-01,,"",i-1,1.50')
+    assert valid(spark, path) == [(EXPECTED[0], "", "", "i-1", EXPECTED[4])]
+
+
+def test_line_breaks_need_multi_line(spark, csv):
+    path = csv('2024-01-01,"EC\n2",us-east-1,i-1,1.50')
+    assert valid(spark, path) == []
+    assert valid(spark, path, multi_line=True) == [(EXPECTED[0], "EC\n2", *EXPECTED[2:])]
+
+
+def test_files_with_other_headers_fail(spark, csv, tmp_path):
+    csv(GOOD, name="in/a.csv")
+    csv("EC2,2024-01-01,us-east-1,i-1,1.50", name="in/b.csv",
+        header="servico,data,regiao,recurso_id,custo_usd")
+    with pytest.raises(Exception, match="(?i)header"):
+        valid(spark, str(tmp_path / "in"))
+
+
+def test_export_then_ingest_is_the_identity(spark, bills, tmp_path):
+    frame = bills(
+        ("2024-01-01", 'a "quoted", name', " spaced ", "", "1.234567"),
+        ("2024-02-29", "ação", "", "r\\2", "-5"),
+    )
+    path = str(tmp_path / "out")
+    bill_csv.write_bill_csv(frame, path)
+    assert sorted(valid(spark, path)) == sorted(tuple(r) for r in frame.collect())
+
+
+def test_load_counts_and_can_be_repeated(spark, csv, tmp_path):
+    path = csv(GOOD, "2024-02-01,S3,eu-west-1,b-1,2", "bad,S3,eu-west-1,b-1,2")
+    table, bad = str(tmp_path / "bills"), str(tmp_path / "rejects")
+    for _ in range(2):
+        result = load_bills(spark, path, table, bad)
+        assert (result.lines, result.rejects) == (2, 1)
+        assert len(result.sample.collect()) == 2
+        assert spark.read.parquet(bad).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bills", "bills.csv", "rejects"]
+    assert load_bills(spark, path, table).rejects == 1
+
+
+def test_strict_load_keeps_the_old_table(spark, csv, tmp_path):
+    table = str(tmp_path / "bills")
+    load_bills(spark, csv(GOOD), table, strict=True)
+    with pytest.raises(RejectedLines):
+        load_bills(spark, csv(GOOD, "bad row", name="b.csv"), table, strict=True)
+    assert bill_table.read_bills(spark, table).count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b.csv", "bills", "bills.csv"]
+
+
+def test_load_of_a_header_alone_empties_the_table(spark, csv, tmp_path):
+    table = str(tmp_path / "bills")
+    load_bills(spark, csv(GOOD), table)
+    assert load_bills(spark, csv(name="none.csv"), table).lines == 0
+    assert bill_table.read_bills(spark, table, line_ids=True).collect() == []
+
+
+def test_load_without_a_valid_line(spark, csv, tmp_path):
+    table, bad = str(tmp_path / "bills"), str(tmp_path / "rejects")
+    load_bills(spark, csv(GOOD), table)
+    with pytest.raises(RejectedLines):
+        load_bills(spark, csv("bad,row", name="b.csv"), table, strict=True)
+    result = load_bills(spark, str(tmp_path / "b.csv"), table, bad)
+    assert (result.lines, result.rejects) == (0, 1)
+    assert spark.read.parquet(bad).count() == 1
+
+
+def test_line_ids_are_consecutive(spark, bills, tmp_path):
+    table = str(tmp_path / "bills")
+    frame = bills(*[(f"2024-0{i % 3 + 1}-05", "s", "r", f"x{i}", i) for i in range(500)])
+    bill_table.replace_bills(frame.repartition(7), table)
+    ids = {
+        r.resource_id: r.line_id
+        for r in bill_table.read_bills(spark, table, line_ids=True).collect()
+    }
+    assert sorted(ids.values()) == list(range(1, 501))
+    again = bill_table.read_bills(spark, table, line_ids=True).repartition(3).collect()
+    assert {r.resource_id: r.line_id for r in again} == ids
+
+
+def test_table_can_replace_itself(spark, bills, tmp_path):
+    table = str(tmp_path / "bills")
+    bill_table.replace_bills(bills(("2024-01-01", "s", "r", "x", 1), ("2024-01-02", "s", "r", "y", 2)), table)
+    kept = bill_table.read_bills(spark, table).filter("resource_id = 'y'")
+    bill_table.replace_bills(kept, table)
+    assert [r.resource_id for r in bill_table.read_bills(spark, table).collect()] == ["y"]

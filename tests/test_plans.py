@@ -1,0 +1,105 @@
+"""What the plans do with a stored table: scans, pruning, joins."""
+
+import re
+from pathlib import Path
+
+import pytest
+from plans import count, executed
+
+from costlens.operators import alerts, forecast, spend
+from costlens.operators.filters import filter_bills
+from costlens.plans.dashboard import Dashboard
+from costlens.plans.reports import reports
+from costlens.sources import bill_table
+from costlens.sources.views import bill_from_lineitem
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("plans") / "bills")
+    bill_table.replace_bills(bill_from_lineitem(spark, SF_DIR), path)
+    return bill_table.read_bills(spark, path)
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        spend.monthly_spend,
+        spend.monthly_change,
+        spend.region_ranking,
+        spend.service_distribution,
+        spend.weekday_profile,
+        spend.top_resources,
+        forecast.trend_series,
+        forecast.projection,
+        lambda bills: alerts.growth_alerts(bills, -100, complete_months_only=True),
+        lambda bills: alerts.outlier_alerts(bills, top_n=None),
+        alerts.service_cost_stats,
+    ],
+)
+def test_bills_are_scanned_once(table, operator):
+    assert count(operator(table), "FileScan") == 1
+
+
+def test_dates_prune_month_partitions(table):
+    filtered = filter_bills(table, start="1996-01-15", end="1996-03-31")
+    (scan,) = [x for x in executed(spend.daily_spend(filtered)) if "FileScan" in x]
+    assert re.search(r"PartitionFilters: \[[^\]]*month", scan)
+
+
+def test_only_read_columns_reach_the_scan(table):
+    (scan,) = [x for x in executed(spend.region_totals(table)) if "FileScan" in x]
+    assert "region" in scan and "resource_id" not in scan and "usage_date" not in scan
+
+
+def test_top_n_is_not_a_full_sort(table):
+    for operator in (spend.top_resources, spend.top_resources_exact, alerts.outlier_alerts):
+        assert count(operator(table), "TakeOrderedAndProject") >= 1
+
+
+def test_no_python_and_no_cross_product_in_the_library():
+    source = "".join(p.read_text() for p in Path(__file__).parent.parent.glob("costlens/**/*.py"))
+    for word in ("udf", "crossJoin", "toPandas", "collect()", ".rdd", "localCheckpoint"):
+        assert word not in source
+
+
+def test_reports(table):
+    assert {name: df.count() for name, df in reports(table).items()} == {
+        "monthly_spend": 82,
+        "region_ranking": 5,
+        "top_resources": 10,
+        "weekday_profile": 7,
+        "monthly_change": 82,
+    }
+
+
+def rounded(rows):
+    """Sums of doubles differ in their last bits with the order of partitions."""
+    return [tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows]
+
+
+def test_dashboard_equals_operators_on_lines(table, rows):
+    page = Dashboard(table)
+    try:
+        choices = page.choices()
+        assert choices["date_bounds"].count() == 1 and choices["facets"].count() == 11
+        scope = {"region": "ASIA", "start": "1996-01-15", "end": "1998-06-30"}
+        view = page.view(**scope)
+        lines = filter_bills(table, **scope)
+        assert rows(view["service_distribution"]) == rows(spend.service_distribution(lines))
+        for name, alone in (
+            ("trend_series", forecast.trend_series(lines)),
+            ("projection", forecast.projection(lines)),
+        ):
+            assert rounded(rows(view[name])) == rounded(rows(alone))
+        assert rows(view["region_totals"]) == rows(spend.region_totals(lines))
+        assert rows(view["monthly_spend"]) == rows(spend.monthly_spend(table))
+        assert rows(view["alert_cards"]) == rows(alerts.alert_cards(alerts.alert_feed(lines)))
+        assert view["kpis"].count() == 1 and view["top_resources"].count() == 10
+        empty = page.view(service="no such service")
+        kept = {"monthly_spend"}
+        assert all(df.count() == 0 for name, df in empty.items() if name not in kept)
+    finally:
+        page.close()
