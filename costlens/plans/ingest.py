@@ -47,21 +47,27 @@ def load_bills(
     # A task run twice is observed twice, so this tells only whether there are
     # rejects; how many is counted on what was written. Where no line is valid
     # the observed plan has been optimised away.
-    nothing_valid = bill_table.read_bills(spark, staged).isEmpty()
     rejects = 0
-    if nothing_valid or seen.get["rejects"] > 0:
-        rejected = bill_csv.rejected_lines(parsed)
-        if strict and not rejected.isEmpty():
-            files.delete(spark, staged)
-            raise RejectedLines(f"{csv_path}: lines rejected, table left as it was")
-        if reject_path is not None:
-            rejected.write.mode("overwrite").parquet(reject_path)
-            rejected = spark.read.parquet(reject_path)
-        rejects = rejected.agg(F.count(bill_csv.REJECT_REASON)).first()[0]
+    try:
+        if bill_table.read_bills(spark, staged).isEmpty() or seen.get["rejects"] > 0:
+            rejects = _set_aside(bill_csv.rejected_lines(parsed), reject_path)
+        if strict and rejects > 0:
+            raise RejectedLines(f"{csv_path}: {rejects} lines rejected, table left as it was")
+    except Exception:
+        files.delete(spark, staged)
+        raise
     bill_table.publish(spark, staged, table_path)
     return audit(spark, table_path, rejects)
 
 
+def _set_aside(rejected: DataFrame, path: str | None) -> int:
+    """Store the rejects if a path is given, and count them."""
+    if path is not None:
+        rejected.write.mode("overwrite").parquet(path)
+        rejected = rejected.sparkSession.read.parquet(path)
+    return rejected.agg(F.count(bill_csv.REJECT_REASON)).first()[0]
+
+
 def audit(spark: SparkSession, table_path: str, rejects: int = 0, sample: int = 3) -> LoadAudit:
     """Stored line count, from the Parquet footers, and a few lines."""
     return LoadAudit(

@@ -46,13 +46,13 @@ def stage_bills(bills: DataFrame, path: str) -> str:
     month that holds more than that, so neither tiny files nor one huge task arise.
     """
     staged = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    (
-        bills.select(*S.BILL_COLUMNS, month_of(S.USAGE_DATE).alias(S.MONTH))
-        .hint("rebalance", F.col(S.MONTH))
-        .write.partitionBy(S.MONTH)
-        .parquet(staged)
-    )
-    _write_offsets(bills.sparkSession, staged)
+    by_month = bills.select(*S.BILL_COLUMNS, month_of(S.USAGE_DATE).alias(S.MONTH))
+    try:
+        by_month.hint("rebalance", F.col(S.MONTH)).write.partitionBy(S.MONTH).parquet(staged)
+        _write_offsets(bills.sparkSession, staged)
+    except Exception:
+        files.delete(bills.sparkSession, staged)
+        raise
     return staged
 
 

@@ -161,6 +161,41 @@ def test_line_ids_are_consecutive(spark, bills, tmp_path):
     assert {r.resource_id: r.line_id for r in again} == ids
 
 
+def test_hot_month_is_split_into_files(spark, bills, tmp_path):
+    table = str(tmp_path / "bills")
+    hot = spark.range(200_000).selectExpr(
+        "date'2024-01-05' usage_date", "'s' service", "'r' region", "uuid() resource_id",
+        "cast(id as decimal(18,6)) cost_usd",
+    )
+    small = hot.limit(100).selectExpr(
+        "date_add(usage_date, 31 * cast(cost_usd as int) % 310) usage_date",
+        "service", "region", "resource_id", "cost_usd",
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1MB")
+    try:
+        bill_table.replace_bills(hot.unionByName(small).repartition(16), table)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "bills").glob("month=*")}
+    hot_files = files.pop("month=2024-01")
+    assert len(files) > 4 and hot_files > 3
+    # a month that hashes to the hot month's partition is split along with it
+    assert min(files.values()) == 1 and max(files.values()) <= hot_files
+    assert bill_table.read_bills(spark, table).count() == 200_100
+
+
+def test_failed_write_leaves_table_and_no_litter(spark, bills, tmp_path):
+    table = str(tmp_path / "bills")
+    bill_table.replace_bills(bills(("2024-01-01", "s", "r", "x", 1)), table)
+    broken = bill_table.read_bills(spark, table).selectExpr(
+        "usage_date", "raise_error('no') as service", "region", "resource_id", "cost_usd"
+    )
+    with pytest.raises(Exception, match="no"):
+        bill_table.replace_bills(broken, table)
+    assert [p.name for p in tmp_path.iterdir()] == ["bills"]
+    assert bill_table.read_bills(spark, table).count() == 1
+
+
 def test_table_can_replace_itself(spark, bills, tmp_path):
     table = str(tmp_path / "bills")
     bill_table.replace_bills(bills(("2024-01-01", "s", "r", "x", 1), ("2024-01-02", "s", "r", "y", 2)), table)
