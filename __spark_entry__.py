@@ -149,12 +149,14 @@ def _growth_complete_months(bills: DataFrame) -> DataFrame:
     return alerts.growth_alerts(bills, threshold_pct=-100.0, complete_months_only=True)
 
 
-def _alert_feed(bills: DataFrame) -> DataFrame:
-    return alerts.alert_feed(_until(bills, FEED_END))
+def _alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = bill_from_lineitem(spark, sf_dir, [DATE, SERVICE, RESOURCE, COST])
+    daily = bill_from_lineitem(spark, sf_dir, [DATE, SERVICE, COST])
+    return alerts.alert_feed(_until(lines, FEED_END), daily=_until(daily, FEED_END))
 
 
-def _alert_cards(bills: DataFrame) -> DataFrame:
-    return alerts.alert_cards(_alert_feed(bills))
+def _alert_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.alert_cards(_alert_feed(spark, sf_dir))
 
 
 def _exported(spark: SparkSession, bills: DataFrame) -> str:
@@ -252,8 +254,8 @@ def queries() -> dict[str, Query]:
         "growth_complete_months": _lineitem(_growth_complete_months, DATE, SERVICE, COST),
         **_both("outlier_alerts", alerts.outlier_alerts, *stats),
         **_both("outlier_alerts_all", alerts.outlier_alerts, *stats, top_n=None),
-        "alert_feed": _lineitem(_alert_feed, DATE, *stats),
-        "alert_cards": _lineitem(_alert_cards, DATE, *stats),
+        "alert_feed": _alert_feed,
+        "alert_cards": _alert_cards,
         "ingest_csv": _ingest_csv,
         "ingest_rejects": _ingest_rejects,
         "table_load": _table_load,

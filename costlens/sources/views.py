@@ -1,13 +1,15 @@
 """Bill lines read from the order and event tables of a test-data directory.
 
-Every row of the fact table with a date and an amount is one bill line. The
-dimension keys are unique, so leaving out a dimension a report does not read
-changes no row: ``columns`` names what is needed and only those joins are made.
+Every row of the fact table with a date and an amount is one bill line. A view
+holds the columns asked for, with the lines summed over the others as in a
+rollup; date and resource together keep every line. Amounts are summed as whole
+cents, which is what the tables' doubles hold. The dimension keys are unique, so
+a dimension that is not asked for need not be joined.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,80 +40,122 @@ def _wanted(columns: Iterable[str]) -> list[str]:
     return [c for c in S.BILL_COLUMNS if c in wanted]
 
 
-# An amount as whole cents, which is what the tables' doubles hold, and back.
-_CENTS = "cast(rint(l_extendedprice * 100) as bigint)"
+def _cents(amount: str) -> str:
+    return f"cast(rint({amount} * 100) as bigint)"
+
+
 _DOLLARS = "cast(cast(cents as decimal(19,0)) / 100 as decimal(27,6))"
 
 
+def _sum(lines: DataFrame, keys: Iterable[str], amount: str) -> DataFrame:
+    return lines.groupBy(*keys).agg(
+        F.expr(f"sum({_cents(amount)})").alias("cents"), F.expr("count(1)").alias(S.LINES)
+    )
+
+
+def _resum(sums: DataFrame, keys: Iterable[str]) -> DataFrame:
+    return sums.groupBy(*keys).agg(
+        F.expr("sum(cents)").alias("cents"), F.expr(f"sum({S.LINES})").alias(S.LINES)
+    )
+
+
+def _select(lines: DataFrame, exprs: dict[str, str], columns: Iterable[str]) -> DataFrame:
+    return lines.selectExpr(*[f"{exprs[c]} as {c}" for c in columns])
+
+
 def bill_from_lineitem(
     spark: SparkSession, sf_dir: str, columns: Iterable[str] = S.BILL_COLUMNS
 ) -> DataFrame:
     """Line items as bills: part type is the service, supplier's region the region.
 
-    Where the date or else the part and supplier are not asked for, lines are
-    summed by the keys that are, as in a rollup, before any join. A part with
-    very many lines then reaches the join as one row, and the shuffle by its key
-    serves the sum and the join. By date and part there is little to sum; there
-    a hot part is left to the adaptive skew join.
+    Without the date, lines are summed by part and supplier before the joins: a
+    part with very many lines reaches the join as one row, and the shuffle by its
+    key serves the sum and the join. With the date there is little to sum at that
+    point; there a hot part is left to the adaptive skew join.
     """
     wanted = _wanted(columns)
+    dimensions = [c for c in wanted if c != S.COST]
+    source = {S.SERVICE: "l_partkey", S.RESOURCE: "l_partkey", S.REGION: "l_suppkey"}
+    keys = sorted({source[c] for c in wanted if c in source})
+    dated = S.USAGE_DATE in wanted
+    every_line = dated and S.RESOURCE in wanted
 
     def table(name: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     lines = table("lineitem").filter("l_shipdate is not null and l_extendedprice is not null")
-    measures = {S.COST: f"cast(l_extendedprice as {S.MONEY.simpleString()})"}
-    source = {S.SERVICE: "l_partkey", S.RESOURCE: "l_partkey", S.REGION: "l_suppkey"}
-    keys = sorted({source[c] for c in wanted if c in source})
-    if S.USAGE_DATE in wanted:
+    if dated:
         lines = lines.withColumn("l_day", F.to_date("l_shipdate"))
-        keys.append("l_day")
-    if S.USAGE_DATE not in wanted or len(keys) == 1:
-        lines = lines.groupBy(*keys).agg(
-            F.expr(f"sum({_CENTS})").alias("cents"), F.expr("count(1)").alias(S.LINES)
-        )
-        measures = {S.COST: _DOLLARS, S.LINES: S.LINES}
-
+    summed = not (dated and keys)
+    if summed:
+        lines = _sum(lines, [*keys, "l_day"] if dated else keys, "l_extendedprice")
     if S.SERVICE in wanted:
         part = table("part").withColumnRenamed("p_partkey", "l_partkey")
         lines = lines.join(part, "l_partkey", "left")
     if S.REGION in wanted:
-        places = table("nation").join(
-            table("region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "left"
-        )
-        supplier = table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey as n_nationkey")
-        supplier = supplier.join(places, "n_nationkey", "left").select("l_suppkey", "r_name")
-        # From a join Spark cannot tell that this is no larger than its file.
-        if stored_bytes(spark, f"{sf_dir}/supplier.parquet") <= BROADCAST_BYTES:
-            supplier = F.broadcast(supplier)
-        lines = lines.join(supplier, "l_suppkey", "left")
+        lines = lines.join(_supplier_regions(spark, sf_dir, table), "l_suppkey", "left")
+
     exprs = {
         S.USAGE_DATE: "l_day",
         S.SERVICE: "coalesce(p_type, '')",
         S.REGION: "coalesce(r_name, '')",
         S.RESOURCE: "concat('part-', l_partkey)",
-        **measures,
+        S.COST: f"cast(l_extendedprice as {S.MONEY.simpleString()})",
+        "l_extendedprice": "l_extendedprice",
+        "cents": "cents",
+        S.LINES: S.LINES,
     }
-    shown = [c for c in wanted if c != S.COST]
-    if S.COST in wanted:
-        shown += measures
-    return lines.selectExpr(*[f"{exprs[c]} as {c}" for c in shown])
+    if every_line:
+        return _select(lines, exprs, wanted)
+    if not summed:
+        lines = _select(lines, exprs, [*dimensions, "l_extendedprice"])
+        lines = _sum(lines, dimensions, "l_extendedprice")
+    else:
+        lines = _select(lines, exprs, [*dimensions, "cents", S.LINES])
+        if S.RESOURCE not in wanted and keys:
+            lines = _resum(lines, dimensions)
+    return _in_dollars(lines, wanted)
+
+
+def _in_dollars(sums: DataFrame, wanted: list[str]) -> DataFrame:
+    measures = [f"{_DOLLARS} as {S.COST}", S.LINES] if S.COST in wanted else []
+    return sums.selectExpr(*[c for c in wanted if c != S.COST], *measures)
+
+
+def _supplier_regions(
+    spark: SparkSession, sf_dir: str, table: Callable[[str], DataFrame]
+) -> DataFrame:
+    """The region name of each supplier."""
+    regions = table("region").withColumnRenamed("r_regionkey", "n_regionkey")
+    nations = table("nation").join(regions, "n_regionkey", "left")
+    suppliers = (
+        table("supplier")
+        .selectExpr("s_suppkey as l_suppkey", "s_nationkey as n_nationkey")
+        .join(nations, "n_nationkey", "left")
+        .select("l_suppkey", "r_name")
+    )
+    # From a join Spark cannot tell that this is about as small as its file.
+    small = stored_bytes(spark, f"{sf_dir}/supplier.parquet") <= BROADCAST_BYTES
+    return F.broadcast(suppliers) if small else suppliers
 
 
 def bill_from_events(
     spark: SparkSession, sf_dir: str, columns: Iterable[str] = S.BILL_COLUMNS
 ) -> DataFrame:
     """Events as bills: the event type is the service, the user the resource."""
+    wanted = _wanted(columns)
     exprs = {
         S.USAGE_DATE: "to_date(ts)",
         S.SERVICE: "coalesce(event_type, '')",
         S.REGION: "concat('k-', user_id % 4)",
         S.RESOURCE: "concat('user-', user_id)",
         S.COST: f"cast(value as {S.MONEY.simpleString()})",
+        "value": "value",
     }
-    return (
-        spark.read.schema(_SCHEMAS["events"])
-        .parquet(f"{sf_dir}/events.parquet")
-        .filter("ts is not null and value is not null")
-        .selectExpr(*[f"{exprs[c]} as {c}" for c in _wanted(columns)])
-    )
+    events = spark.read.schema(_SCHEMAS["events"]).parquet(f"{sf_dir}/events.parquet")
+    events = events.filter("ts is not null and value is not null")
+    if S.USAGE_DATE in wanted and S.RESOURCE in wanted:
+        return _select(events, exprs, wanted)
+    dimensions = [c for c in wanted if c != S.COST]
+    events = _select(events, exprs, [*dimensions, "value"])
+    return _in_dollars(_sum(events, dimensions, "value"), wanted)
