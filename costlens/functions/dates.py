@@ -15,11 +15,11 @@ def month_of(date: Column | str) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
-def weekday_label(date: Column | str, labels: Sequence[str] = S.WEEKDAYS_EN) -> Column:
-    """Label of the weekday; ``labels`` starts with Sunday, as ``dayofweek`` does."""
+def weekday_label(day: Column, labels: Sequence[str] = S.WEEKDAYS_EN) -> Column:
+    """Label of a ``dayofweek`` number; both start with Sunday."""
     if len(labels) != 7:
         raise ValueError("labels must name seven weekdays, Sunday first")
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), F.dayofweek(date))
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), day)
 
 
 def iso_date(date: Column | str) -> Column:

@@ -51,17 +51,27 @@ PORTUGUESE = Wording(
 )
 
 
-def _month_service(bills: DataFrame) -> DataFrame:
-    return bills.groupBy(month_of(S.USAGE_DATE).alias(S.MONTH), S.SERVICE).agg(
-        total_cost(bills).alias(S.COST)
+def _per_day(bills: DataFrame) -> DataFrame:
+    """Exact cost per day and service, with the month.
+
+    The month is made from the summed rows, not line by line, and is never null:
+    a join on it then adds no null test below the sum, which would keep the two
+    sides from sharing one scan and shuffle of the bills.
+    """
+    return (
+        bills.filter(F.col(S.USAGE_DATE).isNotNull())
+        .groupBy(S.USAGE_DATE, S.SERVICE)
+        .agg(total_cost(bills).alias(S.COST))
+        .withColumn(S.MONTH, F.coalesce(month_of(S.USAGE_DATE), F.lit("")))
     )
 
 
 def month_service_spend(bills: DataFrame) -> DataFrame:
     """Cost per month and service."""
     return (
-        _month_service(bills)
-        .select(S.MONTH, S.SERVICE, as_double(F.col(S.COST)).alias("total_cost"))
+        _per_day(bills)
+        .groupBy(S.MONTH, S.SERVICE)
+        .agg(as_double(F.sum(S.COST)).alias("total_cost"))
         .orderBy(S.MONTH, S.SERVICE)
     )
 
@@ -79,12 +89,9 @@ def growth_alerts(
     ``complete_months_only``. A service needs lines in both and a positive cost
     in the earlier one. Fewer than two months give no alert.
     """
-    # The null test the join below implies, made on both sides of it: the two
-    # then share one scan and shuffle of the bills.
-    dated = bills.filter(month_of(S.USAGE_DATE).isNotNull())
-    per_day = dated.groupBy(S.USAGE_DATE, S.SERVICE).agg(total_cost(bills).alias(S.COST))
-    days = per_day.groupBy(S.USAGE_DATE).agg(F.sum(S.COST).alias(S.COST))
-    months = days.groupBy(month_of(S.USAGE_DATE).alias(S.MONTH)).agg(
+    per_day = _per_day(bills)
+    days = per_day.groupBy(S.USAGE_DATE, S.MONTH).agg(F.sum(S.COST).alias(S.COST))
+    months = days.groupBy(S.MONTH).agg(
         F.count(F.lit(1)).alias("n_days"), F.sum(S.COST).alias(S.COST)
     )
     if complete_months_only:
@@ -100,8 +107,7 @@ def growth_alerts(
     )
     change = pct_change(F.col("current_cost"), F.col("previous_cost"))
     return (
-        per_day.withColumn(S.MONTH, month_of(S.USAGE_DATE))
-        .join(F.broadcast(latest), S.MONTH)  # two rows
+        per_day.join(F.broadcast(latest), S.MONTH)  # two rows
         .groupBy(S.SERVICE)
         .agg(current.alias("current_cost"), previous.alias("previous_cost"))
         .filter((F.col("previous_cost") > 0) & (change >= threshold_pct))

@@ -156,8 +156,12 @@ def weekday_profile(bills: DataFrame, labels: Sequence[str] = S.WEEKDAYS_EN) ->
     """Mean cost per bill line (not per day) and lines per weekday, Sunday first."""
     mean = F.try_divide(as_double(F.col(S.COST)), F.col("line_count"))
     return (
-        bills.groupBy(weekday_label(S.USAGE_DATE, labels).alias("weekday"))
+        bills.groupBy(F.dayofweek(S.USAGE_DATE).alias("day"))
         .agg(total_cost(bills).alias(S.COST), line_count(bills).alias("line_count"))
-        .select("weekday", round_half_up(mean).alias("avg_cost"), "line_count")
+        .select(
+            weekday_label(F.col("day"), labels).alias("weekday"),
+            round_half_up(mean).alias("avg_cost"),
+            "line_count",
+        )
         .orderBy("weekday")
     )
