@@ -351,11 +351,13 @@ SELECT '$' || format('{{:,.0f}}', total_cost) AS total_cost,
 FROM kpi"""
 
 _STATS = """
-totals AS (SELECT resource_id, service, CAST(sum(cost_usd) AS DOUBLE) AS cost
+totals AS (SELECT resource_id, service, sum(cost_usd) AS exact,
+                  CAST(sum(cost_usd) AS DOUBLE) AS cost
            FROM bills GROUP BY 1, 2),
-stats AS (SELECT service, count(*) AS resource_count, avg(cost) AS service_mean,
+stats AS (SELECT service, count(*) AS resource_count,
+                 CAST(sum(exact) AS DOUBLE) / count(*) AS service_mean,
                  stddev_samp(cost) AS cost_std,
-                 avg(cost) + 2 * stddev_samp(cost) AS threshold
+                 CAST(sum(exact) AS DOUBLE) / count(*) + 2 * stddev_samp(cost) AS threshold
           FROM totals GROUP BY 1 HAVING count(*) >= 3)"""
 _STATS_SELECT = """
 SELECT service, resource_count, round(service_mean, 4) AS service_mean,

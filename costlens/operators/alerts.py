@@ -128,16 +128,19 @@ def _resource_totals(bills: DataFrame) -> DataFrame:
     return (
         bills.filter(F.col(S.SERVICE).isNotNull())
         .groupBy(S.RESOURCE, S.SERVICE)
-        .agg(as_double(total_cost(bills)).alias("cost"))
+        .agg(total_cost(bills).alias(S.COST))
+        .withColumn("cost", as_double(F.col(S.COST)))
     )
 
 
 def _service_stats(totals: DataFrame, std_factor: float, min_resources: int) -> DataFrame:
+    # the mean of an exact sum: one of doubles could round either way
+    mean = as_double(F.sum(S.COST)) / F.count(F.lit(1))
     return (
         totals.groupBy(S.SERVICE)
         .agg(
             F.count(F.lit(1)).cast("bigint").alias("resource_count"),
-            F.avg("cost").alias("service_mean"),
+            mean.alias("service_mean"),
             F.stddev_samp("cost").alias("cost_std"),
         )
         .filter(F.col("resource_count") >= min_resources)
