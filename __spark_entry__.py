@@ -213,8 +213,8 @@ def _table_filtered_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered_daily(bill_table.read_bills(spark, table))
 
 
-def queries() -> dict[str, Query]:
-    """One entry per operator; each runs over whole tables."""
+def bill_queries() -> dict[str, Query]:
+    """One entry per operator on bills; each runs over whole tables."""
     stats = (SERVICE, RESOURCE, COST)
     return {
         "monthly_spend": _lineitem(spend.monthly_spend, DATE, COST),
@@ -473,8 +473,8 @@ def _both_sql(name: str, *ctes: str, select: str) -> dict[str, str]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    """The queries as DuckDB SQL."""
+def bill_sql() -> dict[str, str]:
+    """The queries on bills as DuckDB SQL."""
     monthly = _sql(_MONTHS, select="SELECT * FROM months WHERE days_with_data >= 20")
     filtered_daily = _sql(select=_daily_sql(_FILTERED))
     half_up, half_even = "round(sum(cost_usd), 2)", "round_even(CAST(sum(cost_usd) AS DOUBLE) * 100, 0) / 100"
@@ -600,3 +600,27 @@ SELECT month, line_count, last_id - line_count + 1 AS first_id, last_id, total_c
         ),
         "table_filtered_daily": filtered_daily,
     }
+
+
+# --- with the operators on training data, where they are installed -------------
+
+try:
+    import corpus_pipeline
+    from costlens.llm import queries as llm
+except ModuleNotFoundError:
+    llm = corpus_pipeline = None
+
+
+def queries() -> dict[str, Query]:
+    """Every registered query."""
+    if llm is None:
+        return bill_queries()
+    return {**bill_queries(), **llm.queries(), "pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The queries as DuckDB SQL, those that SQL can express."""
+    if llm is None:
+        return bill_sql()
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {**bill_sql(), **llm.oracle_sql(), **pipeline}

@@ -6,8 +6,8 @@ from oracle import connect, differences
 
 import __spark_entry__ as registry
 
-QUERIES = registry.queries()
-SQL = registry.oracle_sql()
+QUERIES = registry.bill_queries()
+SQL = registry.bill_sql()
 
 
 @pytest.fixture(scope="module")
