@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import substring_dedup
+from costlens.llm import dart_minhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = dart_minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", "keeps")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
+    found = docs.withColumn("toxic", toxicity.toxicity(docs, model))
+    return found.select(
+        "doc_id",
+        (~toxicity.not_held_out()).alias("held_out"),
+        F.col("toxic.score").alias("score"),
+        (F.col("toxic.score") >= toxicity.REJECT).cast("int").alias("predicted"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.remove_repeats(docs, window=20)
@@ -30,6 +47,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_dart_minhash": op1_dart_minhash,
+        "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
     }
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costlens.llm.words import U64, mix
+
 ID, TWIN = "_id", "_twin"
 KEY = [ID, TWIN]
 NO_ID = 2**63 - 1
@@ -21,17 +25,28 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *extra: C
     return docs.select(key.alias(ID), F.xxhash64(text_of(text)).alias(TWIN), text_of(text).alias("text"), *extra)
 
 
-def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key of the row with the smallest id among rows of equal text, and their digest.
-
-    Only ids and digests are shuffled, and copies meet on the map side first, so
-    one text may hold any share of the rows.
-    """
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    light = docs.select(
-        key.alias(ID),
+def light_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Id, two hashes and the length of the text: what tells texts apart without them."""
+    return [
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias(ID),
         F.xxhash64(text_of(text)).alias(TWIN),
         F.xxhash64(F.lit(7), text_of(text)).alias("_other"),
         F.octet_length(text_of(text)).alias("_bytes"),
-    )
+    ]
+
+
+def first_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The smallest id among the rows of each different text, with the text's key.
+
+    Only ids and hashes are shuffled, and copies meet on the map side first, so one
+    text may hold any share of the rows.
+    """
+    light = docs.select(*light_key(doc_id, text))
     return light.groupBy(TWIN, "_other", "_bytes").agg(F.min(ID).alias(ID))
+
+
+def distinct_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch without repeats of a row's id and text."""
+    keys = mix(batch[ID].to_numpy().view(U64)) ^ batch[TWIN].to_numpy().view(U64)
+    first = np.sort(np.unique(keys, return_index=True)[1])
+    return batch if len(first) == len(batch) else batch.take(pa.array(first))

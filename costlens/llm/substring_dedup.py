@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.llm.rows import ID, KEY, NO_ID, first_copies, keyed
+from costlens.llm.rows import ID, KEY, NO_ID, distinct_rows, first_copies, keyed
 from costlens.llm.words import U64, Words, blocks, mix, signed, windows
 
 _HALF = "meet long, half long, _id long, _twin long, settled boolean"
@@ -78,16 +78,9 @@ def _spread(hashes: np.ndarray, settled: np.ndarray, row_key: np.ndarray) -> np.
     return np.where(settled, mix(hashes ^ mix(row_key.astype(U64))), hashes)
 
 
-def _distinct(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Without repeats of a row's id and text."""
-    keys = mix(batch["_id"].to_numpy().view(U64)) ^ batch["_twin"].to_numpy().view(U64)
-    first = np.sort(np.unique(keys, return_index=True)[1])
-    return batch if len(first) == len(batch) else batch.take(pa.array(first))
-
-
 def _half_windows(window: int):
     def run(batches):
-        for batch in map(_distinct, batches):
+        for batch in map(distinct_rows, batches):
             ids, twins = batch["_id"].to_numpy(), batch["_twin"].to_numpy()
             for at, block in blocks(batch["text"]):
                 words = block.words()
@@ -111,7 +104,7 @@ def _half_windows(window: int):
 
 def _whole_windows(window: int):
     def run(batches):
-        for batch in map(_distinct, batches):
+        for batch in map(distinct_rows, batches):
             ids, twins, halves = batch["_id"].to_numpy(), batch["_twin"].to_numpy(), batch["halves"]
             for at, block in blocks(batch["text"]):
                 words = block.words()
