@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, substring_dedup, toxicity
+from costlens.llm import dart_minhash, decontamination, substring_dedup, toxicity
+from costlens.llm.rows import NO_ID
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,12 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "keeps")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "n_tokens", "covered", "verbatim")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
@@ -48,6 +55,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
+        "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
     }

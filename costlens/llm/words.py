@@ -61,7 +61,10 @@ class Block:
 
     def tokens(self, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Runs of bytes that are no separators: starts, ends and the row of each."""
-        inside = ~separator[self.data]
+        return self.runs(~separator[self.data])
+
+    def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of the bytes marked in ``inside``, cut where a text ends."""
         change = np.empty(len(inside) + 1, bool)
         if not len(inside):
             none = np.zeros(0, np.int64)
