@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, decontamination, substring_dedup, toxicity
+from costlens.llm import dart_minhash, decontamination, pieces, substring_dedup, toxicity
 from costlens.llm.rows import NO_ID
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,26 +18,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers find the package where it is not installed, as in a checkout.
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes, _ = dart_minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    classes, _ = dart_minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return classes.select("doc_id", "class_id", "keeps")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "n_tokens", "covered", "verbatim")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
     found = docs.withColumn("toxic", toxicity.toxicity(docs, model))
     return found.select(
         "doc_id",
@@ -46,8 +47,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = pieces.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
+    found = docs.select("doc_id", pieces.encode(spark, vocabulary, F.col("text")).alias("found"))
+    return found.select(
+        "doc_id",
+        F.size("found.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("found.ids").alias("ids_hash"),
+        F.col("found.exact").alias("round_trip"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.remove_repeats(docs, window=20)
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -55,6 +68,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
+        "op5_pieces": op5_pieces,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
