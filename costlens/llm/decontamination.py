@@ -113,7 +113,7 @@ _FOUND = "_id long, _twin long, n_tokens int, place int, width int, hash long, s
 _SLOTS = pa.list_(pa.int64())
 
 
-def _windows(widths: tuple[int, ...] | None, sieve: np.ndarray | None):
+def _windows(widths: tuple[int, ...] | None, sieve):
     """Windows of each text: those that pass the sieve, or all of the width that suits the text."""
 
     def run(batches):
@@ -128,7 +128,7 @@ def _windows(widths: tuple[int, ...] | None, sieve: np.ndarray | None):
                         keep = np.minimum(text.counts[text.row[at]], WINDOW) == n
                     else:
                         bit = hashes >> U64(64 - SIEVE_BITS)
-                        keep = (sieve[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 > 0
+                        keep = (sieve.value[bit >> U64(3)] >> (bit & U64(7)).astype(np.uint8)) & 1 > 0
                     at, hashes = at[keep], hashes[keep]
                     row = text.row[at]
                     yield pa.RecordBatch.from_arrays(
@@ -166,11 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, doc_id: s
     if not widths:
         widths = (WINDOW,)
     sieve = spark.sparkContext.broadcast(_sieve(items))  # a fixed 1 MB
-
-    def in_documents(batches):
-        return _windows(widths, sieve.value)(batches)
-
-    hits = keyed(docs, doc_id, text).mapInArrow(in_documents, _FOUND)
+    hits = keyed(docs, doc_id, text).mapInArrow(_windows(widths, sieve), _FOUND)
     items = items.select(
         "hash",
         "width",

@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, decontamination, pieces, substring_dedup, toxicity
+from costlens.llm import dart_minhash, decontamination, licenses, pieces, sharding, substring_dedup, token_counts, toxicity
 from costlens.llm.rows import NO_ID
+from costlens.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+TOKEN_LIMIT = 1024
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -47,6 +49,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenizer = token_counts.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    counts = token_counts.count_tokens(docs, tokenizer, cache=scratch_dir(spark))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("notices", F.array_join("notices", ", "))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = pieces.Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model"))
@@ -68,6 +95,9 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
+        "op3_token_counts": op3_token_counts,
+        "op4_licenses": op4_licenses,
+        "op6_sharding": op6_sharding,
         "op5_pieces": op5_pieces,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
@@ -98,7 +128,36 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 FROM split LEFT JOIN kept USING (doc_id)"""
 
 
+def _canonical_sql(text: str) -> str:
+    out = f"lower({text})"
+    for pattern in (licenses.COPYRIGHT_LINE, licenses.RIGHTS_LINE):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    out = f"regexp_replace({out}, '{licenses.BETWEEN_WORDS}', ' ', 'g')"
+    for spelling, usual in licenses.SPELLINGS.items():
+        out = f"replace({out}, '{spelling}', '{usual}')"
+    return f"trim({out})"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+OP4_SQL = f"""
+WITH known AS (
+  SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) AS k(license, text)),
+lines AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))) AS line
+  FROM documents),
+found AS (
+  SELECT DISTINCT doc_id, license FROM lines JOIN known ON digest = sha256({_canonical_sql("line")})),
+notices AS (
+  SELECT doc_id, string_agg(license, ', ' ORDER BY license) AS notices FROM found GROUP BY doc_id),
+whole AS (
+  SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+names AS (SELECT digest, min(license) AS license FROM known GROUP BY digest)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN names USING (digest) LEFT JOIN notices USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_licenses": OP4_SQL,
         "op8_substring_dedup": OP8_SQL,
     }
