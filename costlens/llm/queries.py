@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, decontamination, licenses, pieces, sharding, substring_dedup, token_counts, toxicity
+from costlens.llm import dart_minhash, decontamination, hnsw, licenses, pieces, sharding, substring_dedup, token_counts, toxicity
 from costlens.llm.rows import NO_ID
 from costlens.session import scratch_dir
 
@@ -49,6 +49,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokenizer = token_counts.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
@@ -95,6 +100,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
+        "op2_hnsw": op2_hnsw,
         "op3_token_counts": op3_token_counts,
         "op4_licenses": op4_licenses,
         "op6_sharding": op6_sharding,
