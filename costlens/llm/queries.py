@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, decontamination, hnsw, licenses, pieces, sharding, substring_dedup, token_counts, toxicity
+from costlens.llm import dart_minhash, decontamination, hnsw, licenses, pieces, quality, sharding, substring_dedup, token_counts, toxicity
+from costlens.llm.labels import not_held_out
 from costlens.llm.rows import NO_ID
 from costlens.session import scratch_dir
 
@@ -31,6 +32,18 @@ def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "keeps")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    found = docs.withColumn("score", quality.quality(docs, model))
+    return found.select(
+        "doc_id",
+        (~not_held_out()).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -43,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.withColumn("toxic", toxicity.toxicity(docs, model))
     return found.select(
         "doc_id",
-        (~toxicity.not_held_out()).alias("held_out"),
+        (~not_held_out()).alias("held_out"),
         F.col("toxic.score").alias("score"),
         (F.col("toxic.score") >= toxicity.REJECT).cast("int").alias("predicted"),
     )
@@ -105,6 +118,7 @@ def queries() -> dict[str, Query]:
         "op4_licenses": op4_licenses,
         "op6_sharding": op6_sharding,
         "op5_pieces": op5_pieces,
+        "op7_quality": op7_quality,
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
