@@ -16,7 +16,7 @@ from costlens import schema as S
 from costlens.operators import alerts
 from costlens.plans.dashboard import Dashboard
 from costlens.plans.ingest import load_bills
-from costlens.plans.reports import reports
+from costlens.plans.reports import Reports
 from costlens.session import builder
 from costlens.sources.bill_csv import write_bill_csv
 from costlens.sources.bill_table import read_bills
@@ -47,13 +47,18 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     export = jobs.add_parser("export", help="write a bill table as CSV files")
     export.add_argument("table")
     export.add_argument("directory")
-    return parser.parse_args(argv)
+    args = parser.parse_args(argv)
+    if args.job == "dashboard" and (args.start is None) != (args.end is None):
+        parser.error("--start and --end go together")
+    return args
 
 
 def _show(frames: dict[str, DataFrame]) -> None:
     for name, frame in frames.items():
         print(f"\n{name}")
-        frame.show(100, truncate=False)
+        print("\t".join(frame.columns))
+        for row in frame.toLocalIterator():  # all rows, a partition at a time
+            print("\t".join("" if x is None else str(x) for x in row))
 
 
 def run(spark: SparkSession, argv: list[str] | None = None) -> None:
@@ -63,11 +68,13 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
             spark, args.csv, args.table, args.rejects, args.strict, multi_line=args.multi_line
         )
         print(f"{result.lines} lines stored, {result.rejects} rejected")
-        result.sample.show(truncate=False)
+        _show({"sample": result.sample})
     elif args.job == "export":
         write_bill_csv(read_bills(spark, args.table), args.directory)
     elif args.job == "report":
-        _show(reports(read_bills(spark, args.table), _LANGUAGES[args.language][0]))
+        printed = Reports(read_bills(spark, args.table), _LANGUAGES[args.language][0])
+        _show(printed.frames())
+        printed.close()
     else:
         page = Dashboard(read_bills(spark, args.table))
         scope = (args.service, args.region, args.start, args.end)

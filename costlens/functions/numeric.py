@@ -8,18 +8,9 @@ from pyspark.sql import functions as F
 from costlens import schema as S
 
 
-def total_cost(bills: DataFrame) -> Column:
-    """Exact decimal sum of cost over raw lines or a rollup of them.
-
-    Lines are summed as whole dollars and fractions of one, both of which Spark
-    adds as 64-bit integers. A sum of the decimals themselves would add arbitrary
-    precision numbers line by line, at about twice the cost of the whole scan.
-    """
-    if bills.schema[S.COST].dataType != S.MONEY:
-        return F.sum(S.COST)
-    dollars = f"cast({S.COST} as bigint)"
-    fraction = f"{S.COST} - cast({dollars} as {S.MONEY.simpleString()})"
-    return F.expr(f"sum({dollars}) + sum(cast({fraction} as decimal(8,6)))")
+def total_cost() -> Column:
+    """Exact decimal sum of cost over raw lines or a rollup of them."""
+    return F.sum(S.COST)
 
 
 def line_count(bills: DataFrame) -> Column:

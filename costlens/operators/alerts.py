@@ -61,7 +61,7 @@ def _per_day(bills: DataFrame) -> DataFrame:
     return (
         bills.filter(F.col(S.USAGE_DATE).isNotNull())
         .groupBy(S.USAGE_DATE, S.SERVICE)
-        .agg(total_cost(bills).alias(S.COST))
+        .agg(total_cost().alias(S.COST))
         .withColumn(S.MONTH, F.coalesce(month_of(S.USAGE_DATE), F.lit("")))
     )
 
@@ -89,6 +89,10 @@ def growth_alerts(
     ``complete_months_only``. A service needs lines in both and a positive cost
     in the earlier one. Fewer than two months give no alert.
     """
+    if S.MONTH in bills.columns:
+        # A table partitioned by month: find the two, then read no others.
+        bills = bills.filter(F.col(S.MONTH).isin(_latest_stored(bills, complete_months_only, min_days)))
+        complete_months_only = False
     per_day = _per_day(bills)
     days = per_day.groupBy(S.USAGE_DATE, S.MONTH).agg(F.sum(S.COST).alias(S.COST))
     months = days.groupBy(S.MONTH).agg(
@@ -122,13 +126,22 @@ def growth_alerts(
     )
 
 
+def _latest_stored(bills: DataFrame, complete_only: bool, min_days: int) -> list[str]:
+    """The latest two months, from the partitions or, for complete ones, the dates alone."""
+    months = bills.select(S.MONTH).distinct()
+    if complete_only:
+        days = bills.select(S.MONTH, S.USAGE_DATE).distinct().groupBy(S.MONTH)
+        months = days.agg(F.count(F.lit(1)).alias("n_days")).filter(F.col("n_days") >= min_days)
+    return [r[S.MONTH] for r in months.orderBy(F.desc(S.MONTH)).limit(2).toLocalIterator()]
+
+
 def _resource_totals(bills: DataFrame) -> DataFrame:
     # With the null test that joins on the service imply made here, all uses of
     # the totals share one scan and shuffle of the bills.
     return (
         bills.filter(F.col(S.SERVICE).isNotNull())
         .groupBy(S.RESOURCE, S.SERVICE)
-        .agg(total_cost(bills).alias(S.COST))
+        .agg(total_cost().alias(S.COST))
         .withColumn("cost", as_double(F.col(S.COST)))
     )
 
@@ -193,16 +206,20 @@ def alert_feed(
     top_n: int | None = S.OUTLIER_TOP_N,
     wording: Wording = ENGLISH,
     daily: DataFrame | None = None,
+    complete_months_only: bool = False,
+    min_days: int = S.COMPLETE_MONTH_DAYS,
+    std_factor: float = S.OUTLIER_STD_FACTOR,
+    min_resources: int = S.OUTLIER_MIN_RESOURCES,
 ) -> DataFrame:
     """Growth alerts, then outlier alerts; ``family_rank`` and ``score`` give the order.
 
     ``daily`` may hold the daily rollup of ``bills`` where it is at hand already.
     """
     daily = bills if daily is None else daily
-    growth = growth_alerts(daily, threshold_pct, wording=wording).withColumns(
+    growth = growth_alerts(daily, threshold_pct, complete_months_only, min_days, wording).withColumns(
         {"family_rank": F.lit(1), "score": F.col("change_pct")}
     )
-    outliers = outlier_alerts(bills, top_n, wording=wording).withColumns(
+    outliers = outlier_alerts(bills, top_n, std_factor, min_resources, wording).withColumns(
         {"family_rank": F.lit(2), "score": F.col("cost")}
     )
     return growth.unionByName(outliers, allowMissingColumns=True).orderBy(*_feed_order())

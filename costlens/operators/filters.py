@@ -52,7 +52,14 @@ def facets(bills: DataFrame) -> DataFrame:
 
 
 def date_bounds(bills: DataFrame) -> DataFrame:
-    """First and last usage date; no row when there are no bills."""
+    """First and last usage date; no row when there are no bills.
+
+    On a table partitioned by month only the first and the last month are read;
+    which ones they are is found from the partitions alone.
+    """
+    if S.MONTH in bills.columns:
+        ends = bills.agg(F.min(S.MONTH), F.max(S.MONTH)).first()
+        bills = bills.filter(F.col(S.MONTH).isin(*ends))
     return (
         bills.agg(
             F.min(S.USAGE_DATE).alias("first_date"),

@@ -13,12 +13,14 @@ class Dashboard:
 
     The daily rollup is cached: it keeps every column the filters read, so each
     view of days, services and regions starts from it instead of the lines.
-    Resources are too many to cache and are aggregated from the filtered lines.
+    The filtered lines are read once for a view: their resource rollup, cached
+    until the next view, feeds the outliers and the top resources.
     """
 
     def __init__(self, bills: DataFrame) -> None:
         self.bills = bills
         self.daily = rollups.daily_rollup(bills).cache()
+        self.resources: DataFrame | None = None
 
     def choices(self) -> dict[str, DataFrame]:
         """What the filters can be set to."""
@@ -35,7 +37,9 @@ class Dashboard:
         """All frames under the filters; months stay unfiltered."""
         daily = filter_bills(self.daily, service, region, start, end)
         lines = filter_bills(self.bills, service, region, start, end)
-        feed = alerts.alert_feed(lines, wording=wording, daily=daily)
+        self._drop_resources()
+        self.resources = rollups.resource_rollup(lines).cache()
+        feed = alerts.alert_feed(self.resources, wording=wording, daily=daily)
         return {
             "kpis": kpis.kpis(daily, spend.complete_months(self.daily)),
             "monthly_spend": spend.monthly_spend(self.daily),
@@ -44,8 +48,14 @@ class Dashboard:
             "projection": forecast.projection(daily),
             "alert_cards": alerts.alert_cards(feed, wording=wording),
             "region_totals": spend.region_totals(daily),
-            "top_resources": spend.top_resources_exact(lines),
+            "top_resources": spend.top_resources_exact(self.resources),
         }
 
+    def _drop_resources(self) -> None:
+        if self.resources is not None:
+            self.resources.unpersist()
+            self.resources = None
+
     def close(self) -> None:
+        self._drop_resources()
         self.daily.unpersist()

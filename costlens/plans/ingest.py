@@ -70,8 +70,5 @@ def _set_aside(rejected: DataFrame, path: str | None) -> int:
 
 def audit(spark: SparkSession, table_path: str, rejects: int = 0, sample: int = 3) -> LoadAudit:
     """Stored line count, from the Parquet footers, and a few lines."""
-    return LoadAudit(
-        lines=bill_table.read_bills(spark, table_path).count(),
-        rejects=rejects,
-        sample=bill_table.read_bills(spark, table_path, line_ids=True).limit(sample),
-    )
+    stored = bill_table.read_bills(spark, table_path)
+    return LoadAudit(lines=stored.count(), rejects=rejects, sample=stored.limit(sample))

@@ -15,9 +15,9 @@ MONTH = "month"
 
 # Money is decimal inside the library: decimal sums do not depend on the order
 # in which partitions are merged. Reports cast to double as their last step.
-# Eighteen digits are the most that Parquet and Spark keep in a 64-bit integer;
-# a single line can cost just under 10**12.
-MONEY = T.DecimalType(18, 6)
+# Ten digits behind the point hold usage prices per request; a cost that this
+# type cannot hold exactly is rejected on load, never rounded.
+MONEY = T.DecimalType(28, 10)
 
 BILL_LINE = T.StructType(
     [

@@ -12,8 +12,12 @@ from costlens import schema as S
 from costlens.functions.dates import iso_date
 
 REJECT_REASON = "reject_reason"
-RAW_LINE = "raw_line"
+FIELDS = "fields"
 _MALFORMED = "_malformed"
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# As many whole digits as ``MONEY`` and twice the digits behind the point.
+_FINER = T.DecimalType(38, 20)
+_FINEST = rf"[.][0-9]{{{S.MONEY.scale}}}[0-9]*[1-9]"
 
 
 def parse_bill_csv(
@@ -22,7 +26,11 @@ def parse_bill_csv(
     header: Mapping[str, str] = S.CSV_HEADER,
     multi_line: bool = False,
 ) -> DataFrame:
-    """All lines of the CSV files, typed, with a reason and raw text on bad ones.
+    """All lines of the CSV files, typed, with a reason and the fields on bad ones.
+
+    ``fields`` is the text as read for rows that are no proper CSV of the header;
+    for others it is their fields in file order, written as CSV with all blanks
+    kept and quotes only where they are needed.
 
     Columns are found by header name, in any order; further columns are ignored.
     A missing column raises, and files whose headers differ make the read fail.
@@ -54,18 +62,29 @@ def parse_bill_csv(
             for c in (S.SERVICE, S.REGION, S.RESOURCE)
         ],
         source[S.COST].try_cast(S.MONEY).alias(S.COST),
+        source[S.COST].try_cast(_FINER).alias("_cost"),
+        source[S.COST].rlike(_FINEST).alias("_finer"),
+        source[S.COST].try_cast("double").alias("_number"),
         F.col(_MALFORMED),
-        F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names])).alias("_fields"),
+        F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), _KEEP_BLANKS).alias("_fields"),
     )
     reason = (
         F.when(F.col(_MALFORMED).isNotNull(), "malformed row")
         .when(F.col(S.USAGE_DATE).isNull(), "invalid date")
-        .when(F.col(S.COST).isNull(), "invalid cost")
+        .when(F.col("_number").isNull() | F.isnan("_number"), "invalid cost")
+        # A cost is never rounded or capped: all its digits must have been kept.
+        .when(
+            F.col(S.COST).isNull()
+            | ~F.col(S.COST).eqNullSafe(F.col("_cost"))
+            | F.col("_finer")
+            | ((F.col(S.COST) == 0) & (F.col("_number") != 0)),
+            "cost out of range",
+        )
     )
     return typed.select(
         *S.BILL_COLUMNS,
         reason.alias(REJECT_REASON),
-        F.when(reason.isNotNull(), F.coalesce(_MALFORMED, "_fields")).alias(RAW_LINE),
+        F.when(reason.isNotNull(), F.coalesce(_MALFORMED, "_fields")).alias(FIELDS),
     )
 
 
@@ -74,7 +93,7 @@ def valid_lines(parsed: DataFrame) -> DataFrame:
 
 
 def rejected_lines(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col(REJECT_REASON).isNotNull()).select(REJECT_REASON, RAW_LINE)
+    return parsed.filter(F.col(REJECT_REASON).isNotNull()).select(REJECT_REASON, FIELDS)
 
 
 def write_bill_csv(

@@ -13,8 +13,6 @@ from costlens.functions.dates import month_of
 from costlens.sources import files
 
 _STORED = T.StructType([*S.BILL_LINE.fields, T.StructField(S.MONTH, T.StringType())])
-# Spark's file listing skips names that start with an underscore.
-_OFFSETS = "_line_offsets"
 
 
 def read_bills(spark: SparkSession, path: str, line_ids: bool = False) -> DataFrame:
@@ -22,23 +20,34 @@ def read_bills(spark: SparkSession, path: str, line_ids: bool = False) -> DataFr
 
     Ids run from 1 without gaps in storage order. They follow from the line's
     place in its immutable file, so they cost nothing unless asked for and no
-    retry can change them.
+    retry can change them; a new load makes new ones.
     """
-    stored = spark.read.schema(_STORED).parquet(path)
-    if not line_ids:
-        return stored
-    placed = stored.select(
-        "*",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
-    # A small file table of known size: Spark broadcasts it up to its threshold.
-    offsets = spark.read.parquet(f"{path}/{_OFFSETS}")
+    stored = spark.read.schema(_STORED).parquet(_current(spark, path))
+    return _with_ids(stored) if line_ids else stored
+
+
+def _with_ids(stored: DataFrame) -> DataFrame:
+    """Number the lines by month, file and row; counts come from the file footers."""
+    file = F.col("_metadata.file_name").alias("_file")
+    counts = stored.groupBy(S.MONTH, file).agg(F.count(F.lit(1)).alias("_lines"))
+    earlier = Window.orderBy(S.MONTH, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(S.MONTH, "_file", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    placed = stored.select("*", file, F.col("_metadata.row_index").alias("_row"))
     return placed.join(offsets, [S.MONTH, "_file"]).select(
         (F.col("_before") + F.col("_row") + 1).alias(S.LINE_ID), *_STORED.fieldNames()
     )
 
 
+def _set_aside(path: str) -> str:
+    return f"{path.rstrip('/')}__old"
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    """The table's folder, or the one a broken-off replacement left of it."""
+    old = _set_aside(path)
+    return old if not files.exists(spark, path) and files.exists(spark, old) else path
+
+
 def stage_bills(bills: DataFrame, path: str) -> str:
     """Write the lines next to ``path`` and return the new folder's name.
 
@@ -49,29 +58,23 @@ def stage_bills(bills: DataFrame, path: str) -> str:
     by_month = bills.select(*S.BILL_COLUMNS, month_of(S.USAGE_DATE).alias(S.MONTH))
     try:
         by_month.hint("rebalance", F.col(S.MONTH)).write.partitionBy(S.MONTH).parquet(staged)
-        _write_offsets(bills.sparkSession, staged)
     except Exception:
         files.delete(bills.sparkSession, staged)
         raise
     return staged
 
 
-def _write_offsets(spark: SparkSession, path: str) -> None:
-    """Number of lines before each data file, from the Parquet footers' counts."""
-    files = (
-        spark.read.schema(_STORED)
-        .parquet(path)
-        .groupBy(S.MONTH, F.col("_metadata.file_name").alias("_file"))
-        .agg(F.count(F.lit(1)).alias("_lines"))
-    )
-    earlier = Window.orderBy(S.MONTH, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
-    files.select(S.MONTH, "_file", before.alias("_before")).write.parquet(f"{path}/{_OFFSETS}")
-
-
 def publish(spark: SparkSession, staged: str, path: str) -> None:
-    """Put the staged folder in the table's place; a failure leaves the old table."""
-    old = f"{staged}__old"
+    """Put the staged folder in the table's place.
+
+    The old table is renamed before the new one takes its name. If the job is lost
+    between the two, readers find the old table under its other name, and the next
+    replacement puts it back first.
+    """
+    old = _set_aside(path)
+    if _current(spark, path) == old:
+        files.move(spark, old, path)
+    files.delete(spark, old)
     replaced = files.exists(spark, path)
     if replaced:
         files.move(spark, path, old)
@@ -81,8 +84,7 @@ def publish(spark: SparkSession, staged: str, path: str) -> None:
         if replaced:
             files.move(spark, old, path)
         raise
-    if replaced:
-        files.delete(spark, old)
+    files.delete(spark, old)
 
 
 def replace_bills(bills: DataFrame, path: str) -> None:

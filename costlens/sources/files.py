@@ -14,12 +14,6 @@ def _open(spark: SparkSession, path: str):
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), location
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files at ``path``."""
-    fs, location = _open(spark, path)
-    return fs.getContentSummary(location).getLength()
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     fs, location = _open(spark, path)
     return fs.exists(location)

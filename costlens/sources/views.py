@@ -2,9 +2,9 @@
 
 Every row of the fact table with a date and an amount is one bill line. A view
 holds the columns asked for, with the lines summed over the others as in a
-rollup; date and resource together keep every line. Amounts are summed as whole
-cents, which is what the tables' doubles hold. The dimension keys are unique, so
-a dimension that is not asked for need not be joined.
+rollup; date and resource together, or ``every_line``, keep every line. Amounts
+are the same decimals on either path. The dimension keys are unique, so a
+dimension that is not asked for need not be joined.
 """
 
 from __future__ import annotations
@@ -15,10 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens import schema as S
-from costlens.sources.files import stored_bytes
-
-BROADCAST_BYTES = 10 * 1024**2
-
 
 # Declared so that opening a table starts no job to read its schema.
 _SCHEMAS = {
@@ -40,22 +36,19 @@ def _wanted(columns: Iterable[str]) -> list[str]:
     return [c for c in S.BILL_COLUMNS if c in wanted]
 
 
-def _cents(amount: str) -> str:
-    return f"cast(rint({amount} * 100) as bigint)"
-
-
-_DOLLARS = "cast(cast(cents as decimal(19,0)) / 100 as decimal(27,6))"
+def _money(amount: str) -> str:
+    return f"cast({amount} as {S.MONEY.simpleString()})"
 
 
 def _sum(lines: DataFrame, keys: Iterable[str], amount: str) -> DataFrame:
     return lines.groupBy(*keys).agg(
-        F.expr(f"sum({_cents(amount)})").alias("cents"), F.expr("count(1)").alias(S.LINES)
+        F.expr(f"sum({_money(amount)})").alias(S.COST), F.expr("count(1)").alias(S.LINES)
     )
 
 
 def _resum(sums: DataFrame, keys: Iterable[str]) -> DataFrame:
     return sums.groupBy(*keys).agg(
-        F.expr("sum(cents)").alias("cents"), F.expr(f"sum({S.LINES})").alias(S.LINES)
+        F.sum(S.COST).alias(S.COST), F.expr(f"sum({S.LINES})").alias(S.LINES)
     )
 
 
@@ -64,7 +57,10 @@ def _select(lines: DataFrame, exprs: dict[str, str], columns: Iterable[str]) ->
 
 
 def bill_from_lineitem(
-    spark: SparkSession, sf_dir: str, columns: Iterable[str] = S.BILL_COLUMNS
+    spark: SparkSession,
+    sf_dir: str,
+    columns: Iterable[str] = S.BILL_COLUMNS,
+    every_line: bool = False,
 ) -> DataFrame:
     """Line items as bills: part type is the service, supplier's region the region.
 
@@ -78,7 +74,7 @@ def bill_from_lineitem(
     source = {S.SERVICE: "l_partkey", S.RESOURCE: "l_partkey", S.REGION: "l_suppkey"}
     keys = sorted({source[c] for c in wanted if c in source})
     dated = S.USAGE_DATE in wanted
-    every_line = dated and S.RESOURCE in wanted
+    every_line = every_line or (dated and S.RESOURCE in wanted)
 
     def table(name: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -86,7 +82,7 @@ def bill_from_lineitem(
     lines = table("lineitem").filter("l_shipdate is not null and l_extendedprice is not null")
     if dated:
         lines = lines.withColumn("l_day", F.to_date("l_shipdate"))
-    summed = not (dated and keys)
+    summed = not every_line and not (dated and keys)
     if summed:
         lines = _sum(lines, [*keys, "l_day"] if dated else keys, "l_extendedprice")
     if S.SERVICE in wanted:
@@ -100,9 +96,8 @@ def bill_from_lineitem(
         S.SERVICE: "coalesce(p_type, '')",
         S.REGION: "coalesce(r_name, '')",
         S.RESOURCE: "concat('part-', l_partkey)",
-        S.COST: f"cast(l_extendedprice as {S.MONEY.simpleString()})",
+        S.COST: S.COST if summed else _money("l_extendedprice"),
         "l_extendedprice": "l_extendedprice",
-        "cents": "cents",
         S.LINES: S.LINES,
     }
     if every_line:
@@ -111,15 +106,15 @@ def bill_from_lineitem(
         lines = _select(lines, exprs, [*dimensions, "l_extendedprice"])
         lines = _sum(lines, dimensions, "l_extendedprice")
     else:
-        lines = _select(lines, exprs, [*dimensions, "cents", S.LINES])
+        lines = _select(lines, exprs, [*dimensions, S.COST, S.LINES])
         if S.RESOURCE not in wanted and keys:
             lines = _resum(lines, dimensions)
-    return _in_dollars(lines, wanted)
+    return _asked(lines, wanted)
 
 
-def _in_dollars(sums: DataFrame, wanted: list[str]) -> DataFrame:
-    measures = [f"{_DOLLARS} as {S.COST}", S.LINES] if S.COST in wanted else []
-    return sums.selectExpr(*[c for c in wanted if c != S.COST], *measures)
+def _asked(sums: DataFrame, wanted: list[str]) -> DataFrame:
+    measures = [S.COST, S.LINES] if S.COST in wanted else []
+    return sums.select(*[c for c in wanted if c != S.COST], *measures)
 
 
 def _supplier_regions(
@@ -128,15 +123,8 @@ def _supplier_regions(
     """The region name of each supplier."""
     regions = table("region").withColumnRenamed("r_regionkey", "n_regionkey")
     nations = table("nation").join(regions, "n_regionkey", "left")
-    suppliers = (
-        table("supplier")
-        .selectExpr("s_suppkey as l_suppkey", "s_nationkey as n_nationkey")
-        .join(nations, "n_nationkey", "left")
-        .select("l_suppkey", "r_name")
-    )
-    # From a join Spark cannot tell that this is about as small as its file.
-    small = stored_bytes(spark, f"{sf_dir}/supplier.parquet") <= BROADCAST_BYTES
-    return F.broadcast(suppliers) if small else suppliers
+    suppliers = table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey as n_nationkey")
+    return suppliers.join(nations, "n_nationkey", "left").select("l_suppkey", "r_name")
 
 
 def bill_from_events(
@@ -149,7 +137,7 @@ def bill_from_events(
         S.SERVICE: "coalesce(event_type, '')",
         S.REGION: "concat('k-', user_id % 4)",
         S.RESOURCE: "concat('user-', user_id)",
-        S.COST: f"cast(value as {S.MONEY.simpleString()})",
+        S.COST: _money("value"),
         "value": "value",
     }
     events = spark.read.schema(_SCHEMAS["events"]).parquet(f"{sf_dir}/events.parquet")
@@ -158,4 +146,4 @@ def bill_from_events(
         return _select(events, exprs, wanted)
     dimensions = [c for c in wanted if c != S.COST]
     events = _select(events, exprs, [*dimensions, "value"])
-    return _in_dollars(_sum(events, dimensions, "value"), wanted)
+    return _asked(_sum(events, dimensions, "value"), wanted)

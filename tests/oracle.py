@@ -11,7 +11,8 @@ import duckdb
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for file in sorted(Path(sf_dir).glob("*.parquet")):
-        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
+        files = f"{file}/*.parquet" if file.is_dir() else file
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 

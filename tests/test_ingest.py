@@ -73,6 +73,24 @@ def test_bad_rows_are_set_aside_with_their_text(spark, csv):
     ]
 
 
+@pytest.mark.parametrize("cost", ["0.00000000001", "1.00000000001", "1e-12", "1000000000000000000", "1e30", "Infinity"])
+def test_costs_that_do_not_fit_are_rejected_not_rounded(spark, csv, cost):
+    assert rejects(spark, csv(GOOD, f"2024-01-01,EC2,us-east-1,i-2,{cost}")) == [
+        ("cost out of range", f"2024-01-01,EC2,us-east-1,i-2,{cost}")
+    ]
+
+
+@pytest.mark.parametrize("cost", ["0.0000000001", "123456789012.12345678", "1.50000000000000", "-2e-10", "999999999999999999"])
+def test_small_and_large_costs_are_kept(spark, csv, cost):
+    ((*_, kept),) = valid(spark, csv(f"2024-01-01,EC2,us-east-1,i-2,{cost}"))
+    assert kept == Decimal(cost)
+
+
+def test_reject_keeps_blanks(spark, csv):
+    path = csv('31/12/2023, EC2 ,"us, east",i-1, 1')
+    assert rejects(spark, path) == [("invalid date", '31/12/2023, EC2 ,"us, east",i-1, 1')]
+
+
 def test_short_rows_stay_out_whatever_is_selected(spark, csv):
     path = csv(GOOD, "2024-01-01,EC2,us-east-1,short")
     lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path))
@@ -196,6 +214,16 @@ def test_failed_write_leaves_table_and_no_litter(spark, bills, tmp_path):
     assert bill_table.read_bills(spark, table).count() == 1
 
 
+def test_a_replacement_broken_off_between_its_renames(spark, bills, tmp_path):
+    table = tmp_path / "bills"
+    bill_table.replace_bills(bills(("2024-01-01", "s", "r", "x", 1)), str(table))
+    table.rename(tmp_path / "bills__old")
+    assert bill_table.read_bills(spark, str(table)).count() == 1
+    bill_table.replace_bills(bills(("2024-01-01", "s", "r", "y", 1), ("2024-01-02", "s", "r", "z", 1)), str(table))
+    assert bill_table.read_bills(spark, str(table)).count() == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["bills"]
+
+
 def test_table_can_replace_itself(spark, bills, tmp_path):
     table = str(tmp_path / "bills")
     bill_table.replace_bills(bills(("2024-01-01", "s", "r", "x", 1), ("2024-01-02", "s", "r", "y", 2)), table)

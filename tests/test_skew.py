@@ -8,7 +8,6 @@ from plans import executed
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
-from costlens.sources import views
 
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -35,8 +34,7 @@ def hot_dir(spark, tmp_path_factory):
 
 
 @pytest.fixture
-def no_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(views, "BROADCAST_BYTES", 0)
+def no_broadcast(spark):
     before = {key: spark.conf.get(key) for key in SETTINGS}
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
