@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costlens.llm.labels import training_rows
 from costlens.llm.words import LETTER, U64, Block, blocks, lower_latin, span_hash
 
-TOXIC_SAMPLE = 1500
-CLEAN_SAMPLE = 3000
+TOXIC_SAMPLE = 1200
+CLEAN_SAMPLE = 2400
 PREFIXES = (4, 5, 6, 8)
 SEGMENT = 64
 ROUNDS = 30
@@ -183,95 +184,112 @@ class Model:
         return out
 
 
-def _marks(hashes: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _blocks(texts: list[str]):
+    return blocks(pa.array(texts, pa.large_string()))
+
+
+def _pairs(known: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Different pairs of text and place of a known feature."""
+    found = [np.zeros(0, np.int64)]
+    for at, block in _blocks(texts):
+        _, _, row, hashes = features(block)
+        for own in hashes:
+            token, place = known.places(own)
+            found.append((row[token] + at.start) * len(known.known) + place)
+    pairs = np.unique(np.concatenate(found))
+    return pairs // len(known.known), pairs % len(known.known)
+
+
+def _marks(toxic: list[str], clean: list[str]) -> np.ndarray:
     """Hashes of the features that mark toxicity, sorted."""
-    everything, codes = np.unique(hashes, return_inverse=True)
-    codes = codes.reshape(hashes.shape)
-    size = len(everything)
-    pairs = np.unique(doc * size + codes)
-    d, f = pairs // size, pairs % size
-    in_toxic = np.bincount(f[toxic[d]], minlength=size)
-    in_clean = np.bincount(f[~toxic[d]], minlength=size)
-    candidate = (in_toxic >= 2) & (in_clean <= 0.002 * in_toxic) & (everything != 0)
-    hit = candidate[codes].any(0) & toxic[doc]
-    words = np.unique(doc[hit] * size + codes[0][hit])
-    vote = 1 / np.maximum(np.bincount(words // size, minlength=len(toxic)), 1)
-    chosen = candidate[f] & toxic[d]
-    votes = np.bincount(f[chosen], vote[d[chosen]], minlength=size)
-    return everything[candidate & (votes >= max(MARK_VOTES, MARK_SHARE * toxic.sum()))]
+    parts = [np.zeros(0, U64)]
+    for _, block in _blocks(toxic):
+        _, _, row, hashes = features(block)
+        order = np.lexsort((hashes.ravel(), np.tile(row, len(hashes))))
+        h, r = hashes.ravel()[order], np.tile(row, len(hashes))[order]
+        parts.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])] if len(h) else h)
+    every, in_toxic = np.unique(np.concatenate(parts), return_counts=True)
+    often = Model(known=every[(in_toxic >= 2) & (every != 0)])
+    if not len(often.known):
+        return often.known
+    in_toxic = in_toxic[np.searchsorted(every, often.known)]
+    in_clean = np.bincount(_pairs(often, clean)[1], minlength=len(often.known))
+    candidate = Model(known=often.known[in_clean <= 0.002 * in_toxic])
+    if not len(candidate.known):
+        return candidate.known
+    # A text has one vote, shared by its different words that hold a candidate.
+    words = np.zeros(len(toxic))
+    for at, block in _blocks(toxic):
+        _, _, row, hashes = features(block)
+        token = np.unique(np.concatenate([candidate.places(own)[0] for own in hashes]))
+        order = np.lexsort((hashes[0, token], row[token]))
+        r, h = row[token][order], hashes[0, token][order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])[: len(h)]
+        words[at] += np.bincount(r[new], minlength=block.rows)
+    doc, place = _pairs(candidate, toxic)
+    votes = np.bincount(place, 1 / np.maximum(words[doc], 1), minlength=len(candidate.known))
+    return candidate.known[votes >= max(MARK_VOTES, MARK_SHARE * len(toxic))]
+
+
+def _labelled(texts: list[str], toxic: bool, marks: Model):
+    """For each block: token labels, first token of each text, features and their hashes."""
+    for _, block in _blocks(texts):
+        _, _, row, hashes = features(block)
+        y = np.zeros(len(row))
+        if toxic:
+            for own in hashes:
+                y[marks.places(own)[0]] = 1
+            # A toxic text without a labelled token says nothing about which token it is.
+            use = (np.bincount(row[y > 0], minlength=block.rows) > 0)[row]
+            row, hashes, y = row[use], hashes[:, use], y[use]
+        if len(row):
+            yield y, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])), hashes
 
 
 def fit(texts: list[str], toxic: list[bool]) -> Model:
     """Fit the chain on labelled texts; see the module's text."""
-    flags = np.array(toxic, bool)
-    if not flags.any() or flags.all():
+    bad, good = ([t for t, x in zip(texts, toxic, strict=True) if bool(x) == own] for own in (True, False))
+    if not bad or not good:
         return Model()
-    parts, docs = [], []
-    for at, block in blocks(pa.array(texts, pa.large_string())):
-        _, _, row, hashes = features(block)
-        parts.append(hashes)
-        docs.append(row + at.start)
-    hashes, doc = np.concatenate(parts, axis=1), np.concatenate(docs)
-    marks = Model(known=_marks(hashes, doc, flags))
-    y = np.zeros(len(doc), bool)
-    if len(marks.known):
-        for own in hashes:
-            y[marks.places(own)[0]] = True
-    y &= flags[doc]
-    if not y.any():
+    marks = Model(known=_marks(bad, good))
+    if not len(marks.known):
         return Model()
-    # A toxic text without a labelled token says nothing about which token it is.
-    explained = np.bincount(doc[y], minlength=len(flags)) > 0
-    use = (~flags | explained)[doc]
-    hashes, doc, y = hashes[:, use], doc[use], y[use].astype(float)
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
-
-    known = np.unique(hashes[:, y > 0])
-    model = Model(known=known[known != 0], bias=float(np.log(y.sum() / (len(y) - y.sum() + 1))))
-    found = [model.places(own) for own in hashes]
-    token, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    was = np.concatenate([[0], y[:-1]])
-    was[first[:-1]] = 0
-    seen = np.bincount((was * 2 + y).astype(int), minlength=4).reshape(2, 2)
-    size = len(model.known)
-    values = np.concatenate([np.zeros(size + 4), [model.bias]])
+    known = np.unique(np.concatenate([np.unique(hashes[:, y > 0]) for y, _, hashes in _labelled(bad, True, marks)]))
+    model = Model(known=known[known != 0])
+    size, parts, total, positive = len(model.known), [], 0, 0.0
+    seen = np.zeros((2, 2))
+    for own, flag in ((bad, True), (good, False)):
+        for y, first, hashes in _labelled(own, flag, marks):
+            found = [model.places(h) for h in hashes]
+            token, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            parts.append((y, first, token, place))
+            was = np.concatenate([[0], y[:-1]])
+            was[first[:-1]] = 0
+            seen += np.bincount((was * 2 + y).astype(int), minlength=4).reshape(2, 2)
+            total, positive = total + len(y), positive + y.sum()
+    values = np.concatenate([np.zeros(size + 4), [np.log(positive / (total - positive + 1))]])
     speed, step = np.zeros(len(values)), np.zeros(len(values))
     for turn in range(1, ROUNDS + 1):
         model.weights, model.moves, model.bias = values[:size], values[size:-1].reshape(2, 2), values[-1]
-        evidence = np.full(len(y), model.bias) + np.bincount(token, model.weights[place], minlength=len(y))
-        p, expected = marginals(evidence, first, model.moves)
-        error = y - p
-        slope = np.concatenate([np.bincount(place, error[token], minlength=size), (seen - expected).ravel(), [error.sum()]])
-        slope -= 0.02 * values
+        slope = -0.02 * values
+        slope[size:-1] += seen.ravel()
+        for y, first, token, place in parts:
+            evidence = model.bias + np.bincount(token, model.weights[place], minlength=len(y))
+            p, expected = marginals(evidence, first, model.moves)
+            error = y - p
+            slope[:size] += np.bincount(place, error[token], minlength=size)
+            slope[size:-1] -= expected.ravel()
+            slope[-1] += error.sum()
         step = 0.9 * step + 0.1 * slope
         speed = 0.95 * speed + 0.05 * slope**2
         values = values + 0.3 * (step / (1 - 0.9**turn)) / (np.sqrt(speed / (1 - 0.95**turn)) + 1e-3)
     return model
 
 
-def training_rows(labels: DataFrame, label: str, sizes: dict[int, int], use: Column) -> DataFrame:
-    """At most ``sizes[c]`` ids of each class, those with the smallest hashes."""
-    known = labels.filter(use & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    out = None
-    for value, size in sizes.items():
-        part = known.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        out = part if out is None else out.union(part)
-    return out
-
-
-def not_held_out(doc_id: str = "doc_id") -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(True))
-
-
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled documents whose id is not held out, as far as the bounds go."""
-    sizes = {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}
-    chosen = training_rows(labels, "toxic", sizes, not_held_out())
-    # The chosen ids are bounded by the two sizes, so the texts stay where they are.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.filter(F.col("text").isNotNull()).select("text", "_label").limit(2 * sum(sizes.values()))
-    found = {r["text"]: bool(r["_label"]) for r in sorted(rows.collect())}
-    return fit(list(found), list(found.values()))
+    texts = training_rows(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE})
+    return fit([t for t, _ in texts], [x for _, x in texts])
 
 
 # --- scoring ----------------------------------------------------------------------
