@@ -55,7 +55,8 @@ def beam_search(vectors, neighbours, queries, entries, beam) -> tuple[np.ndarray
     seen = np.zeros((count, size + 1), bool)
     seen[:, size] = True  # stands for no node
     rows = np.arange(count)[:, None]
-    entries = np.where(entries < 0, size, entries)
+    entries = np.sort(np.where(entries < 0, size, entries), axis=1)
+    entries[:, 1:][entries[:, 1:] == entries[:, :-1]] = size
     found = np.full((count, beam), size)
     far = np.full((count, beam), np.inf, np.float32)
     width = min(beam, entries.shape[1])
@@ -193,7 +194,7 @@ def search(vectors: np.ndarray, layers, queries: np.ndarray, beam: int) -> np.nd
     """Nodes found for each query, nearest first, -1 for none."""
     small = vectors.astype(np.float32)
     entries = _descend(small, layers[:-1], queries.astype(np.float32), layers[-1][0])
-    entries = np.where(entries < 0, entries[:, :1].clip(0), entries)
+    entries = np.where(entries < 0, 0, entries)
     out = [beam_search(small, layers[-1][1], queries[a : a + _BATCH].astype(np.float32), entries[a : a + _BATCH], beam)[0] for a in range(0, len(queries), _BATCH)]
     return np.concatenate(out)
 
