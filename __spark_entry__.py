@@ -16,7 +16,7 @@ from costlens import schema as S
 from costlens.operators import alerts, filters, forecast, kpis, rollups, spend
 from costlens.plans.ingest import load_bills
 from costlens.session import scratch_dir
-from costlens.sources import bill_csv, bill_table
+from costlens.sources import bill_csv, bill_table, files
 from costlens.sources.views import bill_from_events, bill_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,19 +160,33 @@ def _alert_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.alert_cards(_alert_feed(spark, sf_dir))
 
 
-def _exported(spark: SparkSession, bills: DataFrame) -> str:
-    path = f"{scratch_dir(spark)}/csv"
-    bill_csv.write_bill_csv(bills, path)
-    return path
+def _with_files(build: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+    """A query that writes files on its way: they go once its result is stored."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_dir(spark)
+        try:
+            result = build(spark, sf_dir, folder)
+            result.write.parquet(f"{folder}-result")
+        finally:
+            files.delete(spark, folder)
+        return spark.read.schema(result.schema).parquet(f"{folder}-result")
 
-def _ingest_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _exported(spark, bill_from_lineitem(spark, sf_dir))
+    return run
+
+
+def _exported(bills: DataFrame, folder: str) -> str:
+    bill_csv.write_bill_csv(bills, f"{folder}/csv")
+    return f"{folder}/csv"
+
+
+def _ingest_csv(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    path = _exported(bill_from_lineitem(spark, sf_dir), folder)
     lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path))
     return lines.withColumn(COST, F.col(COST).cast("double"))
 
 
-def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ingest_rejects(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Bad dates for one service, bad costs for one region, then counted by reason."""
     bills = bill_from_lineitem(spark, sf_dir)
     bad_date = F.when(F.col(SERVICE) == "SMALL", "31/12/1999").otherwise(
@@ -180,10 +194,9 @@ def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bad_cost = F.when(F.col(REGION) == "EUROPE", "n/a").otherwise(F.col(COST).cast("string"))
     text = bills.withColumns({DATE: bad_date, COST: bad_cost})
-    path = f"{scratch_dir(spark)}/csv"
     names = [F.col(c).alias(name) for c, name in S.CSV_HEADER.items()]
-    text.select(*names).write.option("header", True).csv(path)
-    parsed = bill_csv.parse_bill_csv(spark, path)
+    text.select(*names).write.option("header", True).csv(f"{folder}/csv")
+    parsed = bill_csv.parse_bill_csv(spark, f"{folder}/csv")
     reason = F.coalesce(bill_csv.REJECT_REASON, F.lit("valid"))
     return parsed.groupBy(reason.alias("outcome")).agg(
         F.count(F.lit(1)).alias("line_count"),
@@ -191,15 +204,20 @@ def _ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _loaded_table(spark: SparkSession, sf_dir: str) -> str:
-    csv = _exported(spark, bill_from_lineitem(spark, sf_dir))
-    table = f"{scratch_dir(spark)}/bills"
-    load_bills(spark, csv, table, strict=True)
-    return table
+def _ingest_small_costs(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Costs with ten digits behind the point, written as text and read again."""
+    bills = bill_from_lineitem(spark, sf_dir)
+    small = (F.col(COST) / F.lit(10**8)).cast(S.MONEY)
+    path = _exported(bills.withColumn(COST, small), folder)
+    lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path))
+    totals = lines.groupBy(SERVICE).agg(F.sum(COST).alias("total"), F.count(F.lit(1)).alias("line_count"))
+    return totals.select(SERVICE, "line_count", F.col("total").cast("string").alias("total_cost"))
 
 
-def _table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = bill_table.read_bills(spark, _loaded_table(spark, sf_dir), line_ids=True)
+def _table_load(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    csv = _exported(bill_from_lineitem(spark, sf_dir), folder)
+    load_bills(spark, csv, f"{folder}/bills", strict=True)
+    stored = bill_table.read_bills(spark, f"{folder}/bills", line_ids=True)
     return stored.groupBy(S.MONTH).agg(
         F.count(F.lit(1)).alias("line_count"),
         F.min(S.LINE_ID).alias("first_id"),
@@ -208,24 +226,14 @@ def _table_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ingest_small_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs with ten digits behind the point, written as text and read again."""
-    bills = bill_from_lineitem(spark, sf_dir)
-    small = (F.col(COST) / F.lit(10**8)).cast(S.MONEY)
-    path = _exported(spark, bills.withColumn(COST, small))
-    lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path))
-    totals = lines.groupBy(SERVICE).agg(F.sum(COST).alias("total"), F.count(F.lit(1)).alias("line_count"))
-    return totals.select(SERVICE, "line_count", F.col("total").cast("string").alias("total_cost"))
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = f"{scratch_dir(spark)}/bills"
-    bill_table.replace_bills(bill_from_lineitem(spark, sf_dir), table)
-    return bill_table.read_bills(spark, table)
+def _on_table(operator, **kwargs) -> Query:
+    """The operator over the stored table."""
 
+    def build(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+        bill_table.replace_bills(bill_from_lineitem(spark, sf_dir), f"{folder}/bills")
+        return operator(bill_table.read_bills(spark, f"{folder}/bills"), **kwargs)
 
-def _on_table(operator, **kwargs) -> Query:
-    return lambda spark, sf_dir: operator(_stored(spark, sf_dir), **kwargs)
+    return _with_files(build)
 
 
 def _on_lines(operator, *columns: str, **kwargs) -> Query:
@@ -235,10 +243,6 @@ def _on_lines(operator, *columns: str, **kwargs) -> Query:
     )
 
 
-def _table_filtered_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filtered_daily(_stored(spark, sf_dir))
-
-
 def bill_queries() -> dict[str, Query]:
     """One entry per operator on bills; each runs over whole tables."""
     stats = (SERVICE, RESOURCE, COST)
@@ -283,11 +287,11 @@ def bill_queries() -> dict[str, Query]:
         **_both("outlier_alerts_all", alerts.outlier_alerts, *stats, top_n=None),
         "alert_feed": _alert_feed,
         "alert_cards": _alert_cards,
-        "ingest_csv": _ingest_csv,
-        "ingest_rejects": _ingest_rejects,
-        "ingest_small_costs": _ingest_small_costs,
-        "table_load": _table_load,
-        "table_filtered_daily": _table_filtered_daily,
+        "ingest_csv": _with_files(_ingest_csv),
+        "ingest_rejects": _with_files(_ingest_rejects),
+        "ingest_small_costs": _with_files(_ingest_small_costs),
+        "table_load": _with_files(_table_load),
+        "table_filtered_daily": _on_table(_filtered_daily),
         "table_growth": _on_table(alerts.growth_alerts, threshold_pct=-100.0),
         "table_date_bounds": _on_table(filters.date_bounds),
         "monthly_spend_lines": _on_lines(spend.monthly_spend, DATE, COST),

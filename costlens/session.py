@@ -26,8 +26,9 @@ def builder(app_name: str = "costlens") -> SparkSession.Builder:
 
 
 @cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="costlens-")
+def _local_scratch() -> tempfile.TemporaryDirectory:
+    """A folder that goes when this process ends."""
+    return tempfile.TemporaryDirectory(prefix="costlens-", ignore_cleanup_errors=True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,5 +40,5 @@ def scratch_dir(spark: SparkSession) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = _local_scratch()
+        shared = _local_scratch().name
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

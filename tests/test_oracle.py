@@ -1,5 +1,7 @@
 """Every registered query against its SQL, values and types."""
 
+import uuid
+
 import pytest
 from conftest import SF_DIR
 from oracle import connect, differences
@@ -26,3 +28,11 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
+
+
+def test_written_files_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry, "scratch_dir", lambda _: f"{tmp_path}/{uuid.uuid4().hex}")
+    for name in ("ingest_csv", "table_load", "table_growth"):
+        assert QUERIES[name](spark, SF_DIR).count() > 0
+    assert len(list(tmp_path.iterdir())) == 3
+    assert all(p.name.endswith("-result") for p in tmp_path.iterdir())
