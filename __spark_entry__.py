@@ -664,7 +664,9 @@ FROM bills GROUP BY 1"""
 try:
     import corpus_pipeline
     from costlens.llm import queries as llm
-except ModuleNotFoundError:
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "costlens.llm"):
+        raise
     llm = corpus_pipeline = None
 
 
