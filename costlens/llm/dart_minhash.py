@@ -15,9 +15,14 @@ From signatures to classes:
 3. *Stars.* In each bucket every text is compared with the one of the smallest id: as
    many pairs as texts, however large the bucket. Similarities are exact, from the
    whole shingle sets.
-4. *The rest.* A bucket whose texts are in one class by now can hide no other class.
-   In other buckets, texts of different classes are compared unless the distances to
-   the bucket's smallest id (a metric) or the sizes show that they cannot be similar.
+4. *The rest.* A bucket whose texts are in one class by now can hide no other class. In
+   the other buckets texts stand in the order of the signature from that band on, so
+   that the most similar are next to each other (as in a forest of prefix trees), and
+   each is compared with those of other classes among the ``NEXT`` that follow: all of
+   them in buckets of up to ``NEXT`` + 1 texts, a number in proportion to the texts in
+   larger ones. Every text is in ``BANDS`` such orders. Sizes that rule a pair out save it.
+   The orders of all buckets are one sorted table, cut by range, so a bucket may stretch
+   over many tasks; the up to ``NEXT`` ** 2 / 2 pairs at a cut are left to the other orders.
 5. Classes are the connected components, found by large-star and small-star rounds.
 
 Pairs are verified from a table of the texts that share a bucket with another one.
@@ -43,6 +48,8 @@ from costlens.session import scratch_dir
 BANDS, ROWS = 40, 6
 SHINGLE = 5
 SIMILARITY = 0.8
+NEXT = 8
+_TAIL = 64  # coordinates that order a bucket, two bytes of each
 
 
 # --- shingles -----------------------------------------------------------------------
@@ -56,7 +63,8 @@ def shingles(block: Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     rows, found = words.row[at], hashes[at]
     short = np.flatnonzero((words.counts > 0) & (words.counts < size))
     if len(short):
-        whole = np.array([windows(words.hashes[words.first[r] : words.first[r + 1]], np.zeros(words.counts[r]), int(words.counts[r]))[0][0] for r in short], U64)
+        own = [words.hashes[words.first[r] : words.first[r + 1]] for r in short]
+        whole = np.array([windows(h, np.zeros(len(h)), len(h))[0][0] for h in own], U64)
         rows, found = np.concatenate([rows, short]), np.concatenate([found, whole])
         order = np.argsort(rows, kind="stable")
         rows, found = rows[order], found[order]
@@ -137,7 +145,7 @@ def bands(signature: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
     return out
 
 
-_SKETCH = "_id long, _twin long, size long, keys array<long>"
+_SKETCH = "_id long, _twin long, size long, keys array<long>, sketch binary"
 
 
 def _sketches(n_bands: int, n_rows: int):
@@ -147,17 +155,20 @@ def _sketches(n_bands: int, n_rows: int):
                 row, hashes = shingles(block)
                 row, hashes, counts = weighted(row, hashes)
                 sizes = np.bincount(row, counts, minlength=block.rows).astype(np.int64)
-                keys = bands(signatures(row, hashes, counts, block.rows, n_bands * n_rows), n_bands, n_rows)
                 full = np.flatnonzero(sizes)
+                signature = signatures(row, hashes, counts, block.rows, n_bands * n_rows)[full]
+                keys = bands(signature, n_bands, n_rows)
+                short = (signature & U64(0xFFFF)).astype(">u2")
                 offsets = np.arange(len(full) + 1, dtype=np.int32) * n_bands
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["_id"].slice(at.start, at.stop - at.start).take(pa.array(full)),
                         batch["_twin"].slice(at.start, at.stop - at.start).take(pa.array(full)),
                         pa.array(sizes[full]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys[full].reshape(-1)))),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(keys.reshape(-1)))),
+                        pa.array([s.tobytes() for s in short], pa.binary()),
                     ],
-                    names=["_id", "_twin", "size", "keys"],
+                    names=["_id", "_twin", "size", "keys", "sketch"],
                 )
 
     return run
@@ -197,28 +208,55 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of ids ``a`` < ``b`` with the exact similarity of their texts."""
     left = texts.select(F.col(ID).alias("a"), "text")
     right = texts.select(F.col(ID).alias("b"), F.col("text").alias("other"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text", "other").mapInArrow(_similarities, "a long, b long, similarity double")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text", "other")
+    return both.mapInArrow(_similarities, "a long, b long, similarity double")
 
 
-def _rest(members: DataFrame, stars: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket but of different classes that may still be similar."""
+def _next_in_order(similarity: float):
+    """For ordered rows, those of the same key and another class among the ``NEXT`` that follow."""
+
+    def run(batches):
+        kept = None  # the last rows of the batch before
+        for batch in batches:
+            now = {c: batch[c].to_numpy() for c in ("key", ID, "root", "size")}
+            fresh = len(now["key"])
+            if kept is not None:
+                now = {c: np.concatenate([kept[c], now[c]]) for c in now}
+            old = len(now["key"]) - fresh
+            kept = {c: v[-NEXT:] for c, v in now.items()}
+            first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for step in range(1, NEXT + 1):
+                b = np.arange(max(old, step), old + fresh)
+                a = b - step
+                least, most = (f(now["size"][a], now["size"][b]) for f in (np.minimum, np.maximum))
+                fits = (now["key"][a] == now["key"][b]) & (now["root"][a] != now["root"][b])
+                fits &= least >= similarity * most - 1e-9
+                first.append(now[ID][a[fits]])
+                second.append(now[ID][b[fits]])
+            first, second = np.concatenate(first), np.concatenate(second)
+            order = np.argsort(first, kind="stable")
+            first, second = first[order], second[order]
+            texts, at = np.unique(first, return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)).astype(np.int32)), pa.array(second))
+            yield pa.RecordBatch.from_arrays([pa.array(texts), lists], names=[ID, "b"])
+
+    return run
+
+
+def _rest(members: DataFrame, sketches: DataFrame, classes: DataFrame, similarity: float, n_rows: int) -> DataFrame:
+    """Pairs of one bucket but of different classes that may be similar; see step 4 above."""
     classed = members.join(classes, members[ID] == classes["node"], "left").select(
-        "key", "center", ID, "size", F.coalesce("root", ID).alias("root")
+        "key", "band", ID, "size", F.coalesce("root", ID).alias("root")
     )
     mixed = classed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    apart = stars.select(F.col("a").alias("center"), F.col("b").alias(ID), (1 - F.col("similarity")).alias("apart"))
-    # The center has met all others of its bucket already.
-    left = classed.join(mixed, "key").join(apart, ["center", ID]).drop("center")
-    right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in (ID, "size", "root", "apart")])
-    lossy = F.lit(1 - similarity + 1e-9)
-    return (
-        left.join(right, "key")
-        .filter((F.col(ID) < F.col(f"{ID}_2")) & (F.col("root") != F.col("root_2")))
-        .filter(F.least("size", "size_2") >= similarity * F.greatest("size", "size_2") - 1e-9)
-        .filter(F.abs(F.col("apart") - F.col("apart_2")) <= lossy)
-        .select(F.col(ID).alias("a"), F.col(f"{ID}_2").alias("b"))
-        .distinct()
-    )
+    open_members = classed.join(mixed, "key").join(sketches.select(ID, "sketch"), ID)
+    twice = F.concat("sketch", "sketch")  # the signature goes on at its beginning
+    tail = F.substr(twice, 2 * n_rows * (F.col("band") + 1) + 1, F.lit(2 * _TAIL))
+    ordered = open_members.select("key", tail.alias("tail"), ID, "root", "size").repartitionByRange("key", "tail", ID)
+    ordered = ordered.sortWithinPartitions("key", "tail", ID)
+    partners = ordered.mapInArrow(_next_in_order(similarity), f"{ID} long, b array<long>").groupBy(ID)
+    pairs = partners.agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")).select(ID, F.explode("b").alias("b"))
+    return pairs.select(F.least(ID, "b").alias("a"), F.greatest(ID, "b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -243,8 +281,9 @@ def near_duplicates(
     known = firsts.select(*KEY, "_n")
 
     sketches = texts.mapInArrow(_sketches(n_bands, n_rows), _SKETCH)
-    sketches = stored(sketches.join(known, KEY).select(F.col("_n").alias(ID), "size", "keys"), f"{folder}/sketches")
-    members = sketches.select(ID, "size", F.explode("keys").alias("key"))
+    sketches = sketches.join(known, KEY).select(F.col("_n").alias(ID), "size", "keys", "sketch")
+    sketches = stored(sketches, f"{folder}/sketches")
+    members = sketches.select(ID, "size", F.posexplode("keys").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min(ID).alias("center"), F.max(ID).alias("last")).filter("last > center")
     members = stored(members.join(buckets.select("key", "center"), "key"), f"{folder}/members")
 
@@ -256,10 +295,12 @@ def near_duplicates(
     stars = stored(_verified(stars, shared), f"{folder}/stars")
     linked = stars.filter(F.col("similarity") >= similarity)
     early = components(linked, f"{folder}/early")
-    rest = _verified(_rest(members, stars, early, similarity), shared)
+    rest = _verified(_rest(members, sketches, early, similarity, n_rows), shared)
     rest = stored(rest.filter(F.col("similarity") >= similarity), f"{folder}/rest")
     links = linked.unionByName(rest)
-    final = components(links, f"{folder}/final") if rest.take(1) else early
+    # What the early classes hold together stays together.
+    bridges = early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
+    final = components(bridges, f"{folder}/final") if rest.take(1) else early
 
     rooted = firsts.join(final, firsts["_n"] == final["node"], "left").withColumn("_root", F.coalesce("root", "_n"))
     first = F.min(F.struct(ID, "_n")).alias("first")
