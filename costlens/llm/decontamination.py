@@ -157,7 +157,15 @@ def _sieve(found: DataFrame) -> np.ndarray:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    cover: float = COVER,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
     """One row for each document and item it leaks: ``_id`` and ``_twin`` of the document,
     ``item_id``, ``n_tokens`` of the item, ``covered`` tokens and ``verbatim``."""
     spark = docs.sparkSession
@@ -189,7 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, doc_id: s
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max(same).alias("verbatim")
     )
     # A window adds its width, less what the window before it covers already.
-    steps = F.zip_with(F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1), lambda b, a: F.least(b - a, F.col("width")))
+    behind, ahead = F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1)
+    steps = F.zip_with(behind, ahead, lambda b, a: F.least(b - a, F.col("width")))
     covered = F.col("width") + F.aggregate(steps, F.lit(0), lambda s, x: s + x)
     return (
         found.withColumn("covered", covered)

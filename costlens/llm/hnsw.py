@@ -43,7 +43,8 @@ _BATCH = 512
 def _distances(vectors: np.ndarray, nodes: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Squared distances of each query to its own row of nodes."""
     own = vectors[nodes]
-    return np.einsum("qnd,qnd->qn", own, own) - 2 * np.einsum("qnd,qd->qn", own, queries) + np.einsum("qd,qd->q", queries, queries)[:, None]
+    norms = np.einsum("qnd,qnd->qn", own, own) + np.einsum("qd,qd->q", queries, queries)[:, None]
+    return norms - 2 * np.einsum("qnd,qd->qn", own, queries)
 
 
 def beam_search(vectors, neighbours, queries, entries, beam) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +185,7 @@ def _descend(vectors, layers, queries, nodes, beam: int = 4) -> np.ndarray:
     for i, (own, neighbours) in enumerate(layers):
         below = layers[i + 1][0] if i + 1 < len(layers) else nodes
         start = found if i else np.zeros((len(queries), 1), np.int64)
-        parts = [beam_search(vectors[own], neighbours, queries[a : a + _BATCH], start[a : a + _BATCH], beam)[0] for a in range(0, len(queries), _BATCH)]
-        places = np.concatenate(parts)
+        places = _in_batches(vectors[own], neighbours, queries, start, beam)
         found = np.where(places >= 0, np.searchsorted(below, own[np.maximum(places, 0)]), -1)
     return found
 
@@ -195,8 +195,12 @@ def search(vectors: np.ndarray, layers, queries: np.ndarray, beam: int) -> np.nd
     small = vectors.astype(np.float32)
     entries = _descend(small, layers[:-1], queries.astype(np.float32), layers[-1][0])
     entries = np.where(entries < 0, 0, entries)
-    out = [beam_search(small, layers[-1][1], queries[a : a + _BATCH].astype(np.float32), entries[a : a + _BATCH], beam)[0] for a in range(0, len(queries), _BATCH)]
-    return np.concatenate(out)
+    return _in_batches(small, layers[-1][1], queries.astype(np.float32), entries, beam)
+
+
+def _in_batches(vectors, neighbours, queries, entries, beam) -> np.ndarray:
+    parts = [slice(a, a + _BATCH) for a in range(0, len(queries), _BATCH)]
+    return np.concatenate([beam_search(vectors, neighbours, queries[p], entries[p], beam)[0] for p in parts])
 
 
 # --- on Spark -----------------------------------------------------------------------
@@ -292,7 +296,14 @@ def build_index(vectors: DataFrame, k: int, folder: str) -> DataFrame:
     return stored(placed.groupBy("dim", "shard").applyInArrow(_build_shard, _INDEX), f"{folder}/index")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, beam: int = SEARCH_BEAM, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    beam: int = SEARCH_BEAM,
+    vec_id: str = "vec_id",
+    vector: str = "embedding",
+) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found for each query."""
     folder = scratch_dir(vectors.sparkSession)
     index = build_index(usable(vectors, vec_id, vector), k, folder)

@@ -57,9 +57,9 @@ class Vocabulary:
             raise ValueError("pieces that hold a line end are not supported")
         if len(self.ids) != len(self.normal):
             raise ValueError("the vocabulary holds a piece twice")
-        texts = [b"" if kinds[i] in (2, 3) else bytes([int(p[3:5], 16)]) if kinds[i] == 6 else p.encode() for i, p in enumerate(pieces)]
-        self.bytes = np.frombuffer(b"".join(t.replace(MARK.encode(), b" ") for t in texts), np.uint8)
-        self.ends = np.cumsum([len(t.replace(MARK.encode(), b" ")) for t in texts])
+        texts = [self._bytes_of(p, k) for p, k in zip(pieces, kinds, strict=True)]
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.ends = np.cumsum([len(t) for t in texts])
         self.longest = max(map(len, self.ids))
         if model == BPE:
             self._learn_merges()
@@ -67,6 +67,13 @@ class Vocabulary:
             raise ValueError("unigram and BPE models are supported")
         self._index()
 
+    @staticmethod
+    def _bytes_of(piece: str, kind: int) -> bytes:
+        """What a piece decodes to: nothing for the unknown and the control pieces."""
+        if kind == 6:
+            return bytes([int(piece[3:5], 16)])
+        return b"" if kind in (2, 3) else piece.replace(MARK, " ").encode()
+
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         """From a ``.model`` file that leaves texts as they are but for the boundary marks."""
@@ -76,7 +83,8 @@ class Vocabulary:
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
         spec = proto.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not spec.escape_whitespaces:
+        changes = spec.precompiled_charsmap or spec.remove_extra_whitespaces
+        if changes or not (spec.add_dummy_prefix and spec.escape_whitespaces):
             raise ValueError("the model's normalisation is not supported")
         rows = proto.pieces
         return cls([p.piece for p in rows], [p.score for p in rows], [p.type for p in rows], proto.trainer_spec.model_type)
@@ -204,7 +212,8 @@ class Vocabulary:
         total = np.concatenate([[0], np.cumsum(size)])
         own = data[np.arange(total[-1]) + np.repeat(starts - total[:-1], size)]
         lead = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])[total]  # characters before each unit
-        points = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        text = own.tobytes().decode("utf-8", "surrogatepass")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         length = np.diff(lead)
         run = np.zeros(len(length), bool)
         if self.model == BPE and len(points):
@@ -271,7 +280,10 @@ class Vocabulary:
             live, column = live[at[live] > 0], column - 1
         strange = np.flatnonzero((out == unknown).any(1))
         if len(strange):
-            lists = {i: self._final("".join(map(chr, points[i].tolist())), out[i][out[i] >= 0].tolist()) for i in strange.tolist()}
+            lists = {
+                i: self._final("".join(map(chr, points[i].tolist())), out[i][out[i] >= 0].tolist())
+                for i in strange.tolist()
+            }
             widest = max(map(len, lists.values()))
             if widest > length:
                 out = np.hstack([np.full((n, widest - length), -1, np.int32), out])
@@ -337,7 +349,8 @@ class Encoder:
         data, bounds = block.data, block.bounds
         starts = _unit_starts(data, bounds)
         ends = np.append(starts[1:], len(data))
-        different, first, back = np.unique(span_hash(block.prefix_sums(), starts, ends), return_index=True, return_inverse=True)
+        hashes = span_hash(block.prefix_sums(), starts, ends)
+        different, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEPT_UNITS:
             self._forget()
         place = np.searchsorted(self.known, different)

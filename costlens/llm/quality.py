@@ -62,7 +62,8 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
         edge = words.starts[first[size > 0]]
         home = np.cumsum(np.bincount(edge, minlength=len(block.data) + 1)[:-1]) - 1
         home = np.flatnonzero(size > 0)[np.maximum(home, 0)]
-        kinds = np.bincount(home * kinds.shape[1] + _TABLE[block.data], minlength=kinds.size).reshape(kinds.shape).astype(float)
+        place = home * kinds.shape[1] + _TABLE[block.data]
+        kinds = np.bincount(place, minlength=kinds.size).reshape(kinds.shape).astype(float)
         sizes = (words.ends - words.starts).astype(float)
         length = np.bincount(owner, sizes, len(row))
         spread = np.bincount(owner, sizes**2, len(row))
@@ -149,7 +150,12 @@ def fit(texts: list[str], good: list[bool], share: float = 0.5) -> Model:
     draw = np.random.default_rng(1)
     shape = {"encode": (x.shape[1], ENCODED), "look": (ENCODED, GATED), "gate": (ENCODED, GATED)}
     model.parts = {k: draw.normal(0, s[0] ** -0.5, s) for k, s in shape.items()}
-    model.parts |= {"encode_bias": np.zeros(ENCODED), "attend": draw.normal(0, GATED**-0.5, GATED), "score": draw.normal(0, ENCODED**-0.5, ENCODED), "score_bias": np.zeros(())}
+    model.parts |= {
+        "encode_bias": np.zeros(ENCODED),
+        "attend": draw.normal(0, GATED**-0.5, GATED),
+        "score": draw.normal(0, ENCODED**-0.5, ENCODED),
+        "score_bias": np.zeros(()),
+    }
     step = {k: np.zeros_like(v) for k, v in model.parts.items()}
     speed = {k: np.zeros_like(v) for k, v in model.parts.items()}
     for turn in range(1, ROUNDS + 1):
@@ -157,7 +163,8 @@ def fit(texts: list[str], good: list[bool], share: float = 0.5) -> Model:
             slope = slope + 1e-4 * model.parts[k]
             step[k] = 0.9 * step[k] + 0.1 * slope
             speed[k] = 0.99 * speed[k] + 0.01 * slope**2
-            model.parts[k] = model.parts[k] - 0.02 * (step[k] / (1 - 0.9**turn)) / (np.sqrt(speed[k] / (1 - 0.99**turn)) + 1e-8)
+            pace = np.sqrt(speed[k] / (1 - 0.99**turn)) + 1e-8
+            model.parts[k] = model.parts[k] - 0.02 * (step[k] / (1 - 0.9**turn)) / pace
     odds = lambda q: np.log(q / (1 - q))
     model.parts["score_bias"] = model.parts["score_bias"] + odds(np.clip(share, 0.01, 0.99)) - odds(y.mean())
     return model

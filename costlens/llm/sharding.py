@@ -88,7 +88,9 @@ def _key(doc_id: str) -> Column:
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
 
 
-def assign(docs: DataFrame, shards: int = 16, load: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(
+    docs: DataFrame, shards: int = 16, load: float | None = None, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot``."""
     spark = docs.sparkSession
     rows = (

@@ -174,12 +174,14 @@ def _repeated_starts(words: Words, window: int, marks) -> np.ndarray:
 def _cut(text: bytes, starts, ends, kept, joined: bool) -> str:
     """The kept words, joined by one space or with the white space that followed them."""
     if joined:
-        return b" ".join([text[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)]).decode("utf-8", "replace")
+        words = zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)
+        return b" ".join([text[a:b] for a, b in words]).decode("utf-8", "replace")
     if not kept.any():
         return ""
     nexts = np.append(starts[1:], len(text))
     lead = text[: starts[0]] if kept[0] else b""
-    return (lead + b"".join([text[a:b] for a, b in zip(starts[kept].tolist(), nexts[kept].tolist(), strict=True)])).decode("utf-8", "replace")
+    parts = zip(starts[kept].tolist(), nexts[kept].tolist(), strict=True)
+    return (lead + b"".join([text[a:b] for a, b in parts])).decode("utf-8", "replace")
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
@@ -206,7 +208,7 @@ def _cut_texts(window: int, joined: bool):
                     else:
                         cut = _cut(block.text(i), words.starts[a:b] - offset, words.ends[a:b] - offset, kept, joined)
                         texts.append(cut)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]]))) if removed[i] else []
+                    edges = np.flatnonzero(np.diff(gone[a:b].view(np.int8), prepend=0, append=0))
                     spans.append([{"first": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 counts = [words.counts.astype(np.int64), removed.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays(
@@ -217,7 +219,9 @@ def _cut_texts(window: int, joined: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, joined: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 20, joined: bool = True, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row for each row of ``docs``: its other columns in a struct ``row``, ``n_words``,
     ``n_removed``, ``kept_text`` and ``removed`` (word ranges ``first`` to before ``end``).
 

@@ -88,7 +88,8 @@ def fill_cache(docs: DataFrame, tokenizer: Tokenizer, cache: str, doc_id: str =
     spark = docs.sparkSession
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias(ID)
     rows = docs.select(key, _digest(text).alias(DIGEST))
-    wanted = rows.groupBy(DIGEST).agg(F.min(ID).alias(ID)).join(read_cache(spark, cache, tokenizer.version), DIGEST, "left_anti")
+    known = read_cache(spark, cache, tokenizer.version)
+    wanted = rows.groupBy(DIGEST).agg(F.min(ID).alias(ID)).join(known, DIGEST, "left_anti")
     texts = docs.select(key, _digest(text).alias(DIGEST), text_of(text).alias("text"))
     missing = texts.join(wanted, [ID, DIGEST]).dropDuplicates([ID, DIGEST]).select(DIGEST, "text")
     shared = spark.sparkContext.broadcast(tokenizer)
