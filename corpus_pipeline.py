@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.llm import dart_minhash, decontamination, pieces, substring_dedup, toxicity
-from costlens.llm.queries import table
+from costlens.llm.queries import importable, table
 from costlens.llm.rows import KEY, keyed
 from costlens.session import scratch_dir
 
@@ -33,6 +33,7 @@ def _with_key(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays."""
+    importable(spark)
     classes, _ = dart_minhash.near_duplicates(docs)
     kept = classes.filter("keeps").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), "_twin").distinct()
     return _with_key(docs).join(kept, KEY).dropDuplicates(KEY).select("row.*")
@@ -40,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more stay only where they occur first; no row goes."""
+    importable(spark)
     kept = substring_dedup.remove_repeats(docs, window=20, joined=False)
     changed = F.col("n_removed") > 0
     columns = {c: F.col(f"row.`{c}`") for c in docs.columns if c != "text"}
@@ -57,9 +59,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each text, their number, and whether decoding gives the text back."""
+    importable(spark)
     vocabulary = pieces.Vocabulary.read(MODEL)
     found = docs.select("doc_id", pieces.encode(spark, vocabulary, F.col("text")).alias("found"))
-    return found.select("doc_id", F.size("found.ids").cast("long").alias("n_pieces"), F.col("found.ids").alias("ids"), F.col("found.exact").alias("exact"))
+    return found.select(
+        "doc_id",
+        F.size("found.ids").cast("long").alias("n_pieces"),
+        F.col("found.ids").alias("ids"),
+        F.col("found.exact").alias("exact"),
+    )
 
 
 STAGES = [

@@ -1,12 +1,16 @@
 """Licence texts by canonical digest.
 
-A text's canonical form is in lower case, without copyright lines, with blanks for
-punctuation and white space, and with one spelling for words that licences spell in
-several ways. The digests of the whole text and of each statement in it (a line or a
-sentence) are joined with those of known licences; a known text is matched entire.
-
-The known texts are broadcast if they are at most ``MAX_BROADCAST``, counted before; a
-larger collection is joined by shuffling. Only matches are grouped by document.
+A text is its statements, the parts between line ends and ends of sentences. The
+canonical form of a statement is in lower case, with blanks for punctuation and white
+space, and with one spelling for words that licences spell in several ways; copyright
+and all-rights-reserved statements have none. The canonical form of a text is those of
+its statements in a row. The digests of the whole text and of each statement are joined
+with those of known licences; a known text is matched entire.
+
+Every text is normalised once, for both. If the known texts are at most
+``MAX_BROADCAST``, counted before, their digests are a scalar that sifts each text's
+statements before they are joined; a larger collection is joined without that sieve, by
+shuffling the digests. The rows are the same.
 
 Defined results: a null text, and one without letters or digits, matches nothing; equal
 known texts under several names are all reported, the smallest name for the whole text;
@@ -18,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm.rows import ID, KEY, TWIN, keyed, text_of
+from costlens.llm.rows import text_of
 
 MAX_BROADCAST = 10_000
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]|by )[^\n]*$"
-RIGHTS_LINE = r"(?m)^[^\p{L}\n]*all rights reserved[^\p{L}\n]*$"
+COPYRIGHT = r"^[^\p{L}]*(copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]|by ).*$"
+RIGHTS = r"^[^\p{L}]*all rights reserved[^\p{L}]*$"
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"([.!?])[ \t]+"
 
@@ -70,17 +74,25 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 }
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text; empty if it has neither letters nor digits."""
+def _statement(text: Column) -> Column:
+    """The canonical form of a statement; empty if it has neither letters nor digits."""
     out = F.lower(text)
-    for pattern in (COPYRIGHT_LINE, RIGHTS_LINE):
-        out = F.regexp_replace(out, pattern, "")
+    # Looking for the words first is cheaper than trying the patterns everywhere.
+    named = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("(c)"))
+    out = F.when(named, F.regexp_replace(out, COPYRIGHT, "")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("all rights reserved")), F.regexp_replace(out, RIGHTS, "")).otherwise(out)
     out = F.regexp_replace(out, BETWEEN_WORDS, " ")
     for spelling, usual in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(usual))
     return F.trim(out)
 
 
+def statements(text: Column) -> Column:
+    """Canonical forms of all statements of a text, without the empty ones."""
+    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
+    return F.filter(F.transform(parts, _statement), lambda x: x != "")
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "license string, text string")
 
@@ -89,25 +101,19 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     """One row for each row of ``docs``: ``doc_id``, ``digest`` of the canonical text,
     ``license`` of the whole text and the ``notices`` among its statements."""
     known = known_licenses(docs.sparkSession) if known is None else known
-    known = known.select("license", canonical(F.col("text")).alias("_form")).filter("_form <> ''")
-    known = known.select("license", F.sha2("_form", 256).alias("digest"))
-    if known.count() <= MAX_BROADCAST:
-        known = F.broadcast(known)
-    texts = keyed(docs, doc_id, text)
-    lines = F.regexp_replace("text", SENTENCE_END, "$1\n")
-    statements = texts.select(*KEY, F.explode(F.split(lines, "\n")).alias("_line"))
-    statements = statements.select(*KEY, canonical(F.col("_line")).alias("_form")).filter("_form <> ''")
-    found = statements.select(*KEY, F.sha2("_form", 256).alias("digest")).join(known, "digest")
-    notices = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("license")).alias("notices"))
-    whole = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias(ID),
-        F.xxhash64(text_of(text)).alias(TWIN),
-        F.sha2(canonical(text_of(text)), 256).alias("digest"),
-    )
-    names = known.groupBy("digest").agg(F.min("license").alias("license"))
-    return (
-        whole.join(names, "digest", "left")
-        .join(notices, KEY, "left")
-        .select("doc_id", "digest", "license", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    known = known.select("license", F.array_join(statements(text_of("text")), " ").alias("form")).filter("form <> ''")
+    known = known.select("license", F.sha2("form", 256).alias("notice"))
+    forms = docs.select(F.col(doc_id).alias("doc_id"), statements(text_of(text)).alias("forms"))
+    digests = forms.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        F.sha2(F.array_join("forms", " "), 256).alias("digest"),
+        F.transform("forms", lambda x: F.sha2(x, 256)).alias("parts"),
     )
+    if known.count() <= MAX_BROADCAST:
+        sieve = known.agg(F.collect_set("notice")).scalar()
+        digests = digests.withColumn("parts", F.array_intersect("parts", sieve))
+    notices = digests.withColumn("notice", F.explode_outer("parts")).drop("parts").join(known, "notice", "left")
+    names = known.groupBy(F.col("notice").alias("digest")).agg(F.min("license").alias("license"))
+    found = notices.groupBy("row", "doc_id", "digest").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    return found.join(names, "digest", "left").select("doc_id", "digest", "license", "notices")

@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import dart_minhash, decontamination, hnsw, licenses, pieces, quality, sharding, substring_dedup, token_counts, toxicity
+from costlens.llm import (
+    dart_minhash,
+    decontamination,
+    hnsw,
+    licenses,
+    pieces,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from costlens.llm.labels import not_held_out
 from costlens.llm.rows import NO_ID
 from costlens.session import scratch_dir
@@ -21,9 +32,13 @@ TOKEN_LIMIT = 1024
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers find the package where it is not installed, as in a checkout.
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find the package where it is not installed, as in a checkout."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -148,29 +163,28 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 FROM split LEFT JOIN kept USING (doc_id)"""
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"lower({text})"
-    for pattern in (licenses.COPYRIGHT_LINE, licenses.RIGHTS_LINE):
-        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+def _statements_sql(text: str) -> str:
+    out = "lower(x)"
+    for pattern in (licenses.COPYRIGHT, licenses.RIGHTS):
+        out = f"regexp_replace({out}, '{pattern}', '')"
     out = f"regexp_replace({out}, '{licenses.BETWEEN_WORDS}', ' ', 'g')"
     for spelling, usual in licenses.SPELLINGS.items():
         out = f"replace({out}, '{spelling}', '{usual}')"
-    return f"trim({out})"
+    parts = f"string_split(regexp_replace(coalesce({text}, ''), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))"
+    return f"list_filter(list_transform({parts}, lambda x: trim({out})), lambda x: x <> '')"
 
 
 _KNOWN_SQL = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
 OP4_SQL = f"""
 WITH known AS (
-  SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) AS k(license, text)),
-lines AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '{licenses.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10))) AS line
-  FROM documents),
-found AS (
-  SELECT DISTINCT doc_id, license FROM lines JOIN known ON digest = sha256({_canonical_sql("line")})),
+  SELECT license, sha256(array_to_string({_statements_sql("text")}, ' ')) AS digest
+  FROM (VALUES {_KNOWN_SQL}) AS k(license, text)),
+forms AS (SELECT doc_id, {_statements_sql("text")} AS forms FROM documents),
+parts AS (SELECT doc_id, unnest(forms) AS form FROM forms),
+found AS (SELECT DISTINCT doc_id, license FROM parts JOIN known ON digest = sha256(form)),
 notices AS (
   SELECT doc_id, string_agg(license, ', ' ORDER BY license) AS notices FROM found GROUP BY doc_id),
-whole AS (
-  SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents),
+whole AS (SELECT doc_id, sha256(array_to_string(forms, ' ')) AS digest FROM forms),
 names AS (SELECT digest, min(license) AS license FROM known GROUP BY digest)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN names USING (digest) LEFT JOIN notices USING (doc_id)"""
