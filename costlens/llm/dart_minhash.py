@@ -21,9 +21,17 @@ From signatures to classes:
    each is compared with those of other classes among the ``NEXT`` that follow: all of
    them in buckets of up to ``NEXT`` + 1 texts, a number in proportion to the texts in
    larger ones. Every text is in ``BANDS`` such orders. Sizes that rule a pair out save it.
-   The orders of all buckets are one sorted table, cut by range, so a bucket may stretch
-   over many tasks; the up to ``NEXT`` ** 2 / 2 pairs at a cut are left to the other orders.
-5. Classes are the connected components, found by large-star and small-star rounds.
+   The orders of all buckets are one sorted table, cut by range; a bucket of more than
+   ``NEXT`` + 1 texts may stretch over many tasks, a smaller one is never cut.
+5. *Look-alikes.* The texts of larger buckets that hold several classes even now are
+   joined exactly. All shingles have one order, those of a single class first, then the
+   rarest; two texts of similarity ``s`` share one of the first ``size - s * size + 1`` of
+   each. Pairs of different classes meet there, and sizes, places and the number of shared
+   shingles rule out most before they are compared. The texts of a frequent shingle are
+   dealt to blocks of about ``CELL``, each two of which meet in a cell of their own, so no
+   task holds all of them. The pairs still grow with the square of a group whose texts
+   share their rarest shingles and are in different classes.
+6. Classes are the connected components, found by large-star and small-star rounds.
 
 Pairs are verified from a table of the texts that share a bucket with another one.
 
@@ -37,7 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.llm.components import components, stored
@@ -49,6 +57,8 @@ BANDS, ROWS = 40, 6
 SHINGLE = 5
 SIMILARITY = 0.8
 NEXT = 8
+CELL = 256
+_SALTS = 64
 _TAIL = 64  # coordinates that order a bucket, two bytes of each
 
 
@@ -243,22 +253,98 @@ def _next_in_order(similarity: float):
     return run
 
 
-def _rest(members: DataFrame, sketches: DataFrame, classes: DataFrame, similarity: float, n_rows: int) -> DataFrame:
-    """Pairs of one bucket but of different classes that may be similar; see step 4 above."""
-    classed = members.join(classes, members[ID] == classes["node"], "left").select(
+def _classed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return members.join(classes, members[ID] == classes["node"], "left").select(
         "key", "band", ID, "size", F.coalesce("root", ID).alias("root")
     )
-    mixed = classed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
-    open_members = classed.join(mixed, "key").join(sketches.select(ID, "sketch"), ID)
+
+
+def _mixed(classed: DataFrame) -> DataFrame:
+    """Buckets of several classes, with their number of texts."""
+    found = classed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(ID).alias("n"))
+    return found.filter("r <> s").select("key", "n")
+
+
+def _rest(members: DataFrame, sketches: DataFrame, classes: DataFrame, similarity: float, n_rows: int) -> DataFrame:
+    """Pairs of one bucket but of different classes that may be similar; see step 4 above."""
+    classed = _classed(members, classes)
+    open_members = classed.join(_mixed(classed), "key").join(sketches.select(ID, "sketch"), ID)
     twice = F.concat("sketch", "sketch")  # the signature goes on at its beginning
     tail = F.substr(twice, 2 * n_rows * (F.col("band") + 1) + 1, F.lit(2 * _TAIL))
-    ordered = open_members.select("key", tail.alias("tail"), ID, "root", "size").repartitionByRange("key", "tail", ID)
-    ordered = ordered.sortWithinPartitions("key", "tail", ID)
+    ordered = open_members.select("key", tail.alias("tail"), ID, "root", "size", (F.col("n") > NEXT + 1).alias("large"))
+    ordered = ordered.repartitionByRange("key", F.expr("if(large, tail, null)"), F.expr(f"if(large, {ID}, null)"))
+    ordered = ordered.sortWithinPartitions("key", "tail", ID).drop("large")
     partners = ordered.mapInArrow(_next_in_order(similarity), f"{ID} long, b array<long>").groupBy(ID)
     pairs = partners.agg(F.array_distinct(F.flatten(F.collect_list("b"))).alias("b")).select(ID, F.explode("b").alias("b"))
     return pairs.select(F.least(ID, "b").alias("a"), F.greatest(ID, "b").alias("b")).distinct()
 
 
+def _units(batches):
+    """Each unit of weight of each shingle of a text, with the text's class and size."""
+    for batch in batches:
+        for at, block in blocks(batch["text"], 1 << 20):
+            rows, hashes, counts = weighted(*shingles(block))
+            sizes = np.bincount(rows, counts, minlength=block.rows).astype(np.int64)
+            rows, units, _ = _columns(rows, hashes, counts)
+            ids, roots = (batch[c].to_numpy()[at][rows] for c in (ID, "root"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(roots), pa.array(sizes[rows]), pa.array(signed(units))], names=[ID, "root", "size", "unit"]
+            )
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Rows with the number ``n`` of rows of their unit and whether several classes are ``among`` them.
+
+    A unit's rows are dealt to ``_SALTS`` parts, so no task reads all of a frequent one.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(ID), F.lit(_SALTS)))
+    parts = salted.groupBy("unit", "salt").agg(F.count(ID).alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
+    whole = parts.groupBy("unit").agg(
+        F.sum("n").alias("n"), (F.min("r") != F.max("s")).alias("among"), F.collect_list("salt").alias("salts")
+    )
+    return salted.join(whole.select("unit", "n", "among", F.explode("salts").alias("salt")), ["unit", "salt"]).drop("salt")
+
+
+def _look_alikes(members: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """All pairs of different classes that may be similar, of the texts of step 5 above."""
+    classed = _classed(members, classes)
+    large = _mixed(classed).filter(F.col("n") > NEXT + 1).select("key")
+    wanted = classed.join(large, "key").select(ID, "root").distinct()
+    units = texts.join(wanted, ID).mapInArrow(_units, f"{ID} long, root long, size long, unit long")
+    counted = _counted(stored(units, f"{folder}/units"))
+    place = F.row_number().over(Window.partitionBy(ID).orderBy("among", "n", "unit"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    prefixes = counted.withColumn("place", place).filter((F.col("place") <= first) & F.col("among")).drop("n", "among")
+    met = _counted(stored(prefixes, f"{folder}/prefixes")).filter("among")
+    met = met.withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("own", F.pmod(F.xxhash64(F.lit(1), ID), "cells"))
+    left = met.select(
+        "unit", F.col("own").alias("i"), F.explode(F.expr("sequence(own, cells - 1)")).alias("j"), ID, "root", "size", "place"
+    )
+    right = met.select(
+        "unit",
+        F.explode(F.expr("sequence(0, own)")).alias("i"),
+        F.col("own").alias("j"),
+        *(F.col(c).alias(f"{c}_2") for c in (ID, "root", "size", "place")),
+    )
+    # What two texts can share at most, by the places of one shared shingle; what they must.
+    ahead = F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
+    needed = (F.col("size") + F.col("size_2")) * (similarity / (1 + similarity)) - 1e-6
+    fits = (F.col("root") != F.col("root_2")) & ((F.col("i") < F.col("j")) | (F.col(ID) < F.col(f"{ID}_2")))
+    fits &= F.least("size", "size_2") >= similarity * F.greatest("size", "size_2") - 1e-9
+    fits &= F.least("place", "place_2") + ahead >= needed
+    both = left.join(right, ["unit", "i", "j"]).filter(fits)
+    pairs = both.groupBy(F.least(ID, f"{ID}_2").alias("a"), F.greatest(ID, f"{ID}_2").alias("b")).agg(
+        F.count("unit").alias("shared"), F.min(ahead).alias("ahead"), F.first(needed).alias("needed")
+    )
+    return pairs.filter("shared + ahead >= needed").select("a", "b")
+
+
+def _joined(classes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """Classes with further links; what the classes hold together stays together."""
+    bridges = classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b"))
+    return components(bridges, folder) if links.take(1) else classes
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
@@ -297,10 +383,11 @@ def near_duplicates(
     early = components(linked, f"{folder}/early")
     rest = _verified(_rest(members, sketches, early, similarity, n_rows), shared)
     rest = stored(rest.filter(F.col("similarity") >= similarity), f"{folder}/rest")
-    links = linked.unionByName(rest)
-    # What the early classes hold together stays together.
-    bridges = early.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest.select("a", "b"))
-    final = components(bridges, f"{folder}/final") if rest.take(1) else early
+    later = _joined(early, rest, f"{folder}/later")
+    alike = _verified(_look_alikes(members, shared, later, similarity, folder), shared)
+    alike = stored(alike.filter(F.col("similarity") >= similarity), f"{folder}/alike")
+    links = linked.unionByName(rest).unionByName(alike)
+    final = _joined(later, alike, f"{folder}/final")
 
     rooted = firsts.join(final, firsts["_n"] == final["node"], "left").withColumn("_root", F.coalesce("root", "_n"))
     first = F.min(F.struct(ID, "_n")).alias("first")

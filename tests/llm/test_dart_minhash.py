@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 
@@ -72,6 +73,23 @@ def test_chains_and_a_large_group(docs):
     assert ours(docs(*rows))[0] == brute(rows)
 
 
+def test_look_alikes_of_one_boilerplate(docs, monkeypatch):
+    """Pairs just under 0.8 all around hide the few that are just above it."""
+    monkeypatch.setattr(D, "NEXT", 1)  # as few neighbours as a far larger group would leave
+    base = []
+    for x, y, z in itertools.product(range(7), repeat=3):  # two texts leave out two sections in common at most
+        out = [(x * g * g + y * g + z) % 7 for g in range(7)]
+        kept = [(g, k) for g in range(7) for k in range(7) if k != out[g]]
+        base.append([f"s{g}-{k}-{i}" for g, k in kept for i in range(20)])
+    rows = [(2 * i, " ".join(words)) for i, words in enumerate(base)]
+    for i in range(len(base)):  # planted partners, at 0.81
+        words = base[i][:]
+        for at in range(20, 820, 48):
+            words[at] = f"p{i}-{at}"
+        rows.append((2 * i + 1, " ".join(words)))
+    assert ours(docs(*rows))[0] == collections.Counter((i, i // 2 * 2) for i, _ in rows)
+
+
 def test_odd_rows(odd, odd_rows, none):
     assert ours(odd)[0] == brute([r[:2] for r in odd_rows])
     assert not ours(none)[0]
