@@ -53,7 +53,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of ``benchmark``, also with other values, go."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), exact=True)
     return _with_key(docs).join(found.select(*KEY).distinct(), KEY, "left_anti").select("row.*")
 
 

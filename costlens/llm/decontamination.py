@@ -14,12 +14,18 @@ for one value of the document and the other way round, so "3 boxes and 3 bags" m
 *Decision.* A document leaks an item if windows of consistent alignments cover at least
 ``COVER`` of the item's tokens; it is verbatim if all values are the item's own.
 
+*Word for word.* With ``exact`` (as the registered queries and the pipeline call it) the
+lower-cased tokens themselves are windows too, whatever their types, of an item with any
+token. They need no slots, so numbers and names in every place, another case, and another
+sign before a name lose nothing; an item of fewer than ``WINDOW`` tokens is found
+wherever its tokens follow each other, even if it is a single one.
+
 The windows of the documents pass a bit array of a fixed size, made from the
 benchmark's hashes, before they are joined, so their shuffle holds likely matches only;
 the join is exact however large the benchmark is, and no side is broadcast by hint.
 
 Defined results: null and empty texts leak nothing; items with fewer than ``SHORTEST``
-tokens or mostly placeholders have no windows; equal items are all reported; rows of one
+tokens or mostly placeholders have no template windows; equal items are all reported; rows of one
 id and one text are one document; null ids count as the largest id.
 """
 
@@ -103,6 +109,12 @@ class Template:
         at = at[2 * (self.literals[at + n] - self.literals[at]) >= n]
         return at, hashes[at]
 
+    def exact_windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of each window of ``n`` tokens as they are, in lower case."""
+        hashes, inside = windows(self.values, self.row, n, seed=n + WINDOW)
+        at = np.flatnonzero(inside)
+        return at, hashes[at]
+
     def slots(self, at: int, n: int) -> list[int]:
         """Values of the placeholders in a window, in order."""
         part = slice(at, at + n)
@@ -113,8 +125,13 @@ _FOUND = "_id long, _twin long, n_tokens int, place int, width int, hash long, s
 _SLOTS = pa.list_(pa.int64())
 
 
-def _windows(widths: tuple[int, ...] | None, sieve):
-    """Windows of each text: those that pass the sieve, or all of the width that suits the text."""
+def _windows(widths: tuple[int, ...] | None, sieve, exact: bool):
+    """Windows of each text: those that pass the sieve, or all of the width that suits the text.
+
+    Windows of tokens as they are have no slots.
+    """
+    templates = [(n, False) for n in widths or range(1, WINDOW + 1) if n >= SHORTEST]
+    kinds = templates + [(n, True) for n in widths or range(1, WINDOW + 1) if exact]
 
     def run(batches):
         units, number_words = _hashes_of(UNITS), _hashes_of(NUMBER_WORDS)
@@ -122,8 +139,8 @@ def _windows(widths: tuple[int, ...] | None, sieve):
             ids, twins = batch["_id"].to_numpy(), batch["_twin"].to_numpy()
             for part, block in blocks(batch["text"]):
                 text = Template(block, units, number_words)
-                for n in widths or range(SHORTEST, WINDOW + 1):
-                    at, hashes = text.windows(n)
+                for n, as_is in kinds:
+                    at, hashes = text.exact_windows(n) if as_is else text.windows(n)
                     if sieve is None:  # the benchmark: short items by their own length
                         keep = np.minimum(text.counts[text.row[at]], WINDOW) == n
                     else:
@@ -139,7 +156,7 @@ def _windows(widths: tuple[int, ...] | None, sieve):
                             pa.array((at - text.first[row]).astype(np.int32)),
                             pa.array(np.full(len(at), n, np.int32)),
                             pa.array(signed(hashes)),
-                            pa.array([text.slots(i, n) for i in at.tolist()], _SLOTS),
+                            pa.array([None if as_is else text.slots(i, n) for i in at.tolist()], _SLOTS),
                         ],
                         names=["_id", "_twin", "n_tokens", "place", "width", "hash", "slots"],
                     )
@@ -165,16 +182,17 @@ def leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    exact: bool = False,
 ) -> DataFrame:
     """One row for each document and item it leaks: ``_id`` and ``_twin`` of the document,
     ``item_id``, ``n_tokens`` of the item, ``covered`` tokens and ``verbatim``."""
     spark = docs.sparkSession
-    items = keyed(benchmark, item_id, item_text).mapInArrow(_windows(None, None), _FOUND)
+    items = keyed(benchmark, item_id, item_text).mapInArrow(_windows(None, None, exact), _FOUND)
     widths = tuple(sorted(r[0] for r in items.select("width").distinct().collect()))
     if not widths:
         widths = (WINDOW,)
     sieve = spark.sparkContext.broadcast(_sieve(items))  # a fixed 1 MB
-    hits = keyed(docs, doc_id, text).mapInArrow(_windows(widths, sieve), _FOUND)
+    hits = keyed(docs, doc_id, text).mapInArrow(_windows(widths, sieve, exact), _FOUND)
     items = items.select(
         "hash",
         "width",
@@ -188,6 +206,7 @@ def leaks(
     pair = [*KEY, "item", "item_twin", "n_tokens", "width"]
     aligned = matches.groupBy(*pair, (F.col("place") - F.col("at")).alias("shift")).agg(
         F.collect_set("at").alias("at"),
+        F.collect_set(F.when(F.col("slots").isNull(), F.col("at"))).alias("as_is"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("own", "slots")))).alias("pairs"),
     )
     one_to_one = [F.size("pairs") == F.size(F.array_distinct(f"pairs.{c}")) for c in ("own", "slots")]

@@ -61,7 +61,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), exact=True)
     return found.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), "item_id", "n_tokens", "covered", "verbatim")
 
 

@@ -6,10 +6,10 @@ ITEM = "Yesterday Anna bought 3 boxes and Anna sold 3 bags for 12 dollars each a
 ITEMS = [(1, ITEM), (2, "short item of five words"), (3, None), (4, ""), (5, "1 2 3 4 5 6 7 8 9 10")]
 
 
-def found(spark, *texts, items=ITEMS):
+def found(spark, *texts, items=ITEMS, exact=False):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    return sorted((r["_id"], r["item_id"], r["verbatim"]) for r in D.leaks(docs, bench).collect())
+    return sorted((r["_id"], r["item_id"], r["verbatim"]) for r in D.leaks(docs, bench, exact=exact).collect())
 
 
 def test_verbatim_and_other_values(spark):
@@ -56,3 +56,9 @@ def test_odd_rows(spark, odd, none):
     assert both.count() == 0  # items of fewer tokens than are searched
     repeated = spark.createDataFrame([(7, ITEM), (7, ITEM), (None, ITEM)], "doc_id long, text string")
     assert sorted(r["_id"] for r in D.leaks(repeated, bench).collect()) == [7, 2**63 - 1]
+
+
+def test_exact_copies_of_any_item(spark):
+    items = [(1, "1 2 3 4 5 6 7 8 9 10"), (2, "Anna Berta Clara"), (3, "x 3 km 4 km 5 km"), (4, "12"), (5, "..."), (6, None)]
+    texts = ["so 1 2 3 4 5 6 7 8 9 10 it is", "with Anna Berta Clara", "x 3 km 4 km 5 km", "12", "1 2 3 4 5 6 7 9", "...", None]
+    assert found(spark, *texts, items=items, exact=True) == [(0, 1, True), (1, 2, True), (2, 3, True), (3, 4, True)]
