@@ -62,3 +62,10 @@ def test_exact_copies_of_any_item(spark):
     items = [(1, "1 2 3 4 5 6 7 8 9 10"), (2, "Anna Berta Clara"), (3, "x 3 km 4 km 5 km"), (4, "12"), (5, "..."), (6, None)]
     texts = ["so 1 2 3 4 5 6 7 8 9 10 it is", "with Anna Berta Clara", "x 3 km 4 km 5 km", "12", "1 2 3 4 5 6 7 9", "...", None]
     assert found(spark, *texts, items=items, exact=True) == [(0, 1, True), (1, 2, True), (2, 3, True), (3, 4, True)]
+
+
+def test_case_and_context_do_not_matter_word_for_word(spark):
+    names = "Anna und Berta Huber mit Clara und Dora Maier nach Wien oder Emma Weber aus Graz"
+    items = [(1, names), (2, "What is the capital of France?")]
+    texts = [names.lower(), names.upper(), "well, What is the capital of France?", "What is the capital of Spain?"]
+    assert {(d, i) for d, i, _ in found(spark, *texts, items=items, exact=True)} >= {(0, 1), (1, 1), (2, 2)}
