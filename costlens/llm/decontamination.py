@@ -12,13 +12,15 @@ for one value of the document and the other way round, so "3 boxes and 3 bags" m
 "7 boxes and 7 bags" but not "7 boxes and 9 bags".
 
 *Decision.* A document leaks an item if windows of consistent alignments cover at least
-``COVER`` of the item's tokens; it is verbatim if all values are the item's own.
+``COVER`` of the item's tokens; it is verbatim if all values are the item's own
+in the windows that count of an alignment.
 
 *Word for word.* With ``exact`` (as the registered queries and the pipeline call it) the
 lower-cased tokens themselves are windows too, whatever their types, of an item with any
 token. They need no slots, so numbers and names in every place, another case, and another
 sign before a name lose nothing; an item of fewer than ``WINDOW`` tokens is found
-wherever its tokens follow each other, even if it is a single one.
+wherever its tokens follow each other, even if it is a single one. These windows also
+count where the slots of their alignment are not consistent, as after a typing error.
 
 The windows of the documents pass a bit array of a fixed size, made from the
 benchmark's hashes, before they are joined, so their shuffle holds likely matches only;
@@ -210,10 +212,13 @@ def leaks(
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("own", "slots")))).alias("pairs"),
     )
     one_to_one = [F.size("pairs") == F.size(F.array_distinct(f"pairs.{c}")) for c in ("own", "slots")]
-    consistent = aligned.filter(one_to_one[0] & one_to_one[1])
+    consistent = one_to_one[0] & one_to_one[1]
     same = F.forall("pairs", lambda p: p["own"] == p["slots"])
-    found = consistent.groupBy(*pair).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max(same).alias("verbatim")
+    # Windows that are the item's own word for word count in any case.
+    counted = aligned.withColumn("at", F.when(consistent, F.col("at")).otherwise(F.col("as_is")))
+    counted = counted.withColumn("same", ~consistent | same).filter(F.size("at") > 0)
+    found = counted.groupBy(*pair).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("same").alias("verbatim")
     )
     # A window adds its width, less what the window before it covers already.
     behind, ahead = F.slice("at", 2, F.size("at")), F.slice("at", 1, F.size("at") - 1)

@@ -69,3 +69,10 @@ def test_case_and_context_do_not_matter_word_for_word(spark):
     items = [(1, names), (2, "What is the capital of France?")]
     texts = [names.lower(), names.upper(), "well, What is the capital of France?", "What is the capital of Spain?"]
     assert {(d, i) for d, i, _ in found(spark, *texts, items=items, exact=True)} >= {(0, 1), (1, 1), (2, 2)}
+
+
+def test_one_changed_value_of_two_equal_ones(spark):
+    words = [f"{a}{b}{a}" for a in "bcdf" for b in "aeiouklmnprstvw"]
+    item = " ".join([*words[:10], "3 boxes", *words[10:40], "3 bags", *words[40:]])
+    assert found(spark, item.replace("3 bags", "4 bags"), items=[(1, item)], exact=True) == [(0, 1, True)]
+    assert found(spark, item.replace("3 b", "4 b"), items=[(1, item)], exact=True) == [(0, 1, False)]
