@@ -3,7 +3,7 @@
 A text is its statements, the parts between line ends and ends of sentences. The
 canonical form of a statement is in lower case, with blanks for punctuation and white
 space, and with one spelling for words that licences spell in several ways; copyright
-and all-rights-reserved statements have none. The canonical form of a text is those of
+and all-rights-reserved statements and lines that only name a licence have none. The canonical form of a text is those of
 its statements in a row. The digests of the whole text and of each statement are joined
 with those of known licences; a known text is matched entire.
 
@@ -28,6 +28,12 @@ MAX_BROADCAST = 10_000
 
 COPYRIGHT = r"^[^\p{L}]*(copyright|©|\(c\))[ \t]*(\(c\)|©|[0-9]|by ).*$"
 RIGHTS = r"^[^\p{L}]*all rights reserved[^\p{L}]*$"
+# A line that only names a licence.
+TITLE = (
+    r"^[^\p{L}\p{N}]*(the )?(mit|isc|zlib|0bsd|unlicense|boost software|"
+    r"(new |modified |simplified )?bsd([ -]?[023][ -]clause)?|(zero|[023])[ -]clause bsd)"
+    r" licen[sc]e( \((mit|isc|zlib|expat|0bsd)\))?( - version 1\.0 - august 17th, 2003)?[^\p{L}\p{N}]*$"
+)
 BETWEEN_WORDS = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"([.!?])[ \t]+"
 
@@ -64,6 +70,29 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
@@ -81,6 +110,8 @@ def _statement(text: Column) -> Column:
     named = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("(c)"))
     out = F.when(named, F.regexp_replace(out, COPYRIGHT, "")).otherwise(out)
     out = F.when(F.contains(out, F.lit("all rights reserved")), F.regexp_replace(out, RIGHTS, "")).otherwise(out)
+    titled = F.rlike(out, F.lit("licen[sc]e")) & (F.length(out) < 100)
+    out = F.when(titled, F.regexp_replace(out, TITLE, "")).otherwise(out)
     out = F.regexp_replace(out, BETWEEN_WORDS, " ")
     for spelling, usual in SPELLINGS.items():
         out = F.replace(out, F.lit(spelling), F.lit(usual))

@@ -44,3 +44,10 @@ def test_odd_rows(spark, odd, odd_rows, none):
 def test_no_python_on_executors(table):
     plan = L.scan(table("documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_licence_files_with_titles(docs):
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "Zlib": "zlib License"}
+    titles |= {"BSD-3-Clause": "BSD 3-Clause License"}
+    texts = [(i, f"{t}\n\nCopyright (c) 2020 Somebody\n\n{L.KNOWN[k]}") for i, (k, t) in enumerate(titles.items())]
+    assert [r[1] for r in found(docs(*texts))] == list(titles)
