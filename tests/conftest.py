@@ -1,4 +1,3 @@
-import os
 import sys
 from pathlib import Path
 
@@ -11,8 +10,6 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 from costlens import schema as S  # noqa: E402
 from costlens.session import builder  # noqa: E402
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
 
 @pytest.fixture(scope="session")
 def spark():

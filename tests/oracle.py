@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()

@@ -1,8 +1,7 @@
 """Money queries on amounts with fractions of a cent, against their SQL."""
 
 import pytest
-from conftest import SF_DIR
-from oracle import connect, differences
+from oracle import SF_DIR, connect, differences
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registry

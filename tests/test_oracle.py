@@ -3,8 +3,7 @@
 import uuid
 
 import pytest
-from conftest import SF_DIR
-from oracle import connect, differences
+from oracle import SF_DIR, connect, differences
 
 import __spark_entry__ as registry
 

@@ -2,8 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF_DIR
-from oracle import differences
+from oracle import SF_DIR, differences
 from plans import executed
 from pyspark.sql import functions as F
 
