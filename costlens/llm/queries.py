@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costlens.llm import (
+    collocations,
     dart_minhash,
     decontamination,
     hnsw,
@@ -125,6 +126,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.collocations(docs, max_words=3, min_count=10, top=2000, inside_pct=50)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
@@ -137,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": op9_decontamination,
         "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
+        "op11_collocations": op11_collocations,
     }
 
 
@@ -190,8 +197,46 @@ SELECT doc_id, digest, license, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN names USING (digest) LEFT JOIN notices USING (doc_id)"""
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, len(p) AS k, p FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p
+    FROM words, (VALUES (1), (2), (3)) AS lengths(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, array_to_string(p, ' ') AS phrase, any_value(p) AS p, count(*) AS a FROM phrases GROUP BY 1, 2, 3),
+sizes AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+candidates AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(p[1:2], ' ') AS phrase FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, a, array_to_string(p[2:3], ' ') FROM candidates WHERE k = 3) GROUP BY 1, 2),
+open AS (
+  SELECT c.* FROM candidates c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase AND c.k = 2
+  WHERE o.a IS NULL OR 100 * o.a < 50 * c.a),
+parts AS (
+  SELECT lang, phrase, a, j, array_to_string(p[1:j], ' ') AS first, array_to_string(p[j + 1:k], ' ') AS last
+  FROM open, (VALUES (1), (2)) AS cuts(j) WHERE j < k),
+scored AS (
+  SELECT parts.*, x.a AS l, y.a AS r,
+         (CAST(1000000 AS HUGEINT) * parts.a * parts.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM parts JOIN f x ON x.lang = parts.lang AND x.phrase = first AND x.k = j
+  JOIN f y ON y.lang = parts.lang AND y.phrase = last),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": OP4_SQL,
         "op8_substring_dedup": OP8_SQL,
+        "op11_collocations": OP11_SQL,
     }
