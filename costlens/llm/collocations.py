@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from costlens.llm.components import stored
 from costlens.llm.rows import text_of
-from costlens.llm.words import Block, blocks, lowered, mix
+from costlens.llm.words import Block, blocks, distinct_codes, lowered, mix
 from costlens.session import scratch_dir
 
 CHUNK_BYTES = 4 << 20
@@ -61,15 +61,6 @@ _COUNTED = "chunk long, codes array<int>, ids array<long>, phrases array<long>,
 # --- inside a chunk -----------------------------------------------------------------
 
 
-def _distinct(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different numbers below ``size`` in order, the place of each value among them, counts."""
-    if size > 4 * len(values) + 1024:
-        return np.unique(values, return_inverse=True, return_counts=True)
-    counts = np.bincount(values, minlength=size)
-    there = counts > 0
-    return np.flatnonzero(there), (np.cumsum(there) - 1)[values], counts[there]
-
-
 def _words_of(block: Block) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """All words of a block, the row of each and its place."""
     inside = ~(BLANK | BREAK)[block.data]
@@ -107,7 +98,7 @@ def _word_chunks(size: int):
                 words = words.dictionary_encode()
                 of_row = langs.indices.to_numpy()[at].astype(np.int64)
                 both = words.indices.to_numpy().astype(np.int64) * many + of_row[row]
-                different, codes, counts = _distinct(both, len(words.dictionary) * many)
+                different, codes, counts = distinct_codes(both, len(words.dictionary) * many)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_chunk_number(n)], pa.int64()),

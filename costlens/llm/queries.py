@@ -13,6 +13,7 @@ from costlens.llm import (
     collocations,
     dart_minhash,
     decontamination,
+    divergence,
     hnsw,
     licenses,
     pieces,
@@ -131,6 +132,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(docs, max_words=3, min_count=10, top=2000, inside_pct=50)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "text")
+    return divergence.divergence(docs, min_docs=3, top=200)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
@@ -144,6 +150,7 @@ def queries() -> dict[str, Query]:
         "op10_toxicity": op10_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
         "op11_collocations": op11_collocations,
+        "op12_divergence": op12_divergence,
     }
 
 
@@ -234,9 +241,44 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
 FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
 
 
+OP12_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT d, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+found AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+cells AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)),
+shares AS (
+  SELECT *, 1 + (1000000000 * (CAST(n AS HUGEINT) + 1)) //
+                (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM cells),
+langs AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY 1, 2),
+lang_shares AS (
+  SELECT lang, term, 1 + (1000000000 * (CAST(n AS HUGEINT) + 1)) //
+                     (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM langs),
+pair_sums AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pair_sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value
+  FROM shares JOIN lang_shares USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": OP4_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op11_collocations": OP11_SQL,
+        "op12_divergence": OP12_SQL,
     }

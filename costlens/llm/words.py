@@ -151,6 +151,24 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[slice, B
         at = end
 
 
+def run_texts(block: Block, inside: np.ndarray, data: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """The bytes of ``data`` at each run of ``inside`` as strings, and the row of each run."""
+    starts, ends, row = block.runs(inside)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    texts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return texts, row
+
+
+def distinct_codes(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different numbers below ``size`` in order, the place of each value among them, counts."""
+    if size > 4 * len(values) + 1024:
+        return np.unique(values, return_inverse=True, return_counts=True)
+    counts = np.bincount(values, minlength=size)
+    there = counts > 0
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[values], counts[there]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed numbers that a BIGINT column holds."""
     return x.view(np.int64)
