@@ -15,6 +15,7 @@ from costlens.llm import (
     decontamination,
     divergence,
     hnsw,
+    impact,
     licenses,
     pieces,
     quality,
@@ -137,6 +138,11 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(docs, min_docs=3, top=200)
 
 
+def op13_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return impact.largest_products(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_dart_minhash": op1_dart_minhash,
@@ -151,6 +157,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op11_collocations": op11_collocations,
         "op12_divergence": op12_divergence,
+        "op13_impact": op13_impact,
     }
 
 
@@ -275,10 +282,24 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM ranked WHERE part = 'pair' OR rank <= 200"""
 
 
+OP13_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v) GROUP BY 1, 2),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": OP4_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op11_collocations": OP11_SQL,
         "op12_divergence": OP12_SQL,
+        "op13_impact": OP13_SQL,
     }

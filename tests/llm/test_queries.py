@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_queries_are_registered():
     names = registry.queries()
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(names)
     assert set(queries.oracle_sql()) <= set(names) and set(queries.oracle_sql()) <= set(registry.oracle_sql())
 
@@ -41,6 +41,9 @@ def test_results_of_fixed_columns(spark):
         "op7_quality": "doc_id bigint held_out boolean score double predicted int",
         "op8_substring_dedup": "doc_id bigint n_words bigint n_removed bigint kept_sha256 string",
         "op10_toxicity": "doc_id bigint held_out boolean score double predicted int",
+        "op11_collocations": "lang string rank bigint phrase string a bigint l bigint r bigint n bigint score bigint",
+        "op12_divergence": "lang string source string part string item string value bigint rank int",
+        "op13_impact": "query_id bigint rank int vec_id bigint score bigint",
     }
     for name, kind in kinds.items():
         found = queries.queries()[name](spark, SF)
