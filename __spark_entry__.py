@@ -192,7 +192,7 @@ def _ingest_rejects(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     bad_date = F.when(F.col(SERVICE) == "SMALL", "31/12/1999").otherwise(
         F.col(DATE).cast("string")
     )
-    bad_cost = F.when(F.col(REGION) == "EUROPE", "n/a").otherwise(F.col(COST).cast("string"))
+    bad_cost = F.when(F.col(REGION) == "EUROPE", "n/a").otherwise(F.col(COST).cast("decimal(20,2)").cast("string"))
     text = bills.withColumns({DATE: bad_date, COST: bad_cost})
     names = [F.col(c).alias(name) for c, name in S.CSV_HEADER.items()]
     text.select(*names).write.option("header", True).csv(f"{folder}/csv")
@@ -201,6 +201,8 @@ def _ingest_rejects(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return parsed.groupBy(reason.alias("outcome")).agg(
         F.count(F.lit(1)).alias("line_count"),
         F.sum(COST).cast("double").alias("total_cost"),
+        F.min(bill_csv.FIELDS).alias("first_fields"),
+        F.max(bill_csv.FIELDS).alias("last_fields"),
     )
 
 
@@ -214,18 +216,64 @@ def _ingest_small_costs(spark: SparkSession, sf_dir: str, folder: str) -> DataFr
     return totals.select(SERVICE, "line_count", F.col("total").cast("string").alias("total_cost"))
 
 
-def _table_load(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    csv = _exported(bill_from_lineitem(spark, sf_dir), folder)
-    load_bills(spark, csv, f"{folder}/bills", strict=True)
-    stored = bill_table.read_bills(spark, f"{folder}/bills", line_ids=True)
+_CSV_ORDER = [RESOURCE, DATE, SERVICE, REGION, COST]
+
+
+def _exported_in_order(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """CSV files whose lines, over all files, are in an order that SQL can repeat."""
+    return _exported(bill_from_lineitem(spark, sf_dir).orderBy(*_CSV_ORDER), folder)
+
+
+def _ids_by_month(spark: SparkSession, table: str) -> DataFrame:
+    stored = bill_table.read_bills(spark, table, line_ids=True)
     return stored.groupBy(S.MONTH).agg(
         F.count(F.lit(1)).alias("line_count"),
         F.min(S.LINE_ID).alias("first_id"),
         F.max(S.LINE_ID).alias("last_id"),
+        F.sum(S.LINE_ID).alias("id_sum"),
         F.sum(COST).cast("double").alias("total_cost"),
     )
 
 
+def _table_load(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    load_bills(spark, _exported_in_order(spark, sf_dir, folder), f"{folder}/bills", strict=True)
+    return _ids_by_month(spark, f"{folder}/bills")
+
+
+def _table_load_rejects(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Ids where every service PROMO line is rejected between valid ones."""
+    ordered = bill_from_lineitem(spark, sf_dir).orderBy(*_CSV_ORDER)
+    bad = F.when(F.col(SERVICE) == "PROMO", "n/a").otherwise(F.col(COST).cast("string"))
+    text = ordered.withColumns({COST: bad, DATE: F.col(DATE).cast("string")})
+    names = [F.col(c).alias(name) for c, name in S.CSV_HEADER.items()]
+    text.select(*names).write.option("header", True).csv(f"{folder}/csv")
+    load_bills(spark, f"{folder}/csv", f"{folder}/bills", f"{folder}/rejects")
+    return _ids_by_month(spark, f"{folder}/bills")
+
+
+def _table_replaced(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A report planned on one version of the table while two others replace it."""
+    bills = bill_from_lineitem(spark, sf_dir)
+    bill_table.replace_bills(bills, f"{folder}/bills")
+    planned = bill_table.read_bills(spark, f"{folder}/bills")
+    bill_table.replace_bills(bills.filter(F.col(REGION) == "ASIA"), f"{folder}/bills")
+    now = bill_table.read_bills(spark, f"{folder}/bills")
+    parts = [df.groupBy(REGION).agg(F.count(F.lit(1)).alias("line_count"), F.sum(COST).cast("double").alias("total_cost"))
+             .withColumn("version", F.lit(name)) for name, df in (("planned", planned), ("now", now))]
+    return parts[0].unionByName(parts[1])
+
+
+def _ingest_multi_line(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Services with line breaks, quotes and commas, written and read again by many tasks."""
+    bills = bill_from_lineitem(spark, sf_dir)
+    broken = F.concat(F.lit("a "), SERVICE, F.lit('\n"'), REGION, F.lit('",\n'))
+    path = _exported(bills.withColumn(SERVICE, broken), folder)
+    lines = bill_csv.valid_lines(bill_csv.parse_bill_csv(spark, path, multi_line=True))
+    return lines.groupBy(SERVICE, DATE).agg(
+        F.count(F.lit(1)).alias("line_count"), F.sum(COST).cast("double").alias("total_cost")
+    )
+
+
 def _on_table(operator, **kwargs) -> Query:
     """The operator over the stored table."""
 
@@ -290,7 +338,10 @@ def bill_queries() -> dict[str, Query]:
         "ingest_csv": _with_files(_ingest_csv),
         "ingest_rejects": _with_files(_ingest_rejects),
         "ingest_small_costs": _with_files(_ingest_small_costs),
+        "ingest_multi_line": _with_files(_ingest_multi_line),
         "table_load": _with_files(_table_load),
+        "table_load_rejects": _with_files(_table_load_rejects),
+        "table_replaced": _with_files(_table_replaced),
         "table_filtered_daily": _on_table(_filtered_daily),
         "table_growth": _on_table(alerts.growth_alerts, threshold_pct=-100.0),
         "table_date_bounds": _on_table(filters.date_bounds),
@@ -324,6 +375,20 @@ bills AS (
          CAST(value AS DECIMAL(28,10)) AS cost_usd
   FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
 )"""
+
+
+def _ids_sql(valid: str) -> str:
+    """Ids in the order of the CSV files."""
+    return f"""
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY resource_id, usage_date, service, region, cost_usd) AS line_id
+  FROM bills WHERE {valid})"""
+
+
+_IDS_SELECT = """
+SELECT strftime(usage_date, '%Y-%m') AS month, count(*) AS line_count, min(line_id) AS first_id,
+       max(line_id) AS last_id, CAST(sum(line_id) AS BIGINT) AS id_sum, CAST(sum(cost_usd) AS DOUBLE) AS total_cost
+FROM numbered GROUP BY 1"""
 _RANGE_SQL = f"usage_date BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"
 _FILTERED = f"service = 'PROMO' AND region = 'ASIA' AND {_RANGE_SQL}"
 
@@ -636,16 +701,29 @@ SELECT usage_date, service, region, resource_id, CAST(cost_usd AS DOUBLE) AS cos
 SELECT CASE WHEN service = 'SMALL' THEN 'invalid date'
             WHEN region = 'EUROPE' THEN 'invalid cost' ELSE 'valid' END AS outcome,
        count(*) AS line_count,
-       CAST(sum(CASE WHEN region = 'EUROPE' THEN NULL ELSE cost_usd END) AS DOUBLE) AS total_cost
-FROM bills GROUP BY 1"""
+       CAST(sum(CASE WHEN region = 'EUROPE' THEN NULL ELSE cost_usd END) AS DOUBLE) AS total_cost,
+       min(fields) FILTER (service = 'SMALL' OR region = 'EUROPE') AS first_fields,
+       max(fields) FILTER (service = 'SMALL' OR region = 'EUROPE') AS last_fields
+FROM (SELECT *, concat_ws(',', CASE WHEN service = 'SMALL' THEN '31/12/1999' ELSE strftime(usage_date, '%Y-%m-%d') END,
+                          service, region, resource_id,
+                          CASE WHEN region = 'EUROPE' THEN 'n/a' ELSE CAST(CAST(cost_usd AS DECIMAL(20,2)) AS VARCHAR) END) AS fields
+      FROM bills)
+GROUP BY 1""",
         ),
-        "table_load": _sql(
-            """
-m AS (SELECT strftime(usage_date, '%Y-%m') AS month, count(*) AS line_count,
-             CAST(sum(cost_usd) AS DOUBLE) AS total_cost FROM bills GROUP BY 1),
-c AS (SELECT *, CAST(sum(line_count) OVER (ORDER BY month) AS BIGINT) AS last_id FROM m)""",
+        "ingest_multi_line": _sql(
+            select="""
+SELECT 'a ' || service || chr(10) || '"' || region || '",' || chr(10) AS service, usage_date,
+       count(*) AS line_count, CAST(sum(cost_usd) AS DOUBLE) AS total_cost
+FROM bills GROUP BY 1, 2"""
+        ),
+        "table_load": _sql(_ids_sql("TRUE"), select=_IDS_SELECT),
+        "table_load_rejects": _sql(_ids_sql("service <> 'PROMO'"), select=_IDS_SELECT),
+        "table_replaced": _sql(
             select="""
-SELECT month, line_count, last_id - line_count + 1 AS first_id, last_id, total_cost FROM c""",
+SELECT region, count(*) AS line_count, CAST(sum(cost_usd) AS DOUBLE) AS total_cost, 'planned' AS version
+FROM bills GROUP BY 1
+UNION ALL
+SELECT region, count(*), CAST(sum(cost_usd) AS DOUBLE), 'now' FROM bills WHERE region = 'ASIA' GROUP BY 1"""
         ),
         "table_filtered_daily": filtered_daily,
         "ingest_small_costs": _sql(

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from costlens import schema as S
 from costlens.sources import bill_csv, bill_table, files
@@ -34,25 +33,19 @@ def load_bills(
 ) -> LoadAudit:
     """Replace the table by the valid lines of the CSV files and report counts.
 
-    The files are parsed once while writing. Only when there were rejects and
-    ``reject_path`` is given are they read again to store those. A ``strict``
-    load with rejects raises before the old table is touched.
+    The files are parsed once: one write sets valid lines and rejects apart. The rejects
+    are then copied to ``reject_path``, if given, and the lines become the table's current
+    version. A ``strict`` load with rejects raises and leaves both as they were.
     """
-    parsed = bill_csv.parse_bill_csv(spark, csv_path, header, multi_line)
-    seen = Observation()
-    watched = parsed.observe(
-        seen, F.count(F.when(F.col(bill_csv.REJECT_REASON).isNotNull(), 1)).alias("rejects")
-    )
-    staged = bill_table.stage_bills(bill_csv.valid_lines(watched), table_path)
-    # A task run twice is observed twice, so this tells only whether there are
-    # rejects; how many is counted on what was written. Where no line is valid
-    # the observed plan has been optimised away.
-    rejects = 0
+    parsed = bill_csv.parse_bill_csv(spark, csv_path, header, multi_line, origin=True)
+    staged = bill_table.stage_bills(parsed, table_path)
     try:
-        if bill_table.read_bills(spark, staged).isEmpty() or seen.get["rejects"] > 0:
-            rejects = _set_aside(bill_csv.rejected_lines(parsed), reject_path)
+        rejected = bill_table.staged_rejects(spark, staged)
+        rejects = rejected.count()
         if strict and rejects > 0:
             raise RejectedLines(f"{csv_path}: {rejects} lines rejected, table left as it was")
+        if reject_path is not None:
+            rejected.write.mode("overwrite").parquet(reject_path)
     except Exception:
         files.delete(spark, staged)
         raise
@@ -60,14 +53,6 @@ def load_bills(
     return audit(spark, table_path, rejects)
 
 
-def _set_aside(rejected: DataFrame, path: str | None) -> int:
-    """Store the rejects if a path is given, and count them."""
-    if path is not None:
-        rejected.write.mode("overwrite").parquet(path)
-        rejected = rejected.sparkSession.read.parquet(path)
-    return rejected.agg(F.count(bill_csv.REJECT_REASON)).first()[0]
-
-
 def audit(spark: SparkSession, table_path: str, rejects: int = 0, sample: int = 3) -> LoadAudit:
     """Stored line count, from the Parquet footers, and a few lines."""
     stored = bill_table.read_bills(spark, table_path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +12,11 @@ from pyspark.sql import types as T
 
 from costlens import schema as S
 from costlens.functions.dates import iso_date
+from costlens.sources.records import BLOCK, FILE, HEADER, PLACE, RECORD, read_records
 
 REJECT_REASON = "reject_reason"
 FIELDS = "fields"
+ORIGIN = (FILE, BLOCK, PLACE)
 _MALFORMED = "_malformed"
 _KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # As many whole digits as ``MONEY`` and twice the digits behind the point.
@@ -25,6 +29,7 @@ def parse_bill_csv(
     path: str,
     header: Mapping[str, str] = S.CSV_HEADER,
     multi_line: bool = False,
+    origin: bool = False,
 ) -> DataFrame:
     """All lines of the CSV files, typed, with a reason and the fields on bad ones.
 
@@ -34,8 +39,9 @@ def parse_bill_csv(
 
     Columns are found by header name, in any order; further columns are ignored.
     A missing column raises, and files whose headers differ make the read fail.
-    ``multi_line`` allows line breaks inside quotes, but keeps Spark from
-    splitting a file; without it such records are rejected.
+    ``multi_line`` allows line breaks inside quotes; a file is still read by many
+    tasks (see ``records``). Without it such records are rejected. ``origin`` adds
+    where each line was read: file, file block and order in the block.
     """
     options = {"header": True, "escape": '"', "multiLine": multi_line, "encoding": "UTF-8"}
     names = spark.read.options(**options).csv(path).columns
@@ -43,17 +49,8 @@ def parse_bill_csv(
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
 
-    fields = [T.StructField(n, T.StringType()) for n in [*names, _MALFORMED]]
-    text = (
-        spark.read.schema(T.StructType(fields))
-        .options(**options)
-        # A header that differs between files must fail rather than swap columns.
-        .option("enforceSchema", False)
-        # Reading all columns is what lets the parser notice short and long rows.
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", _MALFORMED)
-        .csv(path)
-    )
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _MALFORMED]])
+    text = _from_records(spark, path, fields) if multi_line else _from_lines(spark, path, fields, options)
     source = {ours: F.col(f"`{theirs}`") for ours, theirs in header.items()}
     typed = text.select(
         F.try_to_date(source[S.USAGE_DATE], "yyyy-MM-dd").alias(S.USAGE_DATE),
@@ -66,6 +63,7 @@ def parse_bill_csv(
         source[S.COST].rlike(_FINEST).alias("_finer"),
         source[S.COST].try_cast("double").alias("_number"),
         F.col(_MALFORMED),
+        *(ORIGIN if origin else ()),
         F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), _KEEP_BLANKS).alias("_fields"),
     )
     reason = (
@@ -85,9 +83,43 @@ def parse_bill_csv(
         *S.BILL_COLUMNS,
         reason.alias(REJECT_REASON),
         F.when(reason.isNotNull(), F.coalesce(_MALFORMED, "_fields")).alias(FIELDS),
+        *(ORIGIN if origin else ()),
     )
 
 
+def _from_lines(spark: SparkSession, path: str, fields: T.StructType, options: dict) -> DataFrame:
+    """Fields of files in which each line is a record."""
+    found = (
+        spark.read.schema(fields)
+        .options(**options)
+        # A header that differs between files must fail rather than swap columns.
+        .option("enforceSchema", False)
+        # Reading all columns is what lets the parser notice short and long rows.
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _MALFORMED)
+        .csv(path)
+    )
+    return found.select(
+        "*",
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(PLACE),
+    )
+
+
+def _from_records(spark: SparkSession, path: str, fields: T.StructType) -> DataFrame:
+    """Fields of files in which a record may go over several lines."""
+    options = {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    kinds = ", ".join("`{}` string".format(n.replace("`", "``")) for n in fields.names)
+    found = read_records(spark, path).withColumn("_row", F.from_csv(RECORD, kinds, options))
+    names = [n for n in fields.names if n != _MALFORMED]
+    same = [F.lower(F.col(f"_row.`{n}`")).eqNullSafe(F.lit(n.lower())) for n in names]
+    expected = reduce(and_, same, F.col(f"_row.{_MALFORMED}").isNull())
+    wrong = F.raise_error(F.concat(F.lit("CSV header does not match that of the first file: "), F.col(FILE)))
+    data = F.when(~F.col(HEADER), True).when(expected, False).otherwise(wrong.cast("boolean"))
+    return found.filter(data).select("_row.*", FILE, BLOCK, PLACE)
+
+
 def valid_lines(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(REJECT_REASON).isNull()).select(*S.BILL_COLUMNS)
 

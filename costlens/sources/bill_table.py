@@ -1,93 +1,139 @@
-"""The stored bill table: Parquet partitioned by month, replaced as a whole."""
+"""The stored bill table: Parquet partitioned by month, replaced as a whole.
 
-from __future__ import annotations
+A version of the table (see ``versions``) holds the lines, the lines that a load rejected,
+and one row for each block of the input, from which line ids follow.
+"""
 
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costlens import schema as S
 from costlens.functions.dates import month_of
-from costlens.sources import files
+from costlens.sources import files, versions
+from costlens.sources.bill_csv import BLOCK, FIELDS, FILE, ORIGIN, PLACE, REJECT_REASON
 
+OUTCOME = "outcome"
+VALID = "valid"
+REJECTED = "rejected"
+_BLOCKS = "blocks"
+
+_ORIGIN = [T.StructField(FILE, T.StringType()), T.StructField(BLOCK, T.LongType()), T.StructField(PLACE, T.LongType())]
 _STORED = T.StructType([*S.BILL_LINE.fields, T.StructField(S.MONTH, T.StringType())])
+_PLACED = T.StructType([*S.BILL_LINE.fields, *_ORIGIN, T.StructField(S.MONTH, T.StringType())])
+_REJECTS = T.StructType([T.StructField(REJECT_REASON, T.StringType()), T.StructField(FIELDS, T.StringType())])
+_BLOCK_ROW = f"{FILE} string, {BLOCK} long, first long, before long, whole boolean"
 
 
 def read_bills(spark: SparkSession, path: str, line_ids: bool = False) -> DataFrame:
     """Stored bill lines with their ``month``, and on request a ``line_id``.
 
-    Ids run from 1 without gaps in storage order. They follow from the line's
-    place in its immutable file, so they cost nothing unless asked for and no
-    retry can change them; a new load makes new ones.
+    Ids run from 1 without gaps in the order of the input: file, place in the file, or
+    for a frame its partitions and rows. They follow from where a line was read, whatever
+    tasks read it, so a reload of the same files gives the same ids, and they cost nothing
+    unless asked for.
     """
-    stored = spark.read.schema(_STORED).parquet(_current(spark, path))
-    return _with_ids(stored) if line_ids else stored
-
-
-def _with_ids(stored: DataFrame) -> DataFrame:
-    """Number the lines by month, file and row; counts come from the file footers."""
-    file = F.col("_metadata.file_name").alias("_file")
-    counts = stored.groupBy(S.MONTH, file).agg(F.count(F.lit(1)).alias("_lines"))
-    earlier = Window.orderBy(S.MONTH, "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(S.MONTH, "_file", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
-    placed = stored.select("*", file, F.col("_metadata.row_index").alias("_row"))
-    return placed.join(offsets, [S.MONTH, "_file"]).select(
-        (F.col("_before") + F.col("_row") + 1).alias(S.LINE_ID), *_STORED.fieldNames()
-    )
+    version = versions.current(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"{path}: no bill table")
+    if line_ids:
+        return _with_ids(_read(spark, f"{version}/{OUTCOME}={VALID}", _PLACED), _read(spark, f"{version}/{_BLOCKS}", _BLOCK_ROW))
+    return _read(spark, f"{version}/{OUTCOME}={VALID}", _STORED)
 
 
-def _set_aside(path: str) -> str:
-    return f"{path.rstrip('/')}__old"
+def _read(spark: SparkSession, folder: str, kind: T.StructType | str) -> DataFrame:
+    """A part of a version; no rows where nothing was written."""
+    if not files.exists(spark, folder):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(kind).parquet(folder)
 
 
-def _current(spark: SparkSession, path: str) -> str:
-    """The table's folder, or the one a broken-off replacement left of it."""
-    old = _set_aside(path)
-    return old if not files.exists(spark, path) and files.exists(spark, old) else path
+def _with_ids(stored: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Lines counted up to the block, plus the line's rank in its block.
+
+    The valid lines of a block without rejects between them have consecutive places.
+    Only where there are some the lines of the block are ranked by a window.
+    """
+    placed = stored.join(blocks, [FILE, BLOCK])
+    in_block = Window.partitionBy(FILE, BLOCK).orderBy(PLACE)
+    ranks = {True: F.col(PLACE) - F.col("first"), False: F.row_number().over(in_block) - 1}
+    parts = [
+        placed.filter(F.col("whole") if whole else ~F.col("whole")).select(
+            (F.col("before") + rank + 1).alias(S.LINE_ID), *_STORED.fieldNames()
+        )
+        for whole, rank in ranks.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _number_blocks(spark: SparkSession, folder: str) -> None:
+    """One row for each input block: how many valid lines lie before it."""
+    lines = _read(spark, f"{folder}/{OUTCOME}={VALID}", _PLACED)
+    blocks = lines.groupBy(FILE, BLOCK).agg(
+        F.min(PLACE).alias("first"), F.max(PLACE).alias("last"), F.count(F.lit(1)).alias("n")
+    )
+    # The window sees one row for each block of the input, not lines.
+    earlier = Window.orderBy(FILE, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks.select(
+        FILE,
+        BLOCK,
+        "first",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+        (F.col("last") - F.col("first") + 1 == F.col("n")).alias("whole"),
+    ).write.parquet(f"{folder}/{_BLOCKS}")
+
+
+def _origin(bills: DataFrame) -> dict[str, Column]:
+    """Where a line comes from: its file block, or its partition of a frame."""
+    if all(c in bills.columns for c in ORIGIN):
+        return {}
+    return {
+        FILE: F.lit(""),
+        BLOCK: F.spark_partition_id().cast("long"),
+        PLACE: F.monotonically_increasing_id(),
+    }
 
 
 def stage_bills(bills: DataFrame, path: str) -> str:
-    """Write the lines next to ``path`` and return the new folder's name.
+    """Write a version that nobody reads yet and return its folder.
 
-    Rebalancing gathers each month into files of the advisory size and splits a
-    month that holds more than that, so neither tiny files nor one huge task arise.
+    ``bills`` are lines, or parsed lines with their reject reason: then one write sets
+    valid and rejected ones apart. Rebalancing gathers each month into files of the
+    advisory size and splits a month that holds more than that, so neither tiny files nor
+    one huge task arise.
     """
-    staged = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    by_month = bills.select(*S.BILL_COLUMNS, month_of(S.USAGE_DATE).alias(S.MONTH))
+    spark = bills.sparkSession
+    folder = versions.new_folder(path)
+    placed = bills.withColumns(_origin(bills))
+    if REJECT_REASON in bills.columns:
+        valid = F.col(REJECT_REASON).isNull()
+        columns = [*S.BILL_COLUMNS, REJECT_REASON, FIELDS, *ORIGIN]
+    else:
+        valid = F.lit(True)
+        columns = [*S.BILL_COLUMNS, *ORIGIN]
+    parts = {OUTCOME: F.when(valid, VALID).otherwise(REJECTED), S.MONTH: F.when(valid, month_of(S.USAGE_DATE))}
+    placed = placed.select(*columns, *[x.alias(c) for c, x in parts.items()])
     try:
-        by_month.hint("rebalance", F.col(S.MONTH)).write.partitionBy(S.MONTH).parquet(staged)
+        placed.hint("rebalance", *[F.col(c) for c in parts]).write.partitionBy(*parts).parquet(folder)
+        _number_blocks(spark, folder)
     except Exception:
-        files.delete(bills.sparkSession, staged)
+        files.delete(spark, folder)
         raise
-    return staged
+    return folder
 
 
-def publish(spark: SparkSession, staged: str, path: str) -> None:
-    """Put the staged folder in the table's place.
+def staged_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Reason and fields of the lines that were rejected while the version was written."""
+    return _read(spark, f"{folder}/{OUTCOME}={REJECTED}", _REJECTS)
 
-    The old table is renamed before the new one takes its name. If the job is lost
-    between the two, readers find the old table under its other name, and the next
-    replacement puts it back first.
-    """
-    old = _set_aside(path)
-    if _current(spark, path) == old:
-        files.move(spark, old, path)
-    files.delete(spark, old)
-    replaced = files.exists(spark, path)
-    if replaced:
-        files.move(spark, path, old)
-    try:
-        files.move(spark, staged, path)
-    except Exception:
-        if replaced:
-            files.move(spark, old, path)
-        raise
-    files.delete(spark, old)
+
+def publish(spark: SparkSession, folder: str, path: str) -> None:
+    """Make a staged version the table."""
+    versions.publish(spark, path, folder)
 
 
 def replace_bills(bills: DataFrame, path: str) -> None:
     """Full refresh of the table with ``bills``."""
     publish(bills.sparkSession, stage_bills(bills, path), path)
-
