@@ -15,7 +15,7 @@ the next length is made from it by a merge join.
    of k words that overlap in k - 1 make one of k + 1. From step 2 for the next length.
 
 A phrase of k + 1 words is known by the numbers of its first k and its last k words, so
-keys are exact, not hashes of texts. Counts of all first and last parts of a phrase are
+keys are exact, not hashes of texts. Relations are kept as packed arrays. Counts of all first and last parts of a phrase are
 carried along, and its parts need no further joins.
 
 A phrase reaches its bucket once from each chunk, however often it occurs, and buckets
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.llm.components import stored
+from costlens.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from costlens.llm.rows import text_of
 from costlens.llm.words import Block, blocks, distinct_codes, lowered, mix
 from costlens.session import scratch_dir
@@ -52,10 +53,10 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _ID_BITS = 31
 _INDEX_MASK = (1 << 33) - 1  # of monotonically_increasing_id: the row in its partition
 
-_WORDS = "chunk long, places array<int>, codes array<int>, langs array<string>, words array<string>, counts array<int>"
-_PHRASES = "chunk long, places array<int>, codes array<int>, entries int, phrases array<long>, counts array<int>"
-_ENTRIES = "bucket int, chunk long, codes array<int>, phrases array<long>, counts array<int>"
-_COUNTED = "chunk long, codes array<int>, ids array<long>, phrases array<long>, totals array<long>"
+_WORDS = "chunk long, places binary, codes binary, langs array<string>, words array<string>, counts array<int>"
+_PHRASES = "chunk long, places binary, codes binary, entries int, phrases binary, counts binary"
+_ENTRIES = "bucket int, chunk long, codes binary, phrases binary, counts binary"
+_COUNTED = "chunk long, codes binary, ids binary, frequent array<struct<id long, phrase long, n long>>"
 
 
 # --- inside a chunk -----------------------------------------------------------------
@@ -102,8 +103,8 @@ def _word_chunks(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([_chunk_number(n)], pa.int64()),
-                        _one(places, pa.int32()),
-                        _one(codes, pa.int32()),
+                        pa.array([pack_sorted(places)]),
+                        pa.array([pack(codes)]),
                         _one(langs.dictionary.take(pa.array(different % many))),
                         _one(words.dictionary.take(pa.array(different // many))),
                         _one(counts, pa.int32()),
@@ -128,28 +129,39 @@ def merge_join(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places[:-1][meet], ids[:-1][meet] << np.int64(32) | ids[1:][meet]
 
 
-def _extended(batches):
-    for batch in batches:
-        for i in range(len(batch)):
-            places, codes = batch["places"][i].values.to_numpy(), batch["codes"][i].values.to_numpy()
-            kept = batch["kept"][i].values
-            ids = semi_join(codes, kept.field("codes").flatten().to_numpy(), kept.field("ids").flatten().to_numpy())
-            frequent = ids >= 0
-            places, pairs = merge_join(places[frequent], ids[frequent])
-            if not len(pairs):
-                continue
-            phrases, codes, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["chunk"].slice(i, 1),
-                    _one(places, pa.int32()),
-                    _one(codes, pa.int32()),
-                    pa.array([len(phrases)], pa.int32()),
-                    _one(phrases, pa.int64()),
-                    _one(counts, pa.int32()),
-                ],
-                names=["chunk", "places", "codes", "entries", "phrases", "counts"],
-            )
+def _kept_words(kept: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return kept.field("code").to_numpy(), kept.field("id").to_numpy()
+
+
+def _kept_phrases(kept: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    codes = [unpack_sorted(x) for x in kept.field("codes")]
+    return np.concatenate(codes), np.concatenate([unpack(x) for x in kept.field("ids")])
+
+
+def _extended(read):
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                places, codes = unpack_sorted(batch["places"][i]), unpack(batch["codes"][i])
+                ids = semi_join(codes, *read(batch["kept"][i].values))
+                frequent = ids >= 0
+                places, pairs = merge_join(places[frequent], ids[frequent])
+                if not len(pairs):
+                    continue
+                phrases, codes, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["chunk"].slice(i, 1),
+                        pa.array([pack_sorted(places)]),
+                        pa.array([pack(codes)]),
+                        pa.array([len(phrases)], pa.int32()),
+                        pa.array([pack_sorted(phrases)]),
+                        pa.array([pack(counts)]),
+                    ],
+                    names=["chunk", "places", "codes", "entries", "phrases", "counts"],
+                )
+
+    return run
 
 
 # --- group and count ----------------------------------------------------------------
@@ -159,17 +171,18 @@ def _to_buckets(buckets: int):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                phrases, counts = batch["phrases"][i].values.to_numpy(), batch["counts"][i].values.to_numpy()
+                phrases, counts = unpack_sorted(batch["phrases"][i]), unpack(batch["counts"][i])
                 bucket = (mix(phrases.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
+                order = np.argsort(bucket, kind="stable")  # phrases and codes stay ascending in a bucket
                 there, begin = np.unique(bucket[order], return_index=True)
-                ends = pa.array(np.append(begin, len(order)), pa.int32())
-                lists = [pa.array(order, pa.int32()), pa.array(phrases[order]), pa.array(counts[order])]
+                parts = np.split(order, begin[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(there, pa.int32()),
                         pa.array(np.full(len(there), batch["chunk"][i].as_py()), pa.int64()),
-                        *[pa.ListArray.from_arrays(ends, x) for x in lists],
+                        pa.array([pack_sorted(x) for x in parts], pa.binary()),
+                        pa.array([pack_sorted(phrases[x]) for x in parts], pa.binary()),
+                        pa.array([pack(counts[x]) for x in parts], pa.binary()),
                     ],
                     names=["bucket", "chunk", "codes", "phrases", "counts"],
                 )
@@ -178,44 +191,39 @@ def _to_buckets(buckets: int):
 
 
 def _count_bucket(buckets: int, min_count: int):
-    """Add up a bucket. One row (chunk -1) holds its frequent phrases, one more for each chunk theirs."""
+    """Add up a bucket. One row holds its frequent phrases, one more for each chunk the chunk's."""
 
     def run(table: pa.Table) -> pa.Table:
-        lists = {c: table[c].combine_chunks() for c in ("codes", "phrases", "counts")}
-        flat = {c: x.flatten().to_numpy() for c, x in lists.items()}
-        phrases, of = np.unique(flat["phrases"], return_inverse=True)
+        own = [unpack_sorted(x) for x in table["phrases"]]
+        phrases, of = np.unique(np.concatenate(own), return_inverse=True)
         totals = np.zeros(len(phrases), np.int64)
-        np.add.at(totals, of, flat["counts"])
+        np.add.at(totals, of, np.concatenate([unpack(x) for x in table["counts"]]))
         frequent = totals >= min_count
         ids = (np.cumsum(frequent) - 1) * buckets + table["bucket"][0].as_py()
         if ids.max(initial=0) >> _ID_BITS:
             raise ValueError("too many frequent phrases of one length to be numbered")
-        rows = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists["codes"]).to_numpy())
-        use = frequent[of]
-        ends = np.append(np.searchsorted(rows[use], np.arange(table.num_rows)), use.sum())
-        mine = int(frequent.sum())
-
-        def lists_of(entries, own):
-            values = pa.array(np.concatenate([entries, own]))
-            at = np.append(ends, len(values)) if len(entries) else np.append(np.zeros(table.num_rows + 1), len(values))
-            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
-
-        none, nothing = np.zeros(0, np.int64), np.zeros(mine, np.int32)
-        out = pa.Table.from_arrays(
-            [
-                pa.array(np.append(table["chunk"].to_numpy(), -1)),
-                lists_of(flat["codes"][use], nothing),
-                lists_of(ids[of][use], ids[frequent]),
-                lists_of(none, phrases[frequent]),
-                lists_of(none, totals[frequent]),
-            ],
-            names=["chunk", "codes", "ids", "phrases", "totals"],
-        )
-        return out.filter(pc.greater(pc.list_value_length(out["ids"]), 0))
+        out = [{"frequent": [{"id": i, "phrase": p, "n": n} for i, p, n in zip(
+            ids[frequent].tolist(), phrases[frequent].tolist(), totals[frequent].tolist(), strict=True)]}]
+        for row, mine in enumerate(np.split(of, np.cumsum([len(x) for x in own])[:-1])):
+            use = frequent[mine]
+            if use.any():
+                codes = unpack_sorted(table["codes"][row])[use]
+                out.append({"chunk": table["chunk"][row].as_py(), "codes": pack_sorted(codes), "ids": pack(ids[mine[use]])})
+        return pa.Table.from_pylist(out, schema=_COUNTED_ARROW)
 
     return run
 
 
+_COUNTED_ARROW = pa.schema(
+    [
+        ("chunk", pa.int64()),
+        ("codes", pa.binary()),
+        ("ids", pa.binary()),
+        ("frequent", pa.list_(pa.struct([("id", pa.int64()), ("phrase", pa.int64()), ("n", pa.int64())]))),
+    ]
+)
+
+
 def _frequent_words(occurrences: DataFrame, min_count: int, folder: str) -> tuple[DataFrame, DataFrame]:
     """Numbered words with their counts, and each chunk's codes and numbers of them."""
     each = F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("code", "w")
@@ -230,9 +238,7 @@ def _frequent_words(occurrences: DataFrame, min_count: int, folder: str) -> tupl
         raise ValueError("too many frequent words to be numbered")
     words = numbered.select("lang", "word", "n", (index * parts + part).alias("id"))
     pairs = entries.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk")
-    pairs = pairs.agg(F.collect_list(F.struct("code", "id")).alias("k"))
-    kept = F.array(F.struct(F.col("k.code").alias("codes"), F.col("k.id").alias("ids")))
-    return words, pairs.select("chunk", kept.alias("kept"))
+    return words, pairs.agg(F.collect_list(F.struct("code", "id")).alias("kept"))
 
 
 def _frequent_phrases(occurrences: DataFrame, min_count: int, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -242,14 +248,13 @@ def _frequent_phrases(occurrences: DataFrame, min_count: int, folder: str) -> tu
     dealt = occurrences.select("chunk", "phrases", "counts").mapInArrow(_to_buckets(buckets), _ENTRIES)
     counted = dealt.groupBy("bucket").applyInArrow(_count_bucket(buckets, min_count), _COUNTED)
     counted = stored(counted, folder)
-    each = F.inline(F.arrays_zip("ids", "phrases", "totals"))
-    found = counted.filter("chunk = -1").select(each).select(
-        F.col("ids").alias("id"),
-        F.shiftright("phrases", 32).alias("left"),
-        F.col("phrases").bitwiseAND(F.lit((1 << 32) - 1)).alias("right"),
-        F.col("totals").alias("n"),
+    found = counted.select(F.inline("frequent")).select(
+        "id",
+        F.shiftright("phrase", 32).alias("left"),
+        F.col("phrase").bitwiseAND(F.lit((1 << 32) - 1)).alias("right"),
+        "n",
     )
-    kept = counted.filter("chunk >= 0").groupBy("chunk")
+    kept = counted.filter("chunk is not null").groupBy("chunk")
     return found, kept.agg(F.collect_list(F.struct("codes", "ids")).alias("kept"))
 
 
@@ -340,7 +345,8 @@ def collocations(
     levels = []
     for length in range(2, max_words + 1):
         joined = occurrences.select("chunk", "places", "codes").join(kept, "chunk")
-        occurrences = stored(joined.mapInArrow(_extended, _PHRASES), f"{folder}/occurrences-{length}")
+        read = _kept_words if length == 2 else _kept_phrases
+        occurrences = stored(joined.mapInArrow(_extended(read), _PHRASES), f"{folder}/occurrences-{length}")
         found, kept = _frequent_phrases(occurrences, min_count, f"{folder}/counts-{length}")
         level = stored(_described(found, level), f"{folder}/phrases-{length}")
         levels.append((length, level))
