@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from costlens import schema as S
 from costlens.operators import alerts, filters, forecast, kpis, rollups, spend
+from costlens.plans.dashboard import Dashboard
 from costlens.plans.ingest import load_bills
 from costlens.session import scratch_dir
-from costlens.sources import bill_csv, bill_table, files
+from costlens.sources import bill_csv, bill_table, files, rollup_table
 from costlens.sources.views import bill_from_events, bill_from_lineitem
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +275,43 @@ def _ingest_multi_line(spark: SparkSession, sf_dir: str, folder: str) -> DataFra
     )
 
 
+def _load_audit(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """What a load reports: lines stored (as compared with those read) and lines rejected."""
+    bills = bill_from_lineitem(spark, sf_dir)
+    bad = F.when(F.col(REGION) == "EUROPE", "n/a").otherwise(F.col(COST).cast("string"))
+    text = bills.withColumns({COST: bad, DATE: F.col(DATE).cast("string")})
+    text.select(*[F.col(c).alias(n) for c, n in S.CSV_HEADER.items()]).write.option("header", True).csv(f"{folder}/csv")
+    audit = load_bills(spark, f"{folder}/csv", f"{folder}/bills", f"{folder}/rejects")
+    stored = spark.read.parquet(f"{folder}/rejects")
+    kept = stored.agg(F.count(F.lit(1)).alias("reject_rows"))
+    return kept.select(F.lit(audit.lines).cast("long").alias("lines"), F.lit(audit.rejects).cast("long").alias("rejects"), "reject_rows")
+
+
+def _stored_rollup(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The rollup kept by a load, after another load in which only some months differ."""
+    bills = bill_from_lineitem(spark, sf_dir)
+    fewer = bills.filter((F.year(DATE) != 1995) | (F.col(REGION) != "ASIA"))
+    for i, lines in enumerate((fewer, bills)):
+        load_bills(spark, _exported(lines, f"{folder}/{i}"), f"{folder}/bills", strict=True)
+    daily = rollup_table.read_daily(spark, f"{folder}/bills")
+    return daily.drop(S.MONTH).withColumn(COST, F.col(COST).cast("double"))
+
+
+def _dashboard_of_table(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """A dashboard's regions under filters, from the stored rollup."""
+    load_bills(spark, _exported(bill_from_lineitem(spark, sf_dir), folder), f"{folder}/bills", strict=True)
+    page = Dashboard.of_table(spark, f"{folder}/bills")
+    return page.view("PROMO", None, *RANGE)["region_totals"]
+
+
+def _no_kpis(bills: DataFrame) -> DataFrame:
+    return kpis.kpis(bills.filter(F.col(SERVICE) == "no such service"), spend.complete_months(bills))
+
+
+def _no_projection(bills: DataFrame) -> DataFrame:
+    return forecast.projection(bills.filter(F.col(DATE) < "1900-01-01"))
+
+
 def _on_table(operator, **kwargs) -> Query:
     """The operator over the stored table."""
 
@@ -342,6 +380,11 @@ def bill_queries() -> dict[str, Query]:
         "table_load": _with_files(_table_load),
         "table_load_rejects": _with_files(_table_load_rejects),
         "table_replaced": _with_files(_table_replaced),
+        "load_audit": _with_files(_load_audit),
+        "stored_rollup": _with_files(_stored_rollup),
+        "dashboard_of_table": _with_files(_dashboard_of_table),
+        "kpis_no_lines": _lineitem(_no_kpis, DATE, SERVICE, COST),
+        "projection_no_lines": _lineitem(_no_projection, DATE, COST),
         "table_filtered_daily": _on_table(_filtered_daily),
         "table_growth": _on_table(alerts.growth_alerts, threshold_pct=-100.0),
         "table_date_bounds": _on_table(filters.date_bounds),
@@ -733,6 +776,29 @@ SELECT service, count(*) AS line_count,
 FROM bills GROUP BY 1"""
         ),
     }
+    out |= {
+        "load_audit": _sql(
+            select="""
+SELECT count(*) FILTER (region <> 'EUROPE') AS lines, count(*) FILTER (region = 'EUROPE') AS rejects,
+       count(*) FILTER (region = 'EUROPE') AS reject_rows
+FROM bills"""
+        ),
+        "stored_rollup": out["daily_rollup"],
+        "dashboard_of_table": out["region_totals"],
+        "kpis_no_lines": _sql(
+            select="""
+SELECT CAST(sum(cost_usd) AS DOUBLE) AS total_cost,
+       CAST(sum(cost_usd) AS DOUBLE) / count(DISTINCT usage_date) AS daily_mean, min(service) AS top_service,
+       CAST(NULL AS DOUBLE) AS month_change_pct, 'off' AS change_direction
+FROM bills WHERE service = 'no such service' HAVING count(*) > 0"""
+        ),
+        "projection_no_lines": _sql(
+            select="""
+SELECT CAST(sum(cost_usd) AS DOUBLE) AS predicted_total, CAST(sum(cost_usd) AS DOUBLE) AS last_30_days,
+       CAST(NULL AS DOUBLE) AS change_pct, 'orange' AS severity, '' AS sign
+FROM bills WHERE usage_date < DATE '1900-01-01' HAVING count(*) > 0"""
+        ),
+    }
     out |= {f"{k}_lines": out[k] for k in _FROM_LINES}
     return out | {"table_date_bounds": out["date_bounds"]}
 

@@ -76,7 +76,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         _show(printed.frames())
         printed.close()
     else:
-        page = Dashboard(read_bills(spark, args.table))
+        page = Dashboard.of_table(spark, args.table)
         scope = (args.service, args.region, args.start, args.end)
         _show(page.choices())
         _show(page.view(*scope, wording=_LANGUAGES[args.language][1]))

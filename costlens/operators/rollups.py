@@ -19,9 +19,9 @@ def _rollup(bills: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def daily_rollup(bills: DataFrame) -> DataFrame:
-    """One row per day, service and region: enough for all but resource reports."""
-    return _rollup(bills, S.USAGE_DATE, S.SERVICE, S.REGION)
+def daily_rollup(bills: DataFrame, *further: str) -> DataFrame:
+    """One row per day, service and region (and ``further`` keys): enough for all but resource reports."""
+    return _rollup(bills, S.USAGE_DATE, S.SERVICE, S.REGION, *further)
 
 
 def resource_rollup(bills: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from costlens.operators import alerts, forecast, kpis, rollups, spend
 from costlens.operators.filters import Day, date_bounds, facets, filter_bills
+from costlens.sources.bill_table import read_bills
+from costlens.sources.rollup_table import read_daily
 
 
 class Dashboard:
@@ -17,11 +19,16 @@ class Dashboard:
     until the next view, feeds the outliers and the top resources.
     """
 
-    def __init__(self, bills: DataFrame) -> None:
+    def __init__(self, bills: DataFrame, daily: DataFrame | None = None) -> None:
         self.bills = bills
-        self.daily = rollups.daily_rollup(bills).cache()
+        self.daily = (rollups.daily_rollup(bills) if daily is None else daily).cache()
         self.resources: DataFrame | None = None
 
+    @classmethod
+    def of_table(cls, spark: SparkSession, path: str) -> Dashboard:
+        """Over a stored table: starts from the rollup that loads keep and reads no lines for it."""
+        return cls(read_bills(spark, path), read_daily(spark, path))
+
     def choices(self) -> dict[str, DataFrame]:
         """What the filters can be set to."""
         return {"facets": facets(self.daily), "date_bounds": date_bounds(self.daily)}

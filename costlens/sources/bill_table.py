@@ -19,11 +19,13 @@ OUTCOME = "outcome"
 VALID = "valid"
 REJECTED = "rejected"
 _BLOCKS = "blocks"
+_PRINTS = "fingerprints"
 
 _ORIGIN = [T.StructField(FILE, T.StringType()), T.StructField(BLOCK, T.LongType()), T.StructField(PLACE, T.LongType())]
 _STORED = T.StructType([*S.BILL_LINE.fields, T.StructField(S.MONTH, T.StringType())])
 _PLACED = T.StructType([*S.BILL_LINE.fields, *_ORIGIN, T.StructField(S.MONTH, T.StringType())])
 _REJECTS = T.StructType([T.StructField(REJECT_REASON, T.StringType()), T.StructField(FIELDS, T.StringType())])
+_PRINT_ROW = f"{S.MONTH} string, line_count long, checksum string"
 _BLOCK_ROW = f"{FILE} string, {BLOCK} long, first long, before long, whole boolean"
 
 
@@ -38,6 +40,11 @@ def read_bills(spark: SparkSession, path: str, line_ids: bool = False) -> DataFr
     version = versions.current(spark, path)
     if version is None:
         raise FileNotFoundError(f"{path}: no bill table")
+    return read_version(spark, version, line_ids)
+
+
+def read_version(spark: SparkSession, version: str, line_ids: bool = False) -> DataFrame:
+    """The lines in the folder of a version, current or not."""
     if line_ids:
         return _with_ids(_read(spark, f"{version}/{OUTCOME}={VALID}", _PLACED), _read(spark, f"{version}/{_BLOCKS}", _BLOCK_ROW))
     return _read(spark, f"{version}/{OUTCOME}={VALID}", _STORED)
@@ -85,6 +92,24 @@ def _number_blocks(spark: SparkSession, folder: str) -> None:
     ).write.parquet(f"{folder}/{_BLOCKS}")
 
 
+def line_checksum(of: Column | None = None) -> Column:
+    """A sum of the lines' hashes: the same in any order, another if a line is lost, repeated or altered."""
+    line = F.xxhash64(*S.BILL_COLUMNS).cast("decimal(20,0)")
+    return F.sum(line if of is None else F.when(of, line)).cast("string")
+
+
+def _fingerprint_months(spark: SparkSession, folder: str) -> None:
+    """What the lines of each month are, read back from the written files."""
+    stored = _read(spark, f"{folder}/{OUTCOME}={VALID}", _STORED)
+    prints = stored.groupBy(S.MONTH).agg(F.count(F.lit(1)).alias("line_count"), line_checksum().alias("checksum"))
+    prints.write.parquet(f"{folder}/{_PRINTS}")
+
+
+def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and checksum of each month of a version."""
+    return _read(spark, f"{folder}/{_PRINTS}", _PRINT_ROW)
+
+
 def _origin(bills: DataFrame) -> dict[str, Column]:
     """Where a line comes from: its file block, or its partition of a frame."""
     if all(c in bills.columns for c in ORIGIN):
@@ -118,6 +143,7 @@ def stage_bills(bills: DataFrame, path: str) -> str:
     try:
         placed.hint("rebalance", *[F.col(c) for c in parts]).write.partitionBy(*parts).parquet(folder)
         _number_blocks(spark, folder)
+        _fingerprint_months(spark, folder)
     except Exception:
         files.delete(spark, folder)
         raise

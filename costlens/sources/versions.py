@@ -23,12 +23,12 @@ from costlens.sources import files
 KEEP = 2
 ORPHAN_HOURS = 24.0
 _MANIFESTS = "manifests"
-_DATA = "data-"
+DATA = "data-"
 
 
 def new_folder(path: str) -> str:
     """A folder for the table's next version, which nobody else writes to."""
-    return f"{path.rstrip('/')}/{_DATA}{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/{DATA}{uuid.uuid4().hex}"
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
@@ -82,7 +82,7 @@ def clean(spark: SparkSession, path: str, keep: int = KEEP, orphan_hours: float
     old = {m["data"] for n in numbers if (m := _manifest(spark, path, n)) is not None} - used
     before = (time.time() - orphan_hours * 3600) * 1000
     for name in files.names(spark, path):
-        if name.startswith(_DATA) and name not in used:
+        if name.startswith(DATA) and name not in used:
             if name in old or files.modified(spark, f"{path}/{name}") < before:
                 files.delete(spark, f"{path}/{name}")
     kept = 0
