@@ -14,8 +14,8 @@ read until multiplying out all rows that are left costs less than reading on; th
 done. The answer is exact whatever the time of the stop.
 
 Queries are packed into blocks; blocks meet each shard in tasks of a bounded number of
-queries, and the shards' answers are merged. Shards are as many as rows or cores ask for;
-their number does not change results.
+queries, and the shards' answers are merged. A shard is as large as a task holds well: the
+more rows it has, the sooner its limit rules rows out. Results do not depend on it.
 
 Defined results: vectors that are null or hold null or non-finite components take no
 part, nor do null ids; zero vectors do. Vectors meet those of their own length only. An
@@ -37,9 +37,8 @@ from costlens.session import scratch_dir
 SCALE = 256.0
 LEVELS = 16
 SHARD_ROWS = 1 << 16
-LEAST_ROWS = 1 << 11  # of a shard, where cores are left
-BLOCK_QUERIES = 256
-TASK_BLOCKS = 32
+BLOCK_QUERIES = 64
+TASK_BLOCKS = 4
 _LOOKS = 8
 
 _SHARD = "dim int, shard int, ids binary, vectors binary, postings binary, starts binary"
@@ -75,7 +74,7 @@ class Shard:
         level = (values[:, :1] - values) * LEVELS // range_of
         new = np.ones(values.shape, bool)
         new[:, 1:] = level[:, 1:] != level[:, :-1]
-        return cls(ids, vectors, order.T.reshape(-1).astype(np.int32), np.flatnonzero(new))
+        return cls(ids, vectors, order.T.reshape(-1), np.flatnonzero(new))
 
     def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return self.vectors[rows] @ query
@@ -148,7 +147,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
     dim, ids, vectors = _numbers(table)
     order = np.lexsort((*vectors.T[::-1], ids))
     made = Shard.build(ids[order], vectors[order])
-    arrays = (made.ids, made.vectors, made.postings, made.starts)
+    arrays = (made.ids, made.vectors.astype(np.int32), made.postings.astype(np.int32), made.starts)
     return _row(_SHARD, dim, table["shard"][0].as_py(), *[x.tobytes() for x in arrays])
 
 
@@ -157,13 +156,17 @@ def _pack_block(table: pa.Table) -> pa.Table:
     return _row(_BLOCK, dim, table["block"][0].as_py(), ids.tobytes(), vectors.tobytes())
 
 
+def _load(row: dict) -> Shard:
+    ids = np.frombuffer(row["ids"], np.int64)
+    vectors, postings = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("vectors", "postings"))
+    return Shard(ids, vectors.reshape(len(ids), row["dim"]), postings, np.frombuffer(row["starts"], np.int64))
+
+
 def _search(k: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.int64).reshape(len(ids), row["dim"])
-                shard = Shard(ids, vectors, np.frombuffer(row["postings"], np.int32), np.frombuffer(row["starts"], np.int64))
+                shard = _load(row)
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 queries = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), row["dim"])
                 found = [shard.search(i, q, k)[:2] for i, q in zip(query_ids.tolist(), queries, strict=True)]
@@ -201,7 +204,7 @@ def largest_products(
     rows = stored(_usable(vectors, vec_id, vector), f"{folder}/vectors")
     asked = stored(_usable(queries, vec_id, vector), f"{folder}/queries")
     count = rows.count()
-    shards = max(count // SHARD_ROWS + 1, min(2 * spark.sparkContext.defaultParallelism, count // LEAST_ROWS + 1))
+    shards = count // SHARD_ROWS + 1
     index = stored(_dealt(rows, "shard", shards).applyInArrow(_build_shard, _SHARD), f"{folder}/index")
     blocks = asked.count() // BLOCK_QUERIES + 1
     packed = _dealt(asked, "block", blocks).applyInArrow(_pack_block, _BLOCK)
