@@ -304,6 +304,12 @@ def _dashboard_of_table(spark: SparkSession, sf_dir: str, folder: str) -> DataFr
     return page.view("PROMO", None, *RANGE)["region_totals"]
 
 
+def _months_merged(bills: DataFrame) -> DataFrame:
+    """Months of all lines, merged from states by region and service."""
+    merged = spend.merge_months(spend.month_state(bills, [SERVICE, REGION]))
+    return spend.months_of(merged).withColumn("total_cost", F.col("total_cost").cast("double"))
+
+
 def _no_kpis(bills: DataFrame) -> DataFrame:
     return kpis.kpis(bills.filter(F.col(SERVICE) == "no such service"), spend.complete_months(bills))
 
@@ -335,6 +341,11 @@ def bill_queries() -> dict[str, Query]:
     return {
         "monthly_spend": _lineitem(spend.monthly_spend, DATE, COST),
         "monthly_spend_rollup": _lineitem(_monthly_from_rollup, DATE, SERVICE, REGION, COST),
+        "monthly_spend_by_service": _lineitem(spend.monthly_spend, DATE, SERVICE, COST, by=(SERVICE,)),
+        "excluded_months_by_resource": _lineitem(
+            spend.excluded_months, DATE, RESOURCE, COST, by=(RESOURCE,), min_days=2
+        ),
+        "months_merged": _lineitem(_months_merged, DATE, SERVICE, REGION, COST),
         "excluded_months": _lineitem(spend.excluded_months, DATE, COST),
         "monthly_change": _lineitem(spend.monthly_change, DATE, COST),
         "region_ranking": _lineitem(spend.region_ranking, REGION, COST),
@@ -428,6 +439,14 @@ numbered AS (
   FROM bills WHERE {valid})"""
 
 
+def _months_sql(by: str, having: str) -> str:
+    key = f"{by}, " if by else ""
+    return f"""
+SELECT {key}strftime(usage_date, '%Y-%m') AS month, CAST(round(sum(cost_usd), 2) AS DOUBLE) AS total_cost,
+       count(DISTINCT usage_date) AS days_with_data
+FROM bills GROUP BY {key}strftime(usage_date, '%Y-%m') {having}"""
+
+
 _IDS_SELECT = """
 SELECT strftime(usage_date, '%Y-%m') AS month, count(*) AS line_count, min(line_id) AS first_id,
        max(line_id) AS last_id, CAST(sum(line_id) AS BIGINT) AS id_sum, CAST(sum(cost_usd) AS DOUBLE) AS total_cost
@@ -783,6 +802,11 @@ SELECT count(*) FILTER (region <> 'EUROPE') AS lines, count(*) FILTER (region =
        count(*) FILTER (region = 'EUROPE') AS reject_rows
 FROM bills"""
         ),
+        "monthly_spend_by_service": _sql(select=_months_sql("service", "HAVING count(DISTINCT usage_date) >= 20")),
+        "excluded_months_by_resource": _sql(
+            select=_months_sql("resource_id", "HAVING count(DISTINCT usage_date) < 2")
+        ),
+        "months_merged": _sql(select=_months_sql("", "")),
         "stored_rollup": out["daily_rollup"],
         "dashboard_of_table": out["region_totals"],
         "kpis_no_lines": _sql(

@@ -89,29 +89,26 @@ def growth_alerts(
     ``complete_months_only``. A service needs lines in both and a positive cost
     in the earlier one. Fewer than two months give no alert.
     """
-    if S.MONTH in bills.columns:
-        # A table partitioned by month: find the two, then read no others.
-        bills = bills.filter(F.col(S.MONTH).isin(_latest_stored(bills, complete_months_only, min_days)))
-        complete_months_only = False
-    per_day = _per_day(bills)
-    days = per_day.groupBy(S.USAGE_DATE, S.MONTH).agg(F.sum(S.COST).alias(S.COST))
-    months = days.groupBy(S.MONTH).agg(
-        F.count(F.lit(1)).alias("n_days"), F.sum(S.COST).alias(S.COST)
-    )
-    if complete_months_only:
-        months = months.filter(F.col("n_days") >= min_days)
-    latest = (
-        months.filter(F.col(S.COST).isNotNull())
-        .orderBy(F.desc(S.MONTH))
-        .limit(2)
-        .select(S.MONTH, F.row_number().over(Window.orderBy(F.desc(S.MONTH))).alias("age"))
-    )
+    stored = S.MONTH in bills.columns
+    if stored:
+        # A table partitioned by month: the join prunes all partitions but two when it runs.
+        latest = _aged(_stored_months(bills, complete_months_only, min_days))
+        spent = bills
+    else:
+        spent = _per_day(bills)
+        days = spent.groupBy(S.USAGE_DATE, S.MONTH).agg(F.sum(S.COST).alias(S.COST))
+        months = days.groupBy(S.MONTH).agg(
+            F.count(F.lit(1)).alias("n_days"), F.sum(S.COST).alias(S.COST)
+        )
+        if complete_months_only:
+            months = months.filter(F.col("n_days") >= min_days)
+        latest = _aged(months.filter(F.col(S.COST).isNotNull()))
     current, previous = (
         as_double(F.sum(F.when(F.col("age") == age, F.col(S.COST)))) for age in (1, 2)
     )
     change = pct_change(F.col("current_cost"), F.col("previous_cost"))
     return (
-        per_day.join(F.broadcast(latest), S.MONTH)  # two rows
+        spent.join(F.broadcast(latest), S.MONTH)  # two rows
         .groupBy(S.SERVICE)
         .agg(current.alias("current_cost"), previous.alias("previous_cost"))
         .filter((F.col("previous_cost") > 0) & (change >= threshold_pct))
@@ -126,13 +123,20 @@ def growth_alerts(
     )
 
 
-def _latest_stored(bills: DataFrame, complete_only: bool, min_days: int) -> list[str]:
-    """The latest two months, from the partitions or, for complete ones, the dates alone."""
-    months = bills.select(S.MONTH).distinct()
-    if complete_only:
-        days = bills.select(S.MONTH, S.USAGE_DATE).distinct().groupBy(S.MONTH)
-        months = days.agg(F.count(F.lit(1)).alias("n_days")).filter(F.col("n_days") >= min_days)
-    return [r[S.MONTH] for r in months.orderBy(F.desc(S.MONTH)).limit(2).toLocalIterator()]
+def _aged(months: DataFrame) -> DataFrame:
+    """The latest two months, aged 1 and 2."""
+    age = F.row_number().over(Window.orderBy(F.desc(S.MONTH)))
+    return months.orderBy(F.desc(S.MONTH)).limit(2).select(S.MONTH, age.alias("age"))
+
+
+def _stored_months(bills: DataFrame, complete_only: bool, min_days: int) -> DataFrame:
+    """The table's months, from the partitions or, for complete ones, the dates alone."""
+    named = bills.filter(F.col(S.MONTH) > "")  # a side without any filter prunes nothing
+    if not complete_only:
+        return named.select(S.MONTH).distinct()
+    bit = F.call_function("shiftleft", F.lit(1), F.dayofmonth(S.USAGE_DATE) - 1)
+    days = named.groupBy(S.MONTH).agg(F.bit_count(F.bit_or(bit)).alias("n_days"))
+    return days.filter(F.col("n_days") >= min_days).select(S.MONTH)
 
 
 def _resource_totals(bills: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,9 @@ def filter_bills(
 ) -> DataFrame:
     """Keep one service, one region and an inclusive date range; None keeps all.
 
-    The range applies only when both ends are given. On a table partitioned by
-    month it also bounds the month, which is what prunes partitions: a predicate
-    on the date alone does not.
+    The range applies only when both ends are given; one alone is ignored with a
+    warning. On a table partitioned by month it also bounds the month, which is what
+    prunes partitions: a predicate on the date alone does not.
     """
     if service is not None:
         bills = bills.filter(F.col(S.SERVICE) == F.lit(service))
@@ -35,6 +36,8 @@ def filter_bills(
         if S.MONTH in bills.columns:
             months = (F.lit(d.strftime("%Y-%m")) for d in (first, last))
             bills = bills.filter(F.col(S.MONTH).between(*months))
+    elif start is not None or end is not None:
+        warnings.warn("a date range with one end is ignored", stacklevel=2)
     return bills
 
 
@@ -54,12 +57,15 @@ def facets(bills: DataFrame) -> DataFrame:
 def date_bounds(bills: DataFrame) -> DataFrame:
     """First and last usage date; no row when there are no bills.
 
-    On a table partitioned by month only the first and the last month are read;
-    which ones they are is found from the partitions alone.
+    On a table partitioned by month only the first and the last month are read: which
+    ones they are is found from the partitions alone, and a join prunes the others when
+    the query runs.
     """
     if S.MONTH in bills.columns:
-        ends = bills.agg(F.min(S.MONTH), F.max(S.MONTH)).first()
-        bills = bills.filter(F.col(S.MONTH).isin(*ends))
+        named = bills.filter(F.col(S.MONTH) > "")  # a side without any filter prunes nothing
+        ends = named.agg(F.min(S.MONTH).alias("first"), F.max(S.MONTH).alias("last"))
+        ends = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias(S.MONTH))
+        bills = bills.join(F.broadcast(ends), S.MONTH)  # two rows at most
     return (
         bills.agg(
             F.min(S.USAGE_DATE).alias("first_date"),

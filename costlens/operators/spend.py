@@ -18,6 +18,8 @@ from costlens.functions.numeric import (
     total_cost,
 )
 
+DAYS = "days"
+
 
 def _days(bills: DataFrame, *by: str) -> DataFrame:
     """Exact cost per day, with optional further keys."""
@@ -33,38 +35,64 @@ def daily_spend(bills: DataFrame) -> DataFrame:
     )
 
 
-def all_months(bills: DataFrame) -> DataFrame:
-    """Rounded cost and number of distinct days for each month, exact, unsorted.
+def month_state(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One mergeable row for each month (and key): exact cost and a bit for each day with lines.
 
-    Days are summed first, so distinct days are a plain count and both shuffles
-    carry at most one row per day and task.
+    One shuffle of a row for each month, key and task: the days need none of their own, as
+    bits of the same day fall together. States of parts of the lines, or by further keys,
+    can be merged (``merge_months``).
     """
-    return (
-        _days(bills)
-        .groupBy(month_of(S.USAGE_DATE).alias(S.MONTH))
-        .agg(
-            round_half_up(F.sum(S.COST)).alias("total_cost"),
-            F.count(F.lit(1)).cast("bigint").alias("days_with_data"),
-        )
+    # Months as numbers: lines need no text made of their dates.
+    month = F.year(S.USAGE_DATE) * 12 + F.month(S.USAGE_DATE) - 1
+    bit = F.call_function("shiftleft", F.lit(1), F.dayofmonth(S.USAGE_DATE) - 1)
+    grouped = bills.groupBy(*by, month.alias("_month"))
+    state = grouped.agg(total_cost().alias(S.COST), F.bit_or(bit).alias(DAYS))
+    first = F.make_date(F.floor(F.col("_month") / 12).cast("int"), F.pmod("_month", F.lit(12)) + 1, F.lit(1))
+    return state.select(*by, month_of(first).alias(S.MONTH), S.COST, DAYS)
+
+
+def merge_months(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """States of the same months put together, by fewer keys or from several tables."""
+    return states.groupBy(*by, S.MONTH).agg(total_cost().alias(S.COST), F.bit_or(DAYS).alias(DAYS))
+
+
+def months_of(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rounded cost and number of distinct days of each state, exact, unsorted."""
+    return states.select(
+        *by,
+        S.MONTH,
+        round_half_up(F.col(S.COST)).alias("total_cost"),
+        F.bit_count(DAYS).cast("bigint").alias("days_with_data"),
     )
 
 
-def complete_months(bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS) -> DataFrame:
-    return all_months(bills).filter(F.col("days_with_data") >= min_days)
+def all_months(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rounded cost and number of distinct days for each month (and key), exact, unsorted."""
+    return months_of(month_state(bills, by), by)
+
+
+def complete_months(
+    bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS, by: Sequence[str] = ()
+) -> DataFrame:
+    return all_months(bills, by).filter(F.col("days_with_data") >= min_days)
 
 
-def _month_report(months: DataFrame) -> DataFrame:
-    return months.withColumn("total_cost", as_double(F.col("total_cost"))).orderBy(S.MONTH)
+def _month_report(months: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return months.withColumn("total_cost", as_double(F.col("total_cost"))).orderBy(*by, S.MONTH)
 
 
-def monthly_spend(bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS) -> DataFrame:
-    """Cost per month with at least ``min_days`` days of data."""
-    return _month_report(complete_months(bills, min_days))
+def monthly_spend(
+    bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS, by: Sequence[str] = ()
+) -> DataFrame:
+    """Cost per month with at least ``min_days`` days of data, also of each key by itself."""
+    return _month_report(complete_months(bills, min_days, by), by)
 
 
-def excluded_months(bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS) -> DataFrame:
+def excluded_months(
+    bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS, by: Sequence[str] = ()
+) -> DataFrame:
     """The months ``monthly_spend`` leaves out."""
-    return _month_report(all_months(bills).filter(F.col("days_with_data") < min_days))
+    return _month_report(all_months(bills, by).filter(F.col("days_with_data") < min_days), by)
 
 
 def monthly_change(bills: DataFrame, min_days: int = S.COMPLETE_MONTH_DAYS) -> DataFrame:

@@ -41,18 +41,22 @@ class Dashboard:
         end: Day | None = None,
         wording: alerts.Wording = alerts.ENGLISH,
     ) -> dict[str, DataFrame]:
-        """All frames under the filters; months stay unfiltered."""
+        """All frames under the filters, with the texts shown for them; months stay unfiltered."""
         daily = filter_bills(self.daily, service, region, start, end)
         lines = filter_bills(self.bills, service, region, start, end)
         self._drop_resources()
         self.resources = rollups.resource_rollup(lines).cache()
         feed = alerts.alert_feed(self.resources, wording=wording, daily=daily)
+        indicators = kpis.kpis(daily, spend.complete_months(self.daily))
+        projected = forecast.projection(daily)
         return {
-            "kpis": kpis.kpis(daily, spend.complete_months(self.daily)),
+            "kpis": indicators,
+            "kpi_texts": kpis.kpi_texts(indicators),
             "monthly_spend": spend.monthly_spend(self.daily),
             "service_distribution": spend.service_distribution(daily),
             "trend_series": forecast.trend_series(daily),
-            "projection": forecast.projection(daily),
+            "projection": projected,
+            "projection_texts": forecast.projection_texts(projected).select("total_text", "change_text", "severity"),
             "alert_cards": alerts.alert_cards(feed, wording=wording),
             "region_totals": spend.region_totals(daily),
             "top_resources": spend.top_resources_exact(self.resources),

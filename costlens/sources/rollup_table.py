@@ -36,7 +36,7 @@ _ROLLUP = T.StructType(
 def _prints(spark: SparkSession, folder: str) -> set[tuple[str, str]]:
     """Month and fingerprint of each of a version's months."""
     found = bill_table.fingerprints(spark, folder)
-    return {(r[S.MONTH], f"{r['line_count']}_{r['checksum']}") for r in found.collect()}
+    return {(r[S.MONTH], f"{r['line_count']}_{r['checksum']}") for r in found.toLocalIterator()}
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:

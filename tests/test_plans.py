@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from plans import count, executed
 
+from costlens import schema as S
 from costlens.operators import alerts, forecast, spend
 from costlens.operators.filters import date_bounds, filter_bills
 from costlens.plans.dashboard import Dashboard
@@ -34,7 +35,7 @@ def table(spark, tmp_path_factory):
         spend.top_resources,
         forecast.trend_series,
         forecast.projection,
-        lambda bills: alerts.growth_alerts(bills, -100, complete_months_only=True),
+        lambda bills: alerts.growth_alerts(bills.drop(S.MONTH), -100, complete_months_only=True),
         lambda bills: alerts.outlier_alerts(bills, top_n=None),
         alerts.service_cost_stats,
     ],
@@ -84,16 +85,67 @@ def test_reports_read_the_lines_twice(spark, table):
         printed.close()
 
 
-@pytest.mark.parametrize("complete", [False, True])
-def test_growth_reads_two_months(table, complete):
-    grown = alerts.growth_alerts(table, -100, complete_months_only=complete)
-    (scan,) = [x for x in executed(grown) if "FileScan" in x]
-    assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ IN \(\d{4}-\d\d,\d{4}-\d\d\)", scan)
+def partitions_read(spark, df, column):
+    """Partitions that the scans of a column read, from the metrics of the query that ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsList().size() == before + 1
+    number = store.executionsList().apply(before).executionId()
+    values, out = store.executionMetrics(number), []
+    nodes = store.planGraph(number).allNodes()
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        if node.name().startswith("Scan parquet") and re.search(rf"ReadSchema: struct<[^>]*{column}", node.desc()):
+            for j in range(node.metrics().size()):
+                metric = node.metrics().apply(j)
+                if metric.name() == "number of partitions read":
+                    out.append(int(values.apply(metric.accumulatorId())))
+    return out
+
+
+def jobs_of(spark, call):
+    """The result of a call and how many jobs it has started."""
+    spark.sparkContext.setJobGroup("planned", "")
+    try:
+        result = call()
+        return result, len(spark.sparkContext.statusTracker().getJobIdsForGroup("planned"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_date_bounds_read_two_months(table):
-    (scan,) = [x for x in executed(date_bounds(table)) if "FileScan" in x]
-    assert re.search(r"PartitionFilters: \[[^\]]*month#\d+ IN", scan)
+@pytest.mark.parametrize("complete", [False, True])
+def test_growth_reads_two_months_and_plans_without_a_job(spark, table, complete):
+    grown, jobs = jobs_of(spark, lambda: alerts.growth_alerts(table, -100, complete_months_only=complete))
+    assert jobs == 0
+    assert partitions_read(spark, grown, S.COST) == [2]
+    plain = alerts.growth_alerts(table.drop(S.MONTH), -100, complete_months_only=complete)
+    assert rounded(map(tuple, grown.collect())) == rounded(map(tuple, plain.collect())) != []
+
+
+def test_date_bounds_read_two_months_and_plan_without_a_job(spark, table):
+    found, jobs = jobs_of(spark, lambda: date_bounds(table))
+    assert jobs == 0
+    assert partitions_read(spark, found, S.USAGE_DATE) == [2]
+    assert found.collect() == date_bounds(table.drop(S.MONTH)).collect()
+
+
+def test_tables_without_lines_or_of_one_month(spark, table, tmp_path):
+    for kept, growth in (("month = '1996-02'", 0), ("month = ''", 0)):
+        path = str(tmp_path / kept[-3:-1])
+        bill_table.replace_bills(table.filter(kept), path)
+        stored = bill_table.read_bills(spark, path)
+        assert alerts.growth_alerts(stored, -100).count() == growth
+        assert date_bounds(stored).collect() == date_bounds(stored.drop(S.MONTH)).collect()
+
+
+def test_months_take_one_exchange_less(table):
+    """One for the months, one for their order; counting days first would take a third."""
+    lines = table.repartition(4)
+    assert sum("Exchange" in x for x in executed(spend.monthly_spend(lines))) == 1 + 2
+    by_service = spend.monthly_spend(lines, min_days=1, by=[S.SERVICE])
+    assert sum("Exchange" in x for x in executed(by_service)) == 1 + 2
 
 
 def rounded(rows):

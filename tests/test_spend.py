@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from costlens import schema as S
 from costlens.operators import rollups, spend
@@ -147,3 +148,32 @@ def test_large_and_negative_costs_sum_exactly(bills, rows):
     )
     daily = rollups.daily_rollup(frame).collect()[0]
     assert daily[S.COST] == Decimal("1000000000000.499998")
+
+
+def plain_months(bills, *by):
+    """Distinct days counted by Spark, not from bits."""
+    return bills.groupBy(*by, F.date_format(S.USAGE_DATE, "yyyy-MM").alias("month")).agg(
+        F.round(F.sum(S.COST), 2).alias("total_cost"), F.countDistinct(S.USAGE_DATE).alias("days_with_data")
+    )
+
+
+def months_frame(bills):
+    days = ["1969-12-31", "1970-01-01", "2000-02-29", "2024-01-31", "2024-02-01", "0001-01-01", "9999-12-31"]
+    some = [(d, f"s{i % 2}", f"r{i % 3}", f"x{i}", f"{i}.115") for i, d in enumerate(days * 3)]
+    whole = [(f"2023-{1 + i % 12:02d}-{1 + i % 28:02d}", "s0", "r1", f"y{i % 5}", "-1.005") for i in range(400)]
+    return bills(*some, *whole)
+
+
+@pytest.mark.parametrize("by", [(), (S.SERVICE,), (S.RESOURCE, S.REGION)])
+def test_days_from_bits_equal_distinct_days(bills, rows, by):
+    frame = months_frame(bills)
+    assert sorted(rows(spend.all_months(frame, by))) == sorted(rows(plain_months(frame, *by)))
+
+
+def test_month_states_can_be_merged(bills, rows):
+    frame = months_frame(bills)
+    by_region = spend.month_state(frame, [S.SERVICE, S.REGION])
+    halves = spend.month_state(frame.filter("cost_usd < 0")).unionByName(spend.month_state(frame.filter("cost_usd >= 0")))
+    expected = sorted(rows(spend.all_months(frame)))
+    for states in (spend.merge_months(by_region), spend.merge_months(halves), spend.merge_months(spend.merge_months(by_region, [S.REGION]))):
+        assert sorted(rows(spend.months_of(states))) == expected
