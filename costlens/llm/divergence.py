@@ -37,7 +37,7 @@ from costlens.llm.transducer import Transducer
 from costlens.llm.words import LETTER, Block, blocks, distinct_codes, lowered, run_texts
 from costlens.session import scratch_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 12 << 20
 RANGE_TERMS = 1 << 16
 MAX_RANGES = 4096
 START_CHARS = 64  # a range begins where these change, so they decide the range of a term
