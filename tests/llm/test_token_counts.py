@@ -1,3 +1,6 @@
+import json
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -52,3 +55,36 @@ def test_stored_counts_are_used(spark, docs, tmp_path):
 def test_odd_rows(odd, odd_rows, none, tmp_path):
     assert counted(odd, str(tmp_path / "a")) == expected([r[:2] for r in odd_rows])
     assert counted(none, str(tmp_path / "b")) == []
+
+
+def test_units_count_like_whole_texts(texts, monkeypatch):
+    """Also where white space, added tokens and letters outside of Latin meet, and with a full memory."""
+    library = T.Tokenizer(PATH).load()
+    units, whole = T.UnitCounts(library), T.WholeCounts(library)
+    rng = random.Random(2)
+    parts = [*" \t\n  aé'sß日٣²1,.!<|>", "\u00a0", "\u0085", "\u2003", "\u200b", "\x1c", "<|endoftext|>", "'ll", " don't", "a" * 90]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    assert units.count(odd) == whole.count(odd)
+    assert units.known and all(len(u) <= units.LONGEST for u in units.known)
+    monkeypatch.setattr(T.UnitCounts, "MOST", 50)
+    some = [t or "" for t in list(texts.values())[:50]]
+    for at in range(0, 50, 7):
+        assert units.count(some[at : at + 7]) == whole.count(some[at : at + 7])
+    assert len(units.known) <= 50
+
+
+def test_units_are_for_byte_level_tokenizers_only():
+    content = T.Tokenizer(PATH).content
+    assert T.UnitCounts.fits(content)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        assert not T.UnitCounts.fits(json.dumps(json.loads(content) | change))
+
+
+def test_other_tokenizers_count_whole_texts(spark, docs, tmp_path):
+    made = json.loads(T.Tokenizer(PATH).content)
+    made["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "lower.json"
+    path.write_text(json.dumps(made))
+    found = T.count_tokens(docs((1, "SOME Text HERE")), T.Tokenizer(str(path)), str(tmp_path / "c")).collect()
+    expected = len(Tokenizer.from_file(str(path)).encode("SOME Text HERE", add_special_tokens=False))
+    assert [tuple(r) for r in found] == [(1, 14, expected)]
