@@ -3,7 +3,8 @@
 The vocabulary of a ``.model`` file becomes sorted hashes of its pieces. Texts are cut
 into units (a run of word-boundary marks and the characters up to the next one; line
 ends stand alone), which no piece crosses. The different units of a block are encoded
-together, those of one length in one matrix: for each end position the hashes of all
+together, sorted by length: equally long ones, and those about as long, advance in one
+matrix, which a unit leaves at its end. For each end position the hashes of all
 substrings that end there probe the sorted keys, and the best of them becomes the
 position's backpointer.
 
@@ -11,7 +12,8 @@ position's backpointer.
 has merge priorities instead, for which a sum of scores gives wrong pieces; there, a path
 counts if each two neighbours would stay apart under the merges, which holds for exactly
 one path, the one that merging gives. Whether two pieces stay apart is found from the
-merges inside them and remembered. Units that begin with several boundary marks are
+merges inside them and remembered. That also lets long units, as of texts without blanks,
+go in parts of ``PART`` characters. Units that begin with several boundary marks are
 merged directly, as the priorities of such runs are tied.
 
 Defined results: a null or empty text has no pieces; characters outside the vocabulary
@@ -36,6 +38,10 @@ MARK = "▁"
 _BASE = U64(0x9E3779B97F4A7C55)
 _BACK = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 KEPT_UNITS = 1 << 20
+PART = 128  # characters of a unit that are encoded at once
+AROUND = (4, 16)  # pieces on both sides of a cut that are encoded anew
+CELLS = 1 << 20  # of a matrix of units and characters
+SLOT_BITS = 20  # of remembered pairs of pieces
 UNIGRAM, BPE = 1, 2
 
 
@@ -149,11 +155,13 @@ class Vocabulary:
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(self.normal, np.int32)[order]
         self.raw, self.length = np.zeros(len(self.pieces) + 1, U64), np.ones(len(self.pieces) + 1, np.int64)
-        self.raw[self.normal], self.length[self.normal] = raw, length
+        for piece, i in self.ids.items():
+            self.length[i] = len(piece)
+        self.raw[self.normal] = raw
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys >> U64(44)] = True
         self.powers = _powers(2 * self.longest + 1, _BASE)
-        self.known_pairs, self.pair_stays = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.slot_pairs, self.slot_stays = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, bool)
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """Ids of hashed substrings, -1 for those that are no pieces."""
@@ -166,21 +174,24 @@ class Vocabulary:
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging keeps the pieces ``a`` and ``b`` apart where they meet."""
-        size = len(self.pieces) + 1
-        pairs, back = np.unique(a.astype(np.int64) * size + b, return_inverse=True)
-        if len(self.known_pairs) > 4 * KEPT_UNITS:
-            self.known_pairs, self.pair_stays = np.zeros(0, np.int64), np.zeros(0, bool)
-        place = np.searchsorted(self.known_pairs, pairs)
-        known = np.zeros(len(pairs), bool)
-        inside = place < len(self.known_pairs)
-        known[inside] = self.known_pairs[place[inside]] == pairs[inside]
-        new = pairs[~known]
+        pairs = a.astype(np.int64) * (len(self.pieces) + 1) + b
+        slot = (mix(pairs.view(U64)) >> U64(64 - SLOT_BITS)).astype(np.int64)
+        out = self.slot_stays[slot]
+        new = np.flatnonzero(self.slot_pairs[slot] != pairs)
         if len(new):
-            every = np.concatenate([self.known_pairs, new])
-            stays = np.concatenate([self.pair_stays, self._stay_apart(new // size, new % size)])
-            order = np.argsort(every)
-            self.known_pairs, self.pair_stays = every[order], stays[order]
-        return self.pair_stays[np.searchsorted(self.known_pairs, pairs)][back]
+            out[new] = self._stay_apart(a[new], b[new])
+            # Of pairs with one slot the last is remembered; which one does not matter.
+            self.slot_pairs[slot[new]] = pairs[new]
+            self.slot_stays[slot[new]] = self._last_of(slot[new], out[new])
+        return out
+
+    @staticmethod
+    def _last_of(slot: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """For each place the value that writing all places in order leaves in its slot."""
+        _, back = np.unique(slot, return_inverse=True)
+        left = np.empty(back.max() + 1, values.dtype)
+        left[back] = values
+        return left[back]
 
     def _stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Undo the merges on both sides of the border, latest first; a merge across it that
@@ -219,48 +230,124 @@ class Vocabulary:
         if self.model == BPE and len(points):
             second = np.minimum(lead[:-1] + 1, len(points) - 1)
             run = (length > 1) & (points[lead[:-1]] == ord(MARK)) & (points[second] == ord(MARK))
-        rows, parts = [], []
-        order = np.argsort(np.where(run, 0, length), kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(np.where(run, 0, length)[order])) + 1):
-            if not len(group):
+        flat, count = self._paths(points, lead[:-1], np.where(run, 0, length))
+        if run.any():
+            merged = {i: self._merged(points[lead[i] : lead[i + 1]]) for i in np.flatnonzero(run).tolist()}
+            flat, count = _replaced(flat, count, merged)
+        return self._final(points, lead[:-1], flat, count)
+
+    def _merged(self, points: np.ndarray) -> np.ndarray:
+        """The path of one unit by merging it step by step."""
+        parts = self.merge("".join(map(chr, points.tolist())))
+        return np.array([self.ids_all.get(p, len(self.pieces)) for p in parts], np.int32)
+
+    def _paths(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of the spans of characters, and the pieces of each; long ones go in parts."""
+        long = np.flatnonzero(length > PART) if self.model == BPE else np.zeros(0, np.int64)
+        if not len(long):
+            return self._short_paths(points, begin, length)
+        flat, count = self._short_paths(points, begin, np.where(length > PART, 0, length))
+        return _replaced(flat, count, dict(zip(long.tolist(), self._long_paths(points, begin[long], length[long]), strict=True)))
+
+    def _long_paths(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+        """Paths of long units: cut anywhere, and encoded anew around the cuts that show.
+
+        As one path only has neighbours that all stay apart, parts whose last and first
+        pieces stay apart are the unit's path, wherever they were cut. Where a cut goes
+        through a piece, the pieces around it are encoded as a unit of their own, whose
+        two borders must hold. Units for which that fails too are merged.
+        """
+        parts = (length + PART - 1) // PART
+        unit = np.repeat(np.arange(len(length)), parts)
+        place = np.arange(len(unit)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = begin[unit] + place * PART
+        size = np.minimum(PART, length[unit] - place * PART)
+        flat, count = self._short_paths(points, at, size)
+        paths = np.split(flat, np.cumsum(count)[:-1])
+        left = np.flatnonzero(unit[1:] == unit[:-1])  # borders, by the part before them
+        last, first = (np.array([p[i] for p in paths], np.int32) for i in (-1, 0))
+        open_ = left[~self.stay_apart(last[left], first[left + 1])]
+        between: dict[int, tuple[int, np.ndarray, int]] = {}
+        stuck = []
+        for reach in AROUND:
+            before = np.minimum(reach, (count[open_] - 1) // 2)
+            behind = np.minimum(reach, (count[open_ + 1] - 1) // 2)
+            some = before + behind > 0
+            stuck += open_[~some].tolist()
+            open_, before, behind = open_[some], before[some], behind[some]
+            if not len(open_):
+                break
+            heads = np.array([self.length[paths[i][len(paths[i]) - n :]].sum() for i, n in zip(open_, before, strict=True)], np.int64)
+            tails = np.array([self.length[paths[i + 1][:n]].sum() for i, n in zip(open_, behind, strict=True)], np.int64)
+            around, sizes = self._short_paths(points, at[open_ + 1] - heads, heads + tails)
+            middle = np.split(around, np.cumsum(sizes)[:-1])
+            holds = np.ones(len(open_), bool)
+            for side in (0, 1):
+                edge = [paths[i][len(paths[i]) - n - 1] if side == 0 else paths[i + 1][n] for i, n in zip(open_, (before, behind)[side], strict=True)]
+                inner = np.array([m[0 if side == 0 else -1] for m in middle], np.int32)
+                pair = (np.array(edge, np.int32), inner) if side == 0 else (inner, np.array(edge, np.int32))
+                holds &= self.stay_apart(*pair)
+            for i, n, path, m, good in zip(open_.tolist(), before.tolist(), middle, behind.tolist(), holds, strict=True):
+                if good:
+                    between[i] = (n, path, m)
+            open_ = open_[~holds]
+        broken = set(unit[[*open_.tolist(), *stuck]].tolist())
+        out = []
+        for number, (start, many) in enumerate(zip((np.cumsum(parts) - parts).tolist(), parts.tolist(), strict=True)):
+            if number in broken:
+                out.append(self._merged(points[begin[number] : begin[number] + length[number]]))
                 continue
-            if run[group[0]]:
-                texts = ["".join(map(chr, points[lead[i] : lead[i + 1]].tolist())) for i in group.tolist()]
-                lists = [self._final(t, [self.ids_all.get(p, len(self.pieces)) for p in self.merge(t)]) for t in texts]
-                flat, count = np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists])
-            else:
-                n = int(length[group[0]])
-                matrix = points[lead[group][:, None] + np.arange(n)]
-                flat, count = self._equal_length(matrix)
-            rows.append(np.stack([group, count]))
-            parts.append(flat)
-        where = np.concatenate(rows, axis=1)
-        flat = np.concatenate(parts)
-        begin = np.cumsum(where[1]) - where[1]
-        back = np.empty(len(length), np.int64)
-        back[where[0]] = np.arange(len(length))
-        count = where[1][back]
-        total = np.cumsum(count)
-        return flat[np.arange(total[-1]) + np.repeat(begin[back] - (total - count), count)], count
+            joined, skip = [], 0
+            for i in range(start, start + many):
+                cut, path, following = between.get(i, (0, None, 0)) if i + 1 < start + many else (0, None, 0)
+                joined.append(paths[i][skip : len(paths[i]) - cut])
+                joined += [] if path is None else [path]
+                skip = following
+            out.append(np.concatenate(joined))
+        return out
 
-    def _equal_length(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units of one length, given as a matrix of characters, and how many each has."""
-        (n, length), unknown = points.shape, len(self.pieces)
-        sums = _sums(points)
-        back = _powers(length + 1, _BACK)
-        score = np.full((n, length + 1), -np.inf)
+    def _short_paths(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of the spans, those of near lengths together."""
+        order = np.argsort(length, kind="stable")
+        order = order[np.searchsorted(length[order], 1) :]
+        count, parts, at = np.zeros(len(length), np.int64), [], 0
+        cells = length[order] * np.arange(1, len(order) + 1)  # of a matrix from the first span on
+        while at < len(order):
+            end = max(at + 1, int(np.searchsorted(cells - length[order] * at, CELLS, side="right")))
+            some = order[at:end][::-1]
+            path, count[some] = self._advance(points, begin[some], length[some])
+            parts.append(path)
+            order[at:end] = some
+            at = end
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        # From the order of lengths back to that of the spans.
+        total = np.cumsum(count)
+        made = np.zeros(len(length), np.int64)
+        made[order] = np.cumsum(count[order]) - count[order]
+        return flat[np.arange(len(flat)) + np.repeat(made - (total - count), count)], count
+
+    def _advance(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths of spans, the longest first, that advance together by one character a step.
+
+        Those of one length end at the same step; the rest goes on without them.
+        """
+        n, most, unknown = len(length), int(length[0]), len(self.pieces)
+        sums = _sums(points[np.minimum(begin[:, None] + np.arange(most), len(points) - 1)])
+        back = _powers(most + 1, _BACK)
+        score = np.full((n, most + 1), -np.inf)
         score[:, 0] = 0
-        piece = np.full((n, length + 1), -1, np.int32)
-        origin = np.zeros((n, length + 1), np.int32)
+        piece = np.full((n, most + 1), -1, np.int32)
+        origin = np.zeros((n, most + 1), np.int32)
         penalty = self.scores[self.normal].min() - 10
-        every = np.arange(n)
-        for end in range(1, length + 1):
-            begin = np.arange(max(0, end - self.longest), end)
-            keys = mix((sums[:, end, None] - sums[:, begin]) * back[begin] + (end - begin).astype(U64))
+        going = np.searchsorted(-length, -np.arange(most + 1), side="right")
+        for end in range(1, most + 1):
+            live = going[end]
+            starts = np.arange(max(0, end - self.longest), end)
+            keys = mix((sums[:live, end, None] - sums[:live, starts]) * back[starts] + (end - starts).astype(U64))
             found = self.probe(keys)
             found[found[:, -1] < 0, -1] = unknown
-            row, at = np.nonzero((found >= 0) & (score[:, begin] > -np.inf))
-            ids, last = found[row, at], piece[row, begin[at]]
+            row, at = np.nonzero((found >= 0) & (score[:live, starts] > -np.inf))
+            ids, last = found[row, at], piece[row, starts[at]]
             if self.model == UNIGRAM:
                 gain = np.where(ids == unknown, penalty, self.scores[np.minimum(ids, unknown - 1)])
             else:
@@ -269,41 +356,37 @@ class Vocabulary:
                 check = np.flatnonzero(last >= 0)
                 gain[check[~self.stay_apart(last[check], ids[check])]] = -np.inf
             total = np.full(found.shape, -np.inf)
-            total[row, at] = score[row, begin[at]] + gain
-            best = total.argmax(1)
-            score[:, end], piece[:, end], origin[:, end] = total[every, best], found[every, best], begin[best]
-        out = np.full((n, length), -1, np.int32)  # filled from the right
-        at, live, column = np.full(n, length), every, length - 1
+            total[row, at] = score[row, starts[at]] + gain
+            best, every = total.argmax(1), np.arange(live)
+            score[:live, end], piece[:live, end], origin[:live, end] = total[every, best], found[every, best], starts[best]
+        out = np.full((n, most), -1, np.int32)  # filled from the right
+        at, live, column = length.copy(), np.arange(n), most - 1
         while len(live):
             out[live, column] = piece[live, at[live]]
             at[live] = origin[live, at[live]]
             live, column = live[at[live] > 0], column - 1
-        strange = np.flatnonzero((out == unknown).any(1))
-        if len(strange):
-            lists = {
-                i: self._final("".join(map(chr, points[i].tolist())), out[i][out[i] >= 0].tolist())
-                for i in strange.tolist()
-            }
-            widest = max(map(len, lists.values()))
-            if widest > length:
-                out = np.hstack([np.full((n, widest - length), -1, np.int32), out])
-            for i, ids in lists.items():
-                out[i] = -1
-                out[i, : len(ids)] = ids
         return out[out >= 0], (out >= 0).sum(1)
 
-    def _final(self, unit: str, path: list[int]) -> list[int]:
-        """A path with bytes, or the unknown piece, for characters outside the vocabulary."""
-        ids, at = [], 0
-        for p in path:
-            if p < len(self.pieces):
-                ids.append(p)
-                at += len(self.pieces[p])
-            else:
-                own = self.byte_ids[np.frombuffer(unit[at].encode("utf-8", "surrogatepass"), np.uint8)]
-                ids += own.tolist() if (own >= 0).all() else [self.unknown]
-                at += 1
-        return ids
+    def _final(self, points: np.ndarray, begin: np.ndarray, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Paths with bytes, or the unknown piece, for characters outside the vocabulary."""
+        strange = np.flatnonzero(flat == len(self.pieces))
+        if not len(strange):
+            return flat, count
+        size = self.length[flat]
+        row = np.repeat(np.arange(len(count)), count)
+        behind = np.cumsum(size)
+        at = behind - size - (np.concatenate([[0], behind])[np.cumsum(count) - count])[row] + begin[row]
+        chars, which = np.unique(points[at[strange]], return_inverse=True)
+        own = [self.byte_ids[np.frombuffer(chr(c).encode("utf-8", "surrogatepass"), np.uint8)] for c in chars.tolist()]
+        own = [x if (x >= 0).all() else np.array([self.unknown], np.int32) for x in own]
+        begins, sizes = np.cumsum([0, *map(len, own)])[:-1], np.array([len(x) for x in own])
+        wide = np.ones(len(flat), np.int64)
+        wide[strange] = sizes[which]
+        out = np.repeat(flat, wide)
+        place = np.cumsum(wide) - wide
+        step = np.arange(wide[strange].sum()) - np.repeat(np.cumsum(wide[strange]) - wide[strange], wide[strange])
+        out[np.repeat(place[strange], wide[strange]) + step] = np.concatenate(own)[np.repeat(begins[which], wide[strange]) + step]
+        return out, np.bincount(row, weights=wide, minlength=len(count)).astype(np.int64)
 
     # --- texts --------------------------------------------------------------------
 
@@ -371,6 +454,21 @@ class Encoder:
         return ids, total[np.searchsorted(starts, bounds)]
 
 
+def _replaced(flat: np.ndarray, count: np.ndarray, paths: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The paths with those of some units put in, which had none."""
+    if not paths:
+        return flat, count
+    count = count.copy()
+    count[list(paths)] = [len(p) for p in paths.values()]
+    new = np.zeros(len(count), bool)
+    new[list(paths)] = True
+    from_new = np.repeat(new, count)
+    out = np.empty(len(from_new), np.int32)
+    out[~from_new] = flat
+    out[from_new] = np.concatenate([paths[i] for i in sorted(paths)])
+    return out, count
+
+
 def _unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where texts begin, a run of boundary marks begins, and before and behind line ends."""
     head = np.zeros(len(data) + 1, bool)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -97,3 +98,42 @@ def test_unsupported_vocabularies():
         P.Vocabulary(["<unk>", "a▁b"], [0, -1], [2, 1], P.BPE)
     with pytest.raises(ValueError, match="supported"):
         P.Vocabulary(["<unk>", "a"], [0, -1], [2, 1], 3)
+
+
+def long_texts(seed):
+    """Texts without blanks: letters at random, words of texts run together, repeated parts, strange letters."""
+    rng = random.Random(seed)
+    words = "the of and informational processing de la straße können über niño 日本 語 x 12 , . -".split()
+    for size in (1, 2, 127, 128, 129, 255, 256, 257, 1000):
+        yield "".join(rng.choices("ainetroslh", k=size))
+        yield "".join(rng.choices(words, k=size))[:size]
+        yield "".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=size)))
+        yield rng.choice(["a", "ab", "aab", "=", "-=", "0", "ß", "日"]) * size
+    yield "".join(rng.choices(["the", " ", "ing", "\n", "tion", "  "], k=3000)) + "z" * 500 + " " + "y" * 700
+
+
+@pytest.mark.parametrize("around", [(4, 16), (1,), (0,), ()])
+@pytest.mark.parametrize("part", [2, 17, 128])
+def test_long_units_like_the_library(vocabulary, library, monkeypatch, part, around):
+    """Cut at any place, repaired around the cuts or merged."""
+    monkeypatch.setattr(P, "PART", part)
+    monkeypatch.setattr(P, "AROUND", around)
+    monkeypatch.setattr(vocabulary, "encoder", P.Encoder(vocabulary))
+    check(vocabulary, library, list(long_texts(part)))
+
+
+def test_texts_without_blanks_take_a_few_times_as_long_as_others(texts, library):
+    """Not hundreds of times, as when each length is a matrix of its own."""
+    rng = random.Random(1)
+    plain = [t for t in texts.values() if t and t.isascii()][:150]
+    joined = [t.replace(" ", "") for t in plain]
+    chinese = ["".join(map(chr, rng.choices(range(0x4E00, 0x6000), k=700))) for _ in range(150)]
+    one = ["".join(rng.choices("ainetroslhd", k=40_000))]
+    seconds = []
+    for some in (plain, joined, chinese, one):
+        vocabulary = P.Vocabulary.read(PATH)
+        start = time.process_time()
+        ids, _ = P._encoded(vocabulary, pa.array(some))
+        seconds.append((time.process_time() - start) / sum(len(t.encode()) for t in some) * 1e9)
+        assert ids.to_pylist() == library.encode(some)
+    assert max(seconds[1:]) < 12 * seconds[0], seconds
