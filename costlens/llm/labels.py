@@ -12,8 +12,8 @@ def not_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> list[tuple[str, bool]]:
-    """Different labelled texts, of at most ``sizes[c]`` ids of each class ``c``: those not
-    held out with the smallest hashes of their ids. Several labels of one id: the largest.
+    """Different labelled texts, one of each of at most ``sizes[c]`` ids of each class ``c``:
+    the ids not held out with the smallest hashes. Several labels of one id: the largest.
     """
     use = not_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()
     known = labels.filter(use).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_label"))
@@ -24,5 +24,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[in
     chosen = parts[0].unionByName(parts[1])
     # The chosen ids are bounded by the two sizes, so the texts stay where they are.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
-    found = rows.select("text", "_label").limit(2 * sum(sizes.values())).collect()
+    # An id has one text, whatever rows it has: the one with the smallest hash.
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    found = rows.groupBy("doc_id").agg(first.alias("text"), F.max("_label").alias("_label")).collect()
     return [(t, bool(x)) for t, x in sorted({r["text"]: r["_label"] for r in sorted(found)}.items())]

@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 *Labelled tokens.* Labels exist per document. A word form or a prefix of one marks
-toxicity if it is found in toxic documents, not in clean ones, and if it is needed to
-explain them: a document shares one vote among all its candidates, so what only a
+toxicity if a far larger share of toxic than of clean documents hold it (some clean ones
+may quote it; the fitted weights settle what it then says), and if it is needed to explain
+the toxic ones: a document shares one vote among all its candidates, so what only a
 group of near copies has in common gets next to none. Tokens of toxic documents
 that carry a mark are labelled toxic, all others clean.
 
@@ -16,7 +17,8 @@ document's score is the largest marginal of its tokens, its spans are the runs o
 tokens whose marginal is at least one half, as byte offsets in UTF-8.
 
 Defined results: a null or empty text, and any text if the sample lacks a class, has
-score 0 and no spans. Several labels of one id: toxic if one says so.
+score 0 and no spans. Several labels of one id: toxic if one says so. A sample with enough
+toxic texts and no mark is an error, as no text could be rejected then.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ SEGMENT = 64
 ROUNDS = 30
 REJECT = 0.3
 MARK_VOTES, MARK_SHARE = 0.75, 0.001
+PURE_RATIO = 0.002  # clean texts for each toxic one that hold a mark
+MARK_RATIO = 0.2  # the same of shares, smoothed, for marks of toxic texts without a purer one
+MOST_QUOTES = 5  # marked tokens of a clean text that is learnt from
+FEWEST = 20  # toxic texts from which on a sample without any mark is an error
+FIT_BYTES = 1 << 18
 
 
 # --- tokens and features --------------------------------------------------------
@@ -185,19 +192,19 @@ class Model:
 
 
 def _blocks(texts: list[str]):
-    return blocks(pa.array(texts, pa.large_string()))
+    return blocks(pa.array(texts, pa.large_string()), FIT_BYTES)
 
 
-def _pairs(known: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs of text and place of a known feature."""
-    found = [np.zeros(0, np.int64)]
+def _pairs(known: Model, texts: list[str]):
+    """For each block: different pairs of text and place of a known feature."""
     for at, block in _blocks(texts):
         _, _, row, hashes = features(block)
+        found = [np.zeros(0, np.int64)]
         for own in hashes:
             token, place = known.places(own)
             found.append((row[token] + at.start) * len(known.known) + place)
-    pairs = np.unique(np.concatenate(found))
-    return pairs // len(known.known), pairs % len(known.known)
+        pairs = np.unique(np.concatenate(found))
+        yield pairs // len(known.known), pairs % len(known.known)
 
 
 def _marks(toxic: list[str], clean: list[str]) -> np.ndarray:
@@ -213,22 +220,41 @@ def _marks(toxic: list[str], clean: list[str]) -> np.ndarray:
     if not len(often.known):
         return often.known
     in_toxic = in_toxic[np.searchsorted(every, often.known)]
-    in_clean = np.bincount(_pairs(often, clean)[1], minlength=len(often.known))
-    candidate = Model(known=often.known[in_clean <= 0.002 * in_toxic])
-    if not len(candidate.known):
-        return candidate.known
-    # A text has one vote, shared by its different words that hold a candidate.
-    words = np.zeros(len(toxic))
-    for at, block in _blocks(toxic):
+    in_clean = sum(np.bincount(place, minlength=len(often.known)) for _, place in _pairs(often, clean))
+    # First the features that clean texts lack. What those leave without a mark may also be
+    # explained by features that a few clean texts quote.
+    least = max(MARK_VOTES, MARK_SHARE * len(toxic))
+    marks = _voted(often.known[in_clean <= PURE_RATIO * in_toxic], toxic, least)
+    toxic_share, clean_share = (in_toxic + 0.5) / (len(toxic) + 1), (in_clean + 0.5) / (len(clean) + 1)
+    quoted = often.known[clean_share <= MARK_RATIO * toxic_share]
+    return np.union1d(marks, _voted(quoted, _without(marks, toxic), least))
+
+
+def _voted(known: np.ndarray, texts: list[str], least: float) -> np.ndarray:
+    """The features with enough votes: a text has one, shared by its words that hold a candidate."""
+    candidate = Model(known=known)
+    if not len(known) or not texts:
+        return known[:0]
+    words = np.zeros(len(texts))
+    for at, block in _blocks(texts):
         _, _, row, hashes = features(block)
         token = np.unique(np.concatenate([candidate.places(own)[0] for own in hashes]))
         order = np.lexsort((hashes[0, token], row[token]))
         r, h = row[token][order], hashes[0, token][order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])[: len(h)]
         words[at] += np.bincount(r[new], minlength=block.rows)
-    doc, place = _pairs(candidate, toxic)
-    votes = np.bincount(place, 1 / np.maximum(words[doc], 1), minlength=len(candidate.known))
-    return candidate.known[votes >= max(MARK_VOTES, MARK_SHARE * len(toxic))]
+    votes = np.zeros(len(known))
+    for text, place in _pairs(candidate, texts):
+        votes += np.bincount(place, 1 / np.maximum(words[text], 1), minlength=len(votes))
+    return known[votes >= least]
+
+
+def _without(marks: np.ndarray, texts: list[str]) -> list[str]:
+    """The texts that hold none of the marks."""
+    if not len(marks):
+        return texts
+    held = {i for text, _ in _pairs(Model(known=marks), texts) for i in text.tolist()}
+    return [t for i, t in enumerate(texts) if i not in held]
 
 
 def _labelled(texts: list[str], toxic: bool, marks: Model):
@@ -236,12 +262,13 @@ def _labelled(texts: list[str], toxic: bool, marks: Model):
     for _, block in _blocks(texts):
         _, _, row, hashes = features(block)
         y = np.zeros(len(row))
-        if toxic:
-            for own in hashes:
-                y[marks.places(own)[0]] = 1
-            # A toxic text without a labelled token says nothing about which token it is.
-            use = (np.bincount(row[y > 0], minlength=block.rows) > 0)[row]
-            row, hashes, y = row[use], hashes[:, use], y[use]
+        for own in hashes:
+            y[marks.places(own)[0]] = 1
+        marked = np.bincount(row[y > 0], minlength=block.rows)
+        # A toxic text without a labelled token says nothing about which token it is, nor does
+        # a clean one that lists many marks about any of them.
+        use = (marked > 0 if toxic else marked <= MOST_QUOTES)[row]
+        row, hashes, y = row[use], hashes[:, use], y[use] if toxic else np.zeros(use.sum())
         if len(row):
             yield y, np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])), hashes
 
@@ -253,6 +280,8 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
         return Model()
     marks = Model(known=_marks(bad, good))
     if not len(marks.known):
+        if len(bad) >= FEWEST:
+            raise ValueError(f"nothing tells {len(bad)} toxic texts from {len(good)} clean ones")
         return Model()
     known = np.unique(np.concatenate([np.unique(hashes[:, y > 0]) for y, _, hashes in _labelled(bad, True, marks)]))
     model = Model(known=known[known != 0])

@@ -2,8 +2,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from costlens.llm import toxicity as X
+from costlens.llm.labels import training_rows
 from costlens.llm.words import blocks
 
 
@@ -84,3 +87,35 @@ def test_odd_rows_and_missing_labels(spark, odd, none):
         assert all(r.t.score == 0 and r.t.spans == [] for r in rows if r.doc_id in (0, 1, 2))
     assert none.select(X.toxicity(none, X.Model())["score"]).count() == 0
     assert X.fit_on(none, labels).known.size == 0
+
+
+def test_marks_that_clean_texts_quote(spark):
+    """Clean texts that quote some or all of the marks do not hide them."""
+    texts, toxic = corpus(400, 1)
+    bad = "idiot moron lowei".split()
+    held_texts, held_toxic = corpus(200, 9)
+    for quotes in (1, 10):
+        every = " ".join(sorted({w for t, x in zip(texts, toxic, strict=True) if x for w in t.split() if any(b in w.lower() for b in bad)}))
+        for quote in ("they said idiot moron lowei", every):
+            model = X.fit(texts + [f"{quote} and {i}" for i in range(quotes)], toxic + [False] * quotes)
+            score = np.concatenate([X.score_block(model, b)[0] for _, b in blocks(pa.array(held_texts))])
+            found = (score >= X.REJECT)[np.array(held_toxic)]
+            assert found.mean() >= 0.9, (quotes, quote[:30], found.mean())
+
+
+def test_a_sample_without_marks_is_an_error():
+    same = [f"the same words {i % 3}" for i in range(60)]
+    with pytest.raises(ValueError, match="nothing tells"):
+        X.fit(same * 2, [True] * 60 + [False] * 60)
+    assert not len(X.fit(same[:4], [True, True, False, False]).known)  # too few to say
+
+
+def test_an_id_with_very_many_rows_hides_no_other(spark, table):
+    docs, labels = table("documents").select("doc_id", "text"), table("labels")
+    hot = labels.filter("toxic = 0 and crc32(cast(doc_id as string)) % 4 <> 2").first().doc_id
+    many = spark.range(20_000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sizes = {1: 100, 0: 100}
+    plain, with_hot = (training_rows(d, labels, "toxic", sizes) for d in (docs, docs.unionByName(many)))
+    assert sum(x for _, x in plain) == sum(x for _, x in with_hot) > 0
+    assert len(with_hot) in (len(plain), len(plain) + 1)
+    assert with_hot == training_rows(docs.unionByName(many).repartition(7), labels, "toxic", sizes)
