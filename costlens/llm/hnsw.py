@@ -13,7 +13,8 @@ precision, and the shards' answers are merged by rank.
 
 Defined results: vectors that are null, all zero, or hold null or non-finite components
 take no part, and neither do null ids; vectors are compared with those of their own
-length only; a row that repeats an id and its vector counts once; a query's own id is no
+length only; a row that repeats an id and its vector counts once; an id with several
+vectors is one answer and one query, at the least distance of them; a query's own id is no
 answer; equal distances go to the smaller id. A query without candidates has no rows.
 """
 
@@ -270,6 +271,9 @@ def _search_shard(row: dict, k: int, beam: int) -> pa.RecordBatch:
     query, vec, score = query[other], vec[other], score[other]
     order = np.lexsort((vec, score, query))
     query, vec, score = query[order], vec[order], score[order]
+    nearest = np.unique(np.stack([query, vec]), axis=1, return_index=True)[1]  # of an id's vectors
+    nearest.sort()
+    query, vec, score = query[nearest], vec[nearest], score[nearest]
     rank = np.arange(len(query)) - np.searchsorted(query, query)
     best = rank < k
     return pa.RecordBatch.from_arrays(
@@ -316,5 +320,6 @@ def nearest(
     sent = packed.join(shards, "dim").withColumn("shard", F.explode("shard"))
     found = index.join(sent, ["dim", "shard"]).mapInArrow(_search_shards(k, beam), _FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -188,6 +188,7 @@ def _statements_sql(text: str) -> str:
     out = "lower(x)"
     for pattern in (licenses.COPYRIGHT, licenses.RIGHTS):
         out = f"regexp_replace({out}, '{pattern}', '')"
+    out = f"CASE WHEN length({out}) < 100 THEN regexp_replace({out}, '{licenses.TITLE}', '') ELSE {out} END"
     out = f"regexp_replace({out}, '{licenses.BETWEEN_WORDS}', ' ', 'g')"
     for spelling, usual in licenses.SPELLINGS.items():
         out = f"replace({out}, '{spelling}', '{usual}')"

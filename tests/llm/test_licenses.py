@@ -1,4 +1,7 @@
+from oracle import connect, differences
+
 from costlens.llm import licenses as L
+from costlens.llm import queries
 
 
 def found(df, known=None):
@@ -51,3 +54,14 @@ def test_licence_files_with_titles(docs):
     titles |= {"BSD-3-Clause": "BSD 3-Clause License"}
     texts = [(i, f"{t}\n\nCopyright (c) 2020 Somebody\n\n{L.KNOWN[k]}") for i, (k, t) in enumerate(titles.items())]
     assert [r[1] for r in found(docs(*texts))] == list(titles)
+
+
+def test_titled_rows_equal_sql(spark, tmp_path):
+    """The SQL of the registered query drops title lines, and only those, as the scan does."""
+    titles = ["MIT License", "The MIT Licence (MIT)", "ISC license", "MIT License and more", "*** BSD 3-Clause License ***", "zlib LICENSE", "License"]
+    rows = [(i, f"{t}\n\nCopyright (c) 2020 Somebody\n\n{text}") for i, (t, text) in enumerate((t, x) for t in titles for x in L.KNOWN.values())]
+    rows += [(1000, None), (1001, ""), (1002, "MIT License"), (1003, "mit license " * 20)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert differences(queries.op4_licenses(spark, str(tmp_path)), connect(str(tmp_path)), queries.OP4_SQL) == []
+    named = {r[1] for r in found(spark.read.parquet(f"{tmp_path}/documents.parquet"))}
+    assert {"MIT", "ISC", "BSD-3-Clause", "Zlib"} <= named
