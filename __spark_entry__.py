@@ -7,6 +7,7 @@ SQL over the same tables.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -310,6 +311,12 @@ def _months_merged(bills: DataFrame) -> DataFrame:
     return spend.months_of(merged).withColumn("total_cost", F.col("total_cost").cast("double"))
 
 
+def _fit_of_months(bills: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fits from month states by service and region, merged as asked for."""
+    states = spend.month_state(bills, [c for c in (SERVICE, REGION) if c in bills.columns])
+    return _rounded(forecast.fit_of_months(states, by), slope=6, intercept=6)
+
+
 def _no_kpis(bills: DataFrame) -> DataFrame:
     return kpis.kpis(bills.filter(F.col(SERVICE) == "no such service"), spend.complete_months(bills))
 
@@ -370,6 +377,10 @@ def bill_queries() -> dict[str, Query]:
         **_both("service_cost_stats", _service_cost_stats, *stats),
         **_both("trend_features", forecast.trend_features, DATE, COST),
         **_both("trend_fit", _trend_fit, DATE, COST),
+        "trend_fit_of_months": _lineitem(_fit_of_months, DATE, SERVICE, REGION, COST),
+        "trend_fit_of_months_by_service": _lineitem(
+            _fit_of_months, DATE, SERVICE, REGION, COST, by=(SERVICE,)
+        ),
         "trend_fit_by_service": _lineitem(_trend_fit, DATE, SERVICE, COST, by=(SERVICE,)),
         **_both("forecast_30d", _forecast, DATE, COST),
         "forecast_by_service": _lineitem(_forecast, DATE, SERVICE, COST, by=(SERVICE,)),
@@ -802,6 +813,8 @@ SELECT count(*) FILTER (region <> 'EUROPE') AS lines, count(*) FILTER (region =
        count(*) FILTER (region = 'EUROPE') AS reject_rows
 FROM bills"""
         ),
+        "trend_fit_of_months": out["trend_fit"],
+        "trend_fit_of_months_by_service": out["trend_fit_by_service"],
         "monthly_spend_by_service": _sql(select=_months_sql("service", "HAVING count(DISTINCT usage_date) >= 20")),
         "excluded_months_by_resource": _sql(
             select=_months_sql("resource_id", "HAVING count(DISTINCT usage_date) < 2")
@@ -833,8 +846,11 @@ try:
     import corpus_pipeline
     from costlens.llm import queries as llm
 except ModuleNotFoundError as error:
-    if error.name not in ("corpus_pipeline", "costlens.llm"):
+    # The package itself or a library that only it needs may be missing; parts of this one may not.
+    own = (error.name or "").startswith("costlens") and not (error.name or "").startswith("costlens.llm")
+    if own:
         raise
+    logging.getLogger(__name__).warning("no operators on training data: %s", error)
     llm = corpus_pipeline = None
 
 

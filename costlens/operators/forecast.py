@@ -6,7 +6,7 @@ that equals filtering to each key's lines and fitting those alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from costlens import schema as S
 from costlens.functions.numeric import as_double, pct_change, total_cost
 from costlens.functions.text import dollars, one_decimal
+from costlens.operators import spend
 
 
 def _days(bills: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -61,6 +62,54 @@ def trend_fit(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return _fit(_days(bills, by), by).select(*by, "slope", "intercept", "n_days")
 
 
+def fit_of_months(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``trend_fit`` out of month states (``spend.month_state``), without the days themselves.
+
+    States by any further keys, of any choice of months or of parts of the lines may be
+    given: days with lines are bits, so those of several states fall together, and all
+    sums are exact until the last step. Days are counted from the first one, gaps stay gaps.
+    """
+    months = spend.merge_months(states, by)
+    start = F.unix_date(F.to_date(F.concat(S.MONTH, F.lit("-01"))))
+    each = F.filter(
+        F.sequence(F.lit(0), F.lit(30)), lambda d: F.call_function("shiftright", F.col(spend.DAYS), d).bitwiseAND(F.lit(1)) == 1
+    )
+    days = F.transform(each, lambda d: (start + d).cast("bigint"))
+    exact = "decimal(38,10)"
+
+    def total(of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(days, F.lit(0).cast("bigint"), lambda a, x: a + of(x))
+
+    # x counts from 1970; the sums of cost are those of the days' costs, whatever the lines.
+    sums = months.select(
+        *by,
+        F.array_min(days).alias("first"),
+        F.size(days).cast("bigint").alias("n"),
+        total(lambda x: x).alias("sx"),
+        total(lambda x: x * x).alias("sxx"),
+        F.col(S.COST).cast(exact).alias("sy"),
+        (F.col(spend.MOMENT) + (start - 1).cast("decimal(8,0)") * F.col(S.COST)).cast(exact).alias("sxy"),
+    )
+    fit = sums.groupBy(*by).agg(
+        F.min("first").alias("first"), *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy")]
+    )
+    n, first = F.col("n"), F.col("first")
+    shifted = {
+        "sxy": (F.col("sxy") - first.cast("decimal(8,0)") * F.col("sy")).cast("double"),
+        "sxx": F.col("sxx") - 2 * first * F.col("sx") + n * first * first,
+        "sx": F.col("sx") - n * first,
+        "sy": as_double(F.col("sy")),
+    }
+    spread = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.coalesce(F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), spread), F.lit(0.0))
+    return (
+        fit.filter(n > 0)
+        .withColumns(shifted)
+        .withColumn("slope", slope)
+        .select(*by, "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / n).alias("intercept"), n.alias("n_days"))
+    )
+
+
 def _future(horizon: int, value: str) -> Column:
     """Array of the days after ``last_date`` with the clipped trend value."""
     if horizon < 1:

@@ -18,7 +18,7 @@ from costlens.functions.numeric import (
     total_cost,
 )
 
-DAYS = "days"
+DAYS, MOMENT = "days", "moment"
 
 
 def _days(bills: DataFrame, *by: str) -> DataFrame:
@@ -36,7 +36,8 @@ def daily_spend(bills: DataFrame) -> DataFrame:
 
 
 def month_state(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One mergeable row for each month (and key): exact cost and a bit for each day with lines.
+    """One mergeable row for each month (and key): exact cost, a bit for each day with lines,
+    and the sum of cost times day of the month.
 
     One shuffle of a row for each month, key and task: the days need none of their own, as
     bits of the same day fall together. States of parts of the lines, or by further keys,
@@ -44,16 +45,20 @@ def month_state(bills: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     # Months as numbers: lines need no text made of their dates.
     month = F.year(S.USAGE_DATE) * 12 + F.month(S.USAGE_DATE) - 1
-    bit = F.call_function("shiftleft", F.lit(1), F.dayofmonth(S.USAGE_DATE) - 1)
+    day = F.dayofmonth(S.USAGE_DATE)
+    bit = F.call_function("shiftleft", F.lit(1), day - 1)
     grouped = bills.groupBy(*by, month.alias("_month"))
-    state = grouped.agg(total_cost().alias(S.COST), F.bit_or(bit).alias(DAYS))
+    moment = F.sum(F.col(S.COST) * day.cast("decimal(2,0)")).alias(MOMENT)
+    state = grouped.agg(total_cost().alias(S.COST), F.bit_or(bit).alias(DAYS), moment)
     first = F.make_date(F.floor(F.col("_month") / 12).cast("int"), F.pmod("_month", F.lit(12)) + 1, F.lit(1))
-    return state.select(*by, month_of(first).alias(S.MONTH), S.COST, DAYS)
+    return state.select(*by, month_of(first).alias(S.MONTH), S.COST, DAYS, MOMENT)
 
 
 def merge_months(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """States of the same months put together, by fewer keys or from several tables."""
-    return states.groupBy(*by, S.MONTH).agg(total_cost().alias(S.COST), F.bit_or(DAYS).alias(DAYS))
+    return states.groupBy(*by, S.MONTH).agg(
+        total_cost().alias(S.COST), F.bit_or(DAYS).alias(DAYS), F.sum(MOMENT).alias(MOMENT)
+    )
 
 
 def months_of(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from costlens.operators import forecast
+from costlens import schema as S
+from costlens.operators import forecast, spend
 
 
 def series(costs, service="EC2", start=dt.date(2024, 1, 1)):
@@ -111,3 +112,26 @@ def test_no_lines_no_rows(bills, rows, operator):
 def test_horizon_must_be_positive(bills):
     with pytest.raises(ValueError):
         forecast.forecast(bills(*series([1])), 0)
+
+
+def test_fits_from_merged_month_states(bills):
+    """Equal to fits of days: gaps, leap days, one day alone, credits, days shared by services."""
+    days = ["1969-12-30", "1970-01-01", "2000-02-29", "2000-03-01", "2001-01-31", "2024-02-29"]
+    frame = bills(
+        *[(d, f"s{i % 2}", f"r{j}", "x", f"{(i * 37 + j) % 11 - 3}.1234567891") for i, d in enumerate(days * 2) for j in range(3)],
+        ("2024-05-05", "alone", "r", "x", "7.5"),
+    )
+    states = spend.month_state(frame, [S.SERVICE, S.REGION])
+    halves = spend.month_state(frame.filter("region = 'r0'")).unionByName(spend.month_state(frame.filter("region <> 'r0'")))
+    late = frame.filter("usage_date >= '2000-01-01'")
+    for got, lines, by in (
+        (forecast.fit_of_months(states), frame, ()),
+        (forecast.fit_of_months(halves), frame, ()),
+        (forecast.fit_of_months(states, [S.SERVICE]), frame, (S.SERVICE,)),
+        (forecast.fit_of_months(states.filter("month >= '2000-01'"), [S.REGION]), late, (S.REGION,)),
+        (forecast.fit_of_months(states.filter("month > '3000'")), frame.limit(0), ()),
+    ):
+        want, got = sorted(forecast.trend_fit(lines, by).collect()), sorted(got.collect())
+        assert len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert [pytest.approx(x, rel=1e-9, abs=1e-9) if isinstance(x, float) else x for x in b] == list(a)
