@@ -22,3 +22,18 @@ def executed(df) -> list[str]:
 
 def count(df, node: str) -> int:
     return sum(node in line for line in executed(df))
+
+
+def executions(spark, job) -> list[tuple[int, str]]:
+    """Number and plan of each query that a job has run. Spark keeps a bounded number of past ones."""
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def listed():
+        bus.waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return [found.apply(i) for i in range(max(0, found.size() - 60), found.size())]
+
+    last = max((x.executionId() for x in listed()), default=-1)
+    job()
+    return [(x.executionId(), x.physicalPlanDescription()) for x in listed() if x.executionId() > last]

@@ -4,7 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
-from plans import count, executed
+from plans import count, executed, executions
 
 from costlens import schema as S
 from costlens.operators import alerts, forecast, spend
@@ -88,11 +88,7 @@ def test_reports_read_the_lines_twice(spark, table):
 def partitions_read(spark, df, column):
     """Partitions that the scans of a column read, from the metrics of the query that ran."""
     store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsList().size()
-    df.collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    assert store.executionsList().size() == before + 1
-    number = store.executionsList().apply(before).executionId()
+    ((number, _),) = executions(spark, df.collect)
     values, out = store.executionMetrics(number), []
     nodes = store.planGraph(number).allNodes()
     for i in range(nodes.size()):

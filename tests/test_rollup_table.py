@@ -1,6 +1,7 @@
 """The stored daily rollup and the comparison of what a load read with what it stored."""
 
 import pytest
+from plans import executions
 from pyspark.sql import functions as F
 
 from costlens import schema as S
@@ -33,11 +34,8 @@ def rows(df):
 
 def line_scans(spark, job):
     """How many queries of a job read the table's lines."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsList().size()
-    job()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    plans = [plan for _, plan in executions(spark, job)]
+    assert plans
     return sum("outcome=valid" in p for p in plans)
 
 
@@ -59,6 +57,7 @@ def test_a_start_reads_no_lines(spark, load):
         page.close()
 
     assert line_scans(spark, start) == 0
+    assert line_scans(spark, bill_table.read_bills(spark, table).collect) == 1
     page = Dashboard.of_table(spark, table)
     plain = Dashboard(bill_table.read_bills(spark, table))
     for name, frame in plain.view(region="r1").items():

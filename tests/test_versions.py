@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from plans import executions
 from pyspark.sql import functions as F
 
 from costlens import schema as S
@@ -171,11 +172,8 @@ def test_blocks_with_rejects_at_their_ends_only_need_no_window(spark, bills, tmp
 
 def csv_scans(spark, job):
     """How many reads of CSV lines Spark has planned in the queries of a job."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsList().size()
-    job()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    plans = [store.executionsList().apply(i).physicalPlanDescription() for i in range(before, store.executionsList().size())]
+    plans = [plan for _, plan in executions(spark, job)]
+    assert plans
     return sum(len(re.findall(r"Scan csv .*\n.*Output \[[1-9]\d*\]:.*_malformed", p)) for p in plans)
 
 
