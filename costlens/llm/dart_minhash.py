@@ -26,11 +26,14 @@ From signatures to classes:
 5. *Look-alikes.* The texts of larger buckets that hold several classes even now are
    joined exactly. All shingles have one order, those of a single class first, then the
    rarest; two texts of similarity ``s`` share one of the first ``size - s * size + 1`` of
-   each. Pairs of different classes meet there, and sizes, places and the number of shared
-   shingles rule out most before they are compared. The texts of a frequent shingle are
-   dealt to blocks of about ``CELL``, each two of which meet in a cell of their own, so no
-   task holds all of them. The pairs still grow with the square of a group whose texts
-   share their rarest shingles and are in different classes.
+   each. Pairs of different classes meet there, and sizes and places rule some out. So do
+   bitmaps: each of a text's shingles swaps one of ``64 * WORDS`` bits, so two texts differ
+   in at least as many shingles as bits. That bound rules out look-alikes under the threshold
+   where they meet, so that pairs go on in the number of those that are similar or very near
+   to it; it is weaker for texts of more shingles than bits.
+   The texts of a frequent shingle are dealt to blocks of about ``CELL``, each two of which
+   meet in a cell of their own, so no task holds all of them. Within cells the bitmaps are
+   still compared pair by pair.
 6. Classes are the connected components, found by large-star and small-star rounds.
 
 Pairs are verified from a table of the texts that share a bucket with another one.
@@ -43,6 +46,9 @@ Null ids count as the largest id; rows of one id and one text are one document.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -58,7 +64,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 NEXT = 8
 CELL = 256
+WORDS = 16  # 64-bit words of a text's bitmap
 _SALTS = 64
+_BITS = [f"bits_{i}" for i in range(WORDS)]
 _TAIL = 64  # coordinates that order a bucket, two bytes of each
 
 
@@ -279,16 +287,32 @@ def _rest(members: DataFrame, sketches: DataFrame, classes: DataFrame, similarit
     return pairs.select(F.least(ID, "b").alias("a"), F.greatest(ID, "b").alias("b")).distinct()
 
 
+def _bitmaps(rows: np.ndarray, units: np.ndarray, n_rows: int) -> np.ndarray:
+    """``WORDS`` numbers for each row; each of its units has swapped one of their bits."""
+    out = np.zeros((n_rows, WORDS), U64)
+    np.bitwise_xor.at(out, (rows, units % U64(WORDS)), U64(1) << (units // U64(WORDS) % U64(64)))
+    return out
+
+
+_UNIT = f"{ID} long, root long, size long, unit long, bits array<long>"
+
+
 def _units(batches):
-    """Each unit of weight of each shingle of a text, with the text's class and size."""
+    """Each unit of weight of each shingle of a text, with the text's class and size; its bitmap with the first of them."""
     for batch in batches:
         for at, block in blocks(batch["text"], 1 << 20):
             rows, hashes, counts = weighted(*shingles(block))
             sizes = np.bincount(rows, counts, minlength=block.rows).astype(np.int64)
             rows, units, _ = _columns(rows, hashes, counts)
             ids, roots = (batch[c].to_numpy()[at][rows] for c in (ID, "root"))
+            lead = np.ones(len(rows), bool)
+            lead[1:] = rows[1:] != rows[:-1]
+            bits = _bitmaps(rows, units, block.rows)[rows[lead]]
+            bounds = np.append(0, np.cumsum(lead) * WORDS).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(bits.reshape(-1))), mask=pa.array(~lead))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(roots), pa.array(sizes[rows]), pa.array(signed(units))], names=[ID, "root", "size", "unit"]
+                [pa.array(ids), pa.array(roots), pa.array(sizes[rows]), pa.array(signed(units)), lists],
+                names=[ID, "root", "size", "unit", "bits"],
             )
 
 
@@ -305,26 +329,16 @@ def _counted(rows: DataFrame) -> DataFrame:
     return salted.join(whole.select("unit", "n", "among", F.explode("salts").alias("salt")), ["unit", "salt"]).drop("salt")
 
 
-def _look_alikes(members: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, folder: str) -> DataFrame:
-    """All pairs of different classes that may be similar, of the texts of step 5 above."""
-    classed = _classed(members, classes)
-    large = _mixed(classed).filter(F.col("n") > NEXT + 1).select("key")
-    wanted = classed.join(large, "key").select(ID, "root").distinct()
-    units = texts.join(wanted, ID).mapInArrow(_units, f"{ID} long, root long, size long, unit long")
-    counted = _counted(stored(units, f"{folder}/units"))
-    place = F.row_number().over(Window.partitionBy(ID).orderBy("among", "n", "unit"))
-    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    prefixes = counted.withColumn("place", place).filter((F.col("place") <= first) & F.col("among")).drop("n", "among")
-    met = _counted(stored(prefixes, f"{folder}/prefixes")).filter("among")
+def _met(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes that may be similar, at each unit of both their prefixes."""
     met = met.withColumn("cells", F.ceil(F.col("n") / CELL)).withColumn("own", F.pmod(F.xxhash64(F.lit(1), ID), "cells"))
-    left = met.select(
-        "unit", F.col("own").alias("i"), F.explode(F.expr("sequence(own, cells - 1)")).alias("j"), ID, "root", "size", "place"
-    )
+    carried = (ID, "root", "size", "place", "common", *_BITS)
+    left = met.select("unit", F.col("own").alias("i"), F.explode(F.expr("sequence(own, cells - 1)")).alias("j"), *carried)
     right = met.select(
         "unit",
         F.explode(F.expr("sequence(0, own)")).alias("i"),
         F.col("own").alias("j"),
-        *(F.col(c).alias(f"{c}_2") for c in (ID, "root", "size", "place")),
+        *(F.col(c).alias(f"{c}_2") for c in carried),
     )
     # What two texts can share at most, by the places of one shared shingle; what they must.
     ahead = F.least(F.col("size") - F.col("place"), F.col("size_2") - F.col("place_2"))
@@ -332,9 +346,28 @@ def _look_alikes(members: DataFrame, texts: DataFrame, classes: DataFrame, simil
     fits = (F.col("root") != F.col("root_2")) & ((F.col("i") < F.col("j")) | (F.col(ID) < F.col(f"{ID}_2")))
     fits &= F.least("size", "size_2") >= similarity * F.greatest("size", "size_2") - 1e-9
     fits &= F.least("place", "place_2") + ahead >= needed
+    apart = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in _BITS])
+    fits &= (F.least("common", "common_2") >= needed) & (F.col("size") + F.col("size_2") - apart >= 2 * needed)
     both = left.join(right, ["unit", "i", "j"]).filter(fits)
-    pairs = both.groupBy(F.least(ID, f"{ID}_2").alias("a"), F.greatest(ID, f"{ID}_2").alias("b")).agg(
-        F.count("unit").alias("shared"), F.min(ahead).alias("ahead"), F.first(needed).alias("needed")
+    return both.withColumns({"ahead": ahead, "needed": needed})
+
+
+def _look_alikes(members: DataFrame, texts: DataFrame, classes: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """All pairs of different classes that may be similar, of the texts of step 5 above."""
+    classed = _classed(members, classes)
+    large = _mixed(classed).filter(F.col("n") > NEXT + 1).select("key")
+    wanted = classed.join(large, "key").select(ID, "root").distinct()
+    units = texts.join(wanted, ID).mapInArrow(_units, _UNIT)
+    units = stored(units, f"{folder}/units")
+    place = F.row_number().over(Window.partitionBy(ID).orderBy("among", "n", "unit"))
+    common = F.count(F.when(F.col("among"), 1)).over(Window.partitionBy(ID))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    prefixes = _counted(units.drop("bits")).withColumns({"place": place, "common": common})
+    prefixes = prefixes.filter((F.col("place") <= first) & F.col("among")).drop("n", "among")
+    bitmaps = units.filter("bits is not null").select(ID, *[F.col("bits")[i].alias(c) for i, c in enumerate(_BITS)])
+    met = _counted(stored(prefixes, f"{folder}/prefixes")).filter("among").join(bitmaps, ID)
+    pairs = _met(met, similarity).groupBy(F.least(ID, f"{ID}_2").alias("a"), F.greatest(ID, f"{ID}_2").alias("b")).agg(
+        F.count("unit").alias("shared"), F.min("ahead").alias("ahead"), F.first("needed").alias("needed")
     )
     return pairs.filter("shared + ahead >= needed").select("a", "b")
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from costlens.llm import dart_minhash as D
 from costlens.llm.components import components
@@ -90,6 +91,37 @@ def test_look_alikes_of_one_boilerplate(docs, monkeypatch):
     assert ours(docs(*rows))[0] == collections.Counter((i, i // 2 * 2) for i, _ in rows)
 
 
+def test_look_alikes_apart_do_not_go_on_in_pairs(docs, tmp_path, monkeypatch):
+    """Texts of one boilerplate under 0.8 meet in all pairs; few of them go on to be counted, none that is similar is lost."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        words = base[:]
+        for at in rng.sample(range(400), 9):
+            words[at] = f"o{i}-{at}"
+        rows.append((i, " ".join(words)))
+        near = words[:]
+        near[200] = f"n{i}"
+        rows.append((1000 + i, " ".join(near)))
+    df = docs(*rows)
+    texts = df.select(F.col("doc_id").alias(D.ID), "text")
+    members = df.select(F.lit(1).alias("key"), F.lit(0).alias("band"), F.col("doc_id").alias(D.ID), F.lit(1).alias("size"))
+    none = df.sparkSession.createDataFrame([], "node long, root long")
+    joined = []
+    monkeypatch.setattr(D, "_met", lambda *args, met=D._met: joined.append(met(*args)) or joined[0])
+    found = {tuple(r) for r in D._look_alikes(members, texts, none, 0.8, str(tmp_path)).collect()}
+    grams = {i: shingles(t) for i, t in rows}
+
+    def alike(a, b):
+        return (grams[a] & grams[b]).total() >= 0.8 * (grams[a] | grams[b]).total()
+
+    similar = {(a, b) for a, b in itertools.combinations(sorted(grams), 2) if alike(a, b)}
+    assert len(similar) >= 120 and similar <= found
+    pairs = joined[0].select(F.least(D.ID, f"{D.ID}_2"), F.greatest(D.ID, f"{D.ID}_2")).distinct().count()
+    assert pairs < 2 * len(similar) < len(rows) * (len(rows) - 1) // 20
+
+
 def test_odd_rows(odd, odd_rows, none):
     assert ours(odd)[0] == brute([r[:2] for r in odd_rows])
     assert not ours(none)[0]
