@@ -3,11 +3,12 @@
 Whether a line break ends a record depends on all quotes before it in the file. For each
 line it is known what it does to that state: it keeps it, swaps it, or sets it whatever it
 was. Such steps can be put together in any grouping, so they are first put together inside
-each file block, then over the blocks of a file (one row for each block), which gives every
-block the state it starts in. A second pass cuts all blocks at their true record ends.
+runs of up to ``RUN_LINES`` lines of a file block, then over the runs of a file (one row for
+each run), which gives every run the state it starts in. A second pass cuts all runs at their
+true record ends. The text is shuffled once, by run, so no window or sort holds a whole block.
 
-A record is where its first line is; the lines of a record that several lines make up,
-also over block borders, meet by that place. All other lines are records as they are.
+A record is where its first line is. Its lines are put together inside of each run; only
+records that go over the border of a run or block meet by that place.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 FILE, BLOCK, PLACE = "_file", "_block", "_place"
 RECORD = "_record"
+RUN = "_run"
+RUN_LINES = 4096  # a power of two
+_OF_RUN = [FILE, BLOCK, RUN]
 HEADER = "_header"
 
 # What a line does to the state (0 outside of quotes, 1 inside): keep, swap, set to 0, set to 1.
@@ -30,13 +34,18 @@ _STAYS_OPEN = rf'^{_INSIDE}(?:"[^,]*+,{_FIELDS}"{_INSIDE})?$'
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines with their file block and their order in it."""
-    return spark.read.option("lineSep", "\n").text(path).select(
+    """Physical lines with their file block, their order in it and their run."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias(FILE),
         F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(PLACE),
         F.col("value").alias("line"),
     )
+    return lines.withColumn(RUN, _run(F.col(PLACE)))
+
+
+def _run(place: Column) -> Column:
+    return F.shiftright(place, RUN_LINES.bit_length() - 1)
 
 
 def _step() -> Column:
@@ -70,39 +79,38 @@ def _before(step: str, order: Window) -> Column:
     return F.coalesce(F.lag(step).over(order), F.lit(_KEEP))
 
 
-def _block_states(lines: DataFrame) -> DataFrame:
-    """For each block: the state it starts in, where the record open there began, the header's place."""
-    in_block = Window.partitionBy(FILE, BLOCK).orderBy(PLACE)
-    quoted = lines.filter(F.contains("line", F.lit('"'))).select(FILE, BLOCK, PLACE, _step().alias("step"))
-    quoted = _together(quoted, "step", "upto", in_block).withColumn("earlier", _before("upto", in_block))
+def _run_states(lines: DataFrame) -> DataFrame:
+    """For each run: the state it starts in, where the record open there began, the header's place."""
+    in_run = Window.partitionBy(*_OF_RUN).orderBy(PLACE)
+    quoted = lines.filter(F.contains("line", F.lit('"'))).select(*_OF_RUN, PLACE, _step().alias("step"))
+    quoted = _together(quoted, "step", "upto", in_run).withColumn("earlier", _before("upto", in_run))
 
     def opened(start: int) -> Column:
-        """Where the last record opened if the block starts in this state."""
+        """Where the last record opened if the run starts in this state."""
         outside = _state(F.lit(start), F.col("earlier")) == 0
         return F.max(F.when(outside & (_state(F.lit(start), F.col("upto")) == 1), F.col(PLACE)))
 
-    moves = quoted.groupBy(FILE, BLOCK).agg(
+    moves = quoted.groupBy(*_OF_RUN).agg(
         F.max_by("upto", PLACE).alias("step"), opened(0).alias("open0"), opened(1).alias("open1")
     )
     text = F.when(F.rtrim(F.col("line"), F.lit("\r")) != "", F.col(PLACE))
-    blocks = lines.groupBy(FILE, BLOCK).agg(
+    runs = lines.groupBy(*_OF_RUN).agg(
         F.min(text).alias("first_text"), F.min_by(F.endswith("line", F.lit("\r")), PLACE).alias("returns")
     )
-    blocks = blocks.join(moves, [FILE, BLOCK], "left").fillna(_KEEP, ["step"])
-    by_block = Window.partitionBy(FILE).orderBy(BLOCK)  # one row for each block
-    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.join(moves, _OF_RUN, "left").fillna(_KEEP, ["step"])
+    by_run = Window.partitionBy(FILE).orderBy(BLOCK, RUN)  # one row for each run
+    earlier = by_run.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(FILE)
-    states = _together(blocks, "step", "upto", by_block).withColumn("start", _state(F.lit(0), _before("upto", by_block)))
+    states = _together(runs, "step", "upto", by_run).withColumn("start", _state(F.lit(0), _before("upto", by_run)))
     opened_here = F.when(F.col("start") == 0, F.col("open0")).otherwise(F.col("open1"))
     states = states.withColumn("opened", F.when(opened_here.isNotNull(), F.struct(F.col(BLOCK).alias("b"), opened_here.alias("p"))))
     texts = F.when(F.col("first_text").isNotNull(), F.struct(F.col(BLOCK).alias("b"), F.col("first_text").alias("p")))
     return states.select(
-        FILE,
-        BLOCK,
+        *_OF_RUN,
         "start",
         F.last("opened", ignorenulls=True).over(earlier).alias("open"),
         F.min(texts).over(whole).alias("header"),
-        F.min_by("returns", BLOCK).over(whole).alias("returns"),
+        F.min_by("returns", F.struct(BLOCK, RUN)).over(whole).alias("returns"),
     )
 
 
@@ -114,25 +122,29 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     file's end ends there, without the last line end.
     """
     lines = _lines(spark, path)
-    in_block = Window.partitionBy(FILE, BLOCK).orderBy(PLACE)
-    placed = lines.withColumn("step", _step()).join(_block_states(lines), [FILE, BLOCK])
+    in_run = Window.partitionBy(*_OF_RUN).orderBy(PLACE)
+    placed = lines.withColumn("step", _step()).join(_run_states(lines), _OF_RUN)
     clean = F.when(F.col("returns"), F.regexp_replace("line", "\r$", "")).otherwise(F.col("line"))
-    placed = _together(placed.withColumn("line", clean), "step", "upto", in_block)
+    placed = _together(placed.withColumn("line", clean), "step", "upto", in_run)
     placed = placed.withColumns(
-        {"inside": _state(F.col("start"), _before("upto", in_block)) == 1, "goes_on": _state(F.col("start"), F.col("upto")) == 1}
+        {"inside": _state(F.col("start"), _before("upto", in_run)) == 1, "goes_on": _state(F.col("start"), F.col("upto")) == 1}
     )
-    began = F.last(F.when(~F.col("inside"), F.col(PLACE)), ignorenulls=True).over(in_block)
+    began = F.last(F.when(~F.col("inside"), F.col(PLACE)), ignorenulls=True).over(in_run)
     here = F.struct(F.col(BLOCK).alias("b"), began.alias("p"))
     placed = placed.withColumn("began", F.when(began.isNotNull(), here).otherwise(F.col("open")))
     is_header = F.col("began") == F.col("header")
     alone = placed.filter(~F.col("inside") & ~F.col("goes_on") & (F.col("line") != "")).select(
         FILE, BLOCK, PLACE, F.col("line").alias(RECORD), is_header.alias(HEADER)
     )
-    parts = placed.filter(F.col("inside") | F.col("goes_on"))
-    parts = parts.groupBy(FILE, "began", is_header.alias(HEADER)).agg(
-        F.array_sort(F.collect_list(F.struct(BLOCK, PLACE, "line"))).alias("lines")
+    # Inside of a run no shuffle is needed; its last record may go on, its first may have begun before.
+    parts = placed.filter(F.col("inside") | F.col("goes_on")).groupBy(*_OF_RUN, "began", is_header.alias(HEADER))
+    parts = parts.agg(
+        F.array_sort(F.collect_list(F.struct(BLOCK, PLACE, "line"))).alias("lines"), F.max_by("goes_on", PLACE).alias("goes_on")
     )
-    joined = parts.select(
+    here = (F.col("began.b") == F.col(BLOCK)) & (_run(F.col("began.p")) == F.col(RUN)) & ~F.col("goes_on")
+    over = parts.filter(~here).groupBy(FILE, "began", HEADER).agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
+    kept = (FILE, "began", HEADER, "lines")
+    joined = parts.filter(here).select(*kept).unionByName(over.select(*kept)).select(
         FILE,
         F.col("began.b").alias(BLOCK),
         F.col("began.p").alias(PLACE),

@@ -154,3 +154,24 @@ def test_steps_can_be_put_together_in_any_grouping(spark):
             state = s - 2 if s >= 2 else (state + s) % 2
             expected.append(state)
         assert [r.s for r in got.select(records._state(F.lit(start), F.col("upto")).alias("s")).collect()] == expected
+
+
+def test_runs_inside_a_block_meet(spark, file, monkeypatch):
+    """Lines of one block are cut in runs of a few lines; records over several runs come out whole."""
+    rows = [f'2024-01-{i % 28 + 1:02d},"a\n""{i}"",{chr(10) * (i % 11)}",r-{i},{i}.50' if i % 3 else f"2024-01-02,s{i},r,{i}" for i in range(300)]
+    path = file("\n".join([HEADER.replace("regiao,", ""), *rows]) + "\n")
+    sizes = []
+    together = records._together
+
+    def spied(df, step, into, order):
+        if records.RUN in df.columns and "line" in df.columns:
+            sizes.append(max(r[0] for r in df.groupBy(*records._OF_RUN).count().select("count").collect()))
+        return together(df, step, into, order)
+
+    monkeypatch.setattr(records, "_together", spied)
+    cut = {}
+    for size in (4096, 4):
+        monkeypatch.setattr(records, "RUN_LINES", size)
+        cut[size] = [r[records.RECORD] for r in records.read_records(spark, path).orderBy(records.PLACE).collect()]
+    assert cut[4096] == cut[4] == [HEADER.replace("regiao,", ""), *rows]
+    assert sizes[0] > 1000 and sizes[1] == 4
