@@ -5,10 +5,10 @@ line it is known what it does to that state: it keeps it, swaps it, or sets it w
 was. Such steps can be put together in any grouping, so they are first put together inside
 runs of up to ``RUN_LINES`` lines of a file block, then over the runs of a file (one row for
 each run), which gives every run the state it starts in. A second pass cuts all runs at their
-true record ends. The text is shuffled once, by run, so no window or sort holds a whole block.
+true record ends. Runs, not blocks, are dealt to tasks, so no window holds a whole block.
 
-A record is where its first line is. Its lines are put together inside of each run; only
-records that go over the border of a run or block meet by that place.
+A record is where its first line is; the lines of a record that several lines make up,
+also over borders of runs and blocks, meet by that place. All other lines are records as they are.
 """
 
 from __future__ import annotations
@@ -136,15 +136,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     alone = placed.filter(~F.col("inside") & ~F.col("goes_on") & (F.col("line") != "")).select(
         FILE, BLOCK, PLACE, F.col("line").alias(RECORD), is_header.alias(HEADER)
     )
-    # Inside of a run no shuffle is needed; its last record may go on, its first may have begun before.
-    parts = placed.filter(F.col("inside") | F.col("goes_on")).groupBy(*_OF_RUN, "began", is_header.alias(HEADER))
-    parts = parts.agg(
-        F.array_sort(F.collect_list(F.struct(BLOCK, PLACE, "line"))).alias("lines"), F.max_by("goes_on", PLACE).alias("goes_on")
+    parts = placed.filter(F.col("inside") | F.col("goes_on"))
+    parts = parts.groupBy(FILE, "began", is_header.alias(HEADER)).agg(
+        F.array_sort(F.collect_list(F.struct(BLOCK, PLACE, "line"))).alias("lines")
     )
-    here = (F.col("began.b") == F.col(BLOCK)) & (_run(F.col("began.p")) == F.col(RUN)) & ~F.col("goes_on")
-    over = parts.filter(~here).groupBy(FILE, "began", HEADER).agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("lines"))
-    kept = (FILE, "began", HEADER, "lines")
-    joined = parts.filter(here).select(*kept).unionByName(over.select(*kept)).select(
+    joined = parts.select(
         FILE,
         F.col("began.b").alias(BLOCK),
         F.col("began.p").alias(PLACE),
