@@ -64,8 +64,10 @@ def parse_bill_csv(
         source[S.COST].try_cast("double").alias("_number"),
         F.col(_MALFORMED),
         *(ORIGIN if origin else ()),
-        F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), _KEEP_BLANKS).alias("_fields"),
+        F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"),
     )
+    # Written as CSV for rejected rows only.
+    fields_read = F.to_csv("_row", _KEEP_BLANKS)
     reason = (
         F.when(F.col(_MALFORMED).isNotNull(), "malformed row")
         .when(F.col(S.USAGE_DATE).isNull(), "invalid date")
@@ -82,7 +84,7 @@ def parse_bill_csv(
     return typed.select(
         *S.BILL_COLUMNS,
         reason.alias(REJECT_REASON),
-        F.when(reason.isNotNull(), F.coalesce(_MALFORMED, "_fields")).alias(FIELDS),
+        F.when(reason.isNotNull(), F.coalesce(F.col(_MALFORMED), fields_read)).alias(FIELDS),
         *(ORIGIN if origin else ()),
     )
 

@@ -94,8 +94,14 @@ def _number_blocks(spark: SparkSession, folder: str) -> None:
 
 def line_checksum(of: Column | None = None) -> Column:
     """A sum of the lines' hashes: the same in any order, another if a line is lost, repeated or altered."""
-    line = F.xxhash64(*S.BILL_COLUMNS).cast("decimal(20,0)")
-    return F.sum(line if of is None else F.when(of, line)).cast("string")
+    line = F.xxhash64(*S.BILL_COLUMNS)
+    line = line if of is None else F.when(of, line)
+    # Three sums of up to 22 bits stay within a long for 2^41 lines; sums of decimals take objects for each line.
+    low = F.lit(2**21 - 1).cast("long")
+    parts = (F.shiftright(line, 42), F.shiftright(line, 21).bitwiseAND(low), line.bitwiseAND(low))
+    high, middle, last = (F.sum(x).cast("decimal(20,0)") for x in parts)
+    scale = F.lit(2**21).cast("decimal(7,0)")
+    return ((high * scale + middle) * scale + last).cast("decimal(38,0)").cast("string")
 
 
 def _fingerprint_months(spark: SparkSession, folder: str) -> None:

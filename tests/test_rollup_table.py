@@ -9,7 +9,7 @@ from costlens.operators import rollups
 from costlens.plans import ingest
 from costlens.plans.dashboard import Dashboard
 from costlens.plans.ingest import LoadMismatch, load_bills
-from costlens.sources import bill_table, files, rollup_table, versions
+from costlens.sources import bill_csv, bill_table, files, rollup_table, versions
 
 HEADER = "data,servico,regiao,recurso_id,custo_usd"
 
@@ -149,3 +149,22 @@ def test_lines_that_were_observed_twice_are_no_difference(spark, load, monkeypat
 
     monkeypatch.setattr(classic.DataFrame, "observe", lambda df, *a: df)
     assert bill_table.read_bills(spark, load(*BASE)).count() == len(BASE)
+
+
+def test_checksum_is_the_sum_of_all_hashes(spark, bills):
+    """The long sums give what a sum of decimals gave; no lines give null."""
+    df = bills(*[(f"2024-01-{i % 28 + 1:02d}", f"s{i}", "r", f"x{i % 7}", f"{i}.25") for i in range(500)])
+    plain = F.sum(F.xxhash64(*S.BILL_COLUMNS).cast("decimal(20,0)")).cast("string")
+    few = F.col(S.SERVICE).startswith("s4")
+    some = F.sum(F.when(few, F.xxhash64(*S.BILL_COLUMNS).cast("decimal(20,0)"))).cast("string")
+    row = df.agg(plain, bill_table.line_checksum(), some, bill_table.line_checksum(few)).first()
+    assert row[0] == row[1] and row[2] == row[3]
+    assert df.limit(0).agg(bill_table.line_checksum()).first()[0] is None
+
+
+def test_fields_are_written_for_rejects_only(spark, bills, tmp_path):
+    """A valid line is not written as CSV once more: only the last projection does so, under its condition."""
+    bill_csv.write_bill_csv(bills(("2024-01-01", "a", "r", "x", "1")), str(tmp_path))
+    plan = bill_csv.parse_bill_csv(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.split("\n") if "to_csv" in line or "StructsToCsv" in line]
+    assert len(lines) == 1 and "CASE WHEN" in lines[0].split("to_csv")[0]
