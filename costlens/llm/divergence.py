@@ -9,9 +9,11 @@
    by side, and give counts of (language, source, ordinal). The transducers are sent to
    all tasks if they are small together (``MAX_BROADCAST``, measured first). Beyond that
    each block's terms are dealt to the range that can hold them, and every range is met
-   by its own transducer alone; the counts are the same.
+   by its own transducer alone; the counts are the same. Counts travel as packed arrays, one
+   value for each block of texts and ``PAIR_TERMS`` ordinals, and are added up in a stream.
 4. *Divergence.* Blocks of 4096 ordinals add up the differences of all ordered pairs of a
-   language's sources; the blocks' sums are added up. Ties between terms go by ordinal.
+   language's sources and give each source's best terms; the blocks' sums are added up and
+   their best terms ranked. Ties between terms go by ordinal.
 
 What is sent to tasks: the transducers below the bound, or at most ``MAX_RANGES`` range
 starts of ``START_CHARS`` characters. A term reaches its count once from each block. The
@@ -32,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from costlens.llm.components import stored
+from costlens.llm.packed import pack, pack_sorted, unpack, unpack_sorted
 from costlens.llm.rows import text_of
 from costlens.llm.transducer import Transducer
 from costlens.llm.words import LETTER, Block, blocks, distinct_codes, lowered, run_texts
@@ -46,15 +49,17 @@ PAIR_TERMS = 4096
 _GROUP_ROWS = 1 << 20
 _DENSE = 1 << 20  # cells of a matrix of terms and sources
 PER_BILLION = 1_000_000_000
+_EXACT = (2**63 - 1) // PER_BILLION  # smaller counts times PER_BILLION fit into 64 bits
 
 _DOCS = "lang string, term string, docs long"
 _RANGES = (
     "lang string, first string, terms array<string>, n_terms long, size long, "
     "keys binary, targets binary, outputs binary, final binary, longest int"
 )
-_CELLS = "lang string, source string, ordinal long, count long"
+_PACKS = "lang string, block long, sources array<string>, cells binary, counts binary"
+_COUNTS = f"{_PACKS}, totals array<long>"
 _FOUND = "lang string, source string, range int, term string, count long"
-_PAIRS = "lang string, source string, item string, value long"
+_DIFFERENCES = "lang string, source string, item string, ordinal long, value long"
 _FLAT = ["keys", "targets", "outputs", "final", "longest"]
 
 
@@ -73,6 +78,15 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
 
 
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers in order, and how often each occurs."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return values[at], np.diff(at, append=len(values))
+
+
 def _term_docs(size: int):
     def run(batches):
         for batch in batches:
@@ -82,7 +96,7 @@ def _term_docs(size: int):
                 if not len(terms):
                     continue
                 many = len(terms.dictionary)
-                held = np.unique(row * many + terms.indices.to_numpy())
+                held, _ = _counted(row * many + terms.indices.to_numpy())
                 both = held % many * len(langs) + of_row[at][held // many]
                 different, _, docs = distinct_codes(both, many * len(langs))
                 yield pa.RecordBatch.from_arrays(
@@ -98,7 +112,10 @@ def _term_docs(size: int):
 
 
 def _block_counts(batches, size: int):
-    """Of each block: its different terms, and the counts of (term, language, source)."""
+    """Of each block: its different terms, and the counts of (term, language, source).
+
+    Languages and sources are numbers in the arrays that go with them.
+    """
     for batch in batches:
         lang, langs = _codes(batch["lang"])
         source, sources = _codes(batch["source"])
@@ -108,15 +125,10 @@ def _block_counts(batches, size: int):
             terms, row = _terms(block)
             if len(terms):
                 both = terms.indices.to_numpy().astype(np.int64) * many + group[at][row]
-                cell, _, counts = distinct_codes(both, len(terms.dictionary) * many)
+                cell, counts = _counted(both)
                 group_of = cell % many
-                yield (
-                    terms.dictionary,
-                    cell // many,
-                    (langs, group_of // len(sources)),
-                    sources.take(pa.array(group_of % len(sources))),
-                    counts.astype(np.int64),
-                )
+                lang_of, source_of = group_of // len(sources), group_of % len(sources)
+                yield terms.dictionary, cell // many, (langs, lang_of), (sources, source_of), counts
 
 
 # --- vocabulary ---------------------------------------------------------------------
@@ -187,27 +199,49 @@ def _spans(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), ends[:-1], ends[1:]
 
 
-def _cells(lang, source, ordinal, count) -> pa.RecordBatch:
-    columns = [lang, source, pa.array(ordinal, pa.int64()), pa.array(count, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "ordinal", "count"])
+def _packs(lang: str, names: pa.Array, source, ordinal, count, width: int) -> pa.RecordBatch:
+    """Different cells of a language: a row for each block of ``width`` ordinals.
 
+    A cell's number in its block is that of its source times ``width``, plus its place.
+    """
+    there = np.bincount(source, minlength=len(names)) > 0
+    names, source = names.filter(pa.array(there)).to_pylist(), (np.cumsum(there) - 1)[source]
+    many = len(names) * width
+    code = ordinal // width * many + source * width + ordinal % width
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    block = code // many
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    runs = list(zip(starts, [*starts[1:], len(code)], strict=True))
+    columns = [
+        pa.array([lang] * len(runs), pa.string()),
+        pa.array(block[starts], pa.int64()),
+        pa.array([names] * len(runs), pa.list_(pa.string())),
+        pa.array([pack_sorted(code[a:b] % many) for a, b in runs], pa.binary()),
+        pa.array([pack(count[a:b]) for a, b in runs], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "block", "sources", "cells", "counts"])
 
-def _stream(shared, size: int):
+
+def _stream(shared, size: int, width: int):
     def run(batches):
         by_lang = {}
         for row in shared.value:
             by_lang.setdefault(row["lang"], []).append((row["base"], Transducer.load(row)))
-        for terms, term, (langs, lang), sources, counts in _block_counts(batches, size):
-            spans = _spans(terms)
+        for terms, term, (langs, lang), (sources, source), counts in _block_counts(batches, size):
+            data, starts, ends = _spans(terms)
             for number, name in enumerate(langs.to_pylist()):
+                use = np.flatnonzero(lang == number)
+                left, _ = _counted(term[use])  # terms of the language that no transducer has told yet
                 ordinal = np.full(len(terms), -1, np.int64)
                 for base, transducer in by_lang.get(name, ()):
-                    own = transducer.ordinals(*spans)
-                    ordinal[own >= 0] = base + own[own >= 0]
-                use = np.flatnonzero((lang == number) & (ordinal[term] >= 0))
+                    own = transducer.ordinals(data, starts[left], ends[left])
+                    known = own >= 0
+                    ordinal[left[known]] = base + own[known]
+                    left = left[~known]
+                use = use[ordinal[term[use]] >= 0]
                 if len(use):
-                    of = pa.array([name] * len(use), pa.string())
-                    yield _cells(of, sources.take(pa.array(use)), ordinal[term[use]], counts[use])
+                    yield _packs(name, sources, source[use], ordinal[term[use]], counts[use], width)
 
     return run
 
@@ -219,7 +253,7 @@ def _deal(shared, size: int, chars: int):
         starts = {}
         for lang, first, number in shared.value:
             starts.setdefault(lang, []).append((first.encode(), number))
-        for terms, term, (langs, lang), sources, counts in _block_counts(batches, size):
+        for terms, term, (langs, lang), (sources, source), counts in _block_counts(batches, size):
             begin = pc.utf8_slice_codeunits(terms, 0, chars).cast(pa.binary()).to_pylist()
             begin = np.array(begin, object)
             for number, name in enumerate(langs.to_pylist()):
@@ -233,7 +267,7 @@ def _deal(shared, size: int, chars: int):
                 ranges = np.array([n for _, n in own], np.int32)[at[term[use]]]
                 columns = [
                     pa.array([name] * len(use), pa.string()),
-                    sources.take(pa.array(use)),
+                    sources.take(pa.array(source[use])),
                     pa.array(ranges),
                     terms.take(pa.array(term[use])),
                     pa.array(counts[use]),
@@ -243,30 +277,78 @@ def _deal(shared, size: int, chars: int):
     return run
 
 
-def _follow(rows: pa.Table, ranges: pa.Table) -> pa.Table:
-    """The cells of one range's terms."""
-    row = ranges.to_pylist()[0] if len(ranges) else None
-    terms = rows["term"].combine_chunks()
-    ordinal = Transducer.load(row).ordinals(*_spans(terms)) if row else np.full(len(terms), -1)
-    use = pa.array(np.flatnonzero(ordinal >= 0))
-    base = row["base"] if row else 0
-    kept = rows.take(use)
-    columns = [kept["lang"], kept["source"], pa.array(ordinal[use.to_numpy()] + base), kept["count"]]
-    return pa.Table.from_arrays(columns, names=["lang", "source", "ordinal", "count"])
+def _follow(width: int):
+    def run(rows: pa.Table, ranges: pa.Table) -> pa.Table:
+        """The packed cells of one range's terms."""
+        row = ranges.to_pylist()[0] if len(ranges) else None
+        terms = rows["term"].combine_chunks()
+        ordinal = Transducer.load(row).ordinals(*_spans(terms)) if row else np.full(len(terms), -1)
+        use = np.flatnonzero(ordinal >= 0)
+        if not len(use):
+            return _ARROW_PACKS.empty_table()
+        source, names = _codes(rows["source"].combine_chunks())
+        lang, base = rows["lang"][0].as_py(), row["base"]
+        made = _packs(lang, names, source[use], ordinal[use] + base, rows["count"].to_numpy()[use], width)
+        return pa.Table.from_batches([made])
+
+    return run
+
+
+_ARROW_PACKS = pa.schema(
+    [
+        ("lang", pa.string()), ("block", pa.int64()), ("sources", pa.list_(pa.string())),
+        ("cells", pa.binary()), ("counts", pa.binary()),
+    ]
+)
+
+
+def _add_packs(width: int):
+    """Add up packs sorted by language and block: a row for each, with the sum of each source."""
+
+    def cut(batches):
+        key, names, sums = None, {}, None
+        for batch in batches:
+            for at in range(len(batch)):
+                row = (batch["lang"][at].as_py(), batch["block"][at].as_py())
+                if row != key:
+                    if key:
+                        yield key, names, sums
+                    key, names, sums = row, {}, np.zeros((0, width), np.int64)
+                own = np.array([names.setdefault(x, len(names)) for x in batch["sources"][at].as_py()])
+                if len(names) > len(sums):
+                    sums = np.concatenate([sums, np.zeros((len(names) - len(sums), width), np.int64)])
+                code = unpack_sorted(batch["cells"][at])
+                sums[own[code // width], code % width] += unpack(batch["counts"][at])
+        if key:
+            yield key, names, sums
+
+    def run(batches):
+        for (lang, block), names, sums in cut(batches):
+            flat = sums.reshape(-1)
+            code = np.flatnonzero(flat)
+            row = {"lang": lang, "block": block, "sources": list(names), "totals": sums.sum(1).tolist()}
+            row |= {"cells": pack_sorted(code), "counts": pack(flat[code])}
+            yield pa.RecordBatch.from_pylist([row], schema=_ARROW_PACKS.append(pa.field("totals", pa.list_(pa.int64()))))
+
+    return run
 
 
 def recount(docs: DataFrame, ranges: DataFrame, folder: str, max_broadcast: int | None = None) -> DataFrame:
-    """Counts of kept terms: ``lang``, ``source``, ``ordinal``, ``count``."""
+    """Counts of kept terms, a row for each language and block of ``PAIR_TERMS`` ordinals.
+
+    ``cells`` and ``counts`` are packed, see ``_packs``; ``totals`` has the sum of each of ``sources``.
+    """
     spark = docs.sparkSession
     texts = docs.select("lang", "source", "text")
     limit = MAX_BROADCAST if max_broadcast is None else max_broadcast
     size = ranges.agg(F.sum("size")).first()[0] or 0
     if size <= limit:
         small = [r.asDict() for r in ranges.select("lang", "base", *_FLAT).collect()]
-        found = texts.mapInArrow(_stream(spark.sparkContext.broadcast(small), BLOCK_BYTES), _CELLS)
+        found = texts.mapInArrow(_stream(spark.sparkContext.broadcast(small), BLOCK_BYTES, PAIR_TERMS), _PACKS)
     else:
         found = _dealt(spark, texts, ranges, folder)
-    return found.groupBy("lang", "ordinal", "source").agg(F.sum("count").alias("count"))
+    together = found.repartition("lang", "block").sortWithinPartitions("lang", "block")
+    return together.mapInArrow(_add_packs(PAIR_TERMS), _COUNTS)
 
 
 def _dealt(spark: SparkSession, texts: DataFrame, ranges: DataFrame, folder: str) -> DataFrame:
@@ -278,7 +360,7 @@ def _dealt(spark: SparkSession, texts: DataFrame, ranges: DataFrame, folder: str
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
     copies = ranges.select("range", "base", *_FLAT, every.alias("part"))
     by = ("range", "part")
-    return rows.withColumn("part", part).groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_follow, _CELLS)
+    return rows.withColumn("part", part).groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_follow(PAIR_TERMS), _PACKS)
 
 
 # --- divergence ---------------------------------------------------------------------
@@ -290,38 +372,67 @@ def probability(count: Column, total: Column, size: Column) -> Column:
     return 1 + F.call_function("div", F.lit(PER_BILLION) * (count + 1), total + size)
 
 
-def _difference(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), q)
-
-
-def _add_pairs(cells: pa.Table, groups: pa.Table) -> pa.Table:
-    """The differences of all ordered pairs of sources over one block of terms."""
-    of_group, names = _codes(groups["source"].combine_chunks())
-    base = np.zeros(len(names), np.int64)
-    base[of_group] = groups["p"].to_numpy()
-    sums = np.zeros((len(names), len(names)), np.int64)
-    if len(cells):
-        ordinal, place = np.unique(cells["ordinal"].to_numpy(), return_inverse=True)
-        source = pc.index_in(cells["source"].combine_chunks(), names).to_numpy()
-        p = cells["p"].to_numpy()
-        step = max(1, _DENSE // len(names))
-        for at in range(0, len(ordinal), step):
-            use = (place >= at) & (place < at + step)
-            dense = np.tile(base, (min(step, len(ordinal) - at), 1))
-            dense[place[use] - at, source[use]] = p[use]
-            for i in range(len(names)):
-                apart = dense[:, i : i + 1] - dense
-                sums[i] += (apart * apart // dense).sum(0)
-    mine, other = np.nonzero(~np.eye(len(names), dtype=bool))
-    lang = pa.array([groups["lang"][0].as_py()] * len(mine), pa.string())
-    columns = [lang, names.take(pa.array(mine)), names.take(pa.array(other)), pa.array(sums[mine, other])]
-    return pa.Table.from_arrays(columns, names=["lang", "source", "item", "value"])
+def _shares(count: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
+    """``probability`` of arrays."""
+    if len(count) and int(count.max()) >= _EXACT:
+        count = count.astype(object)
+    return (1 + PER_BILLION * (count + 1) // (total + size)).astype(np.int64)
+
+
+def _differences(top: int, width: int):
+    def run(cells: pa.Table, groups: pa.Table) -> pa.Table:
+        """Over one block of terms: the differences of all ordered pairs of sources, each source's best terms."""
+        of_group, names = _codes(groups["source"].combine_chunks())
+        base, total = np.zeros((2, len(names)), np.int64)
+        base[of_group], total[of_group] = groups["p"].to_numpy(), groups["total"].to_numpy()
+        sums = np.zeros((len(names), len(names)), np.int64)
+        best = [np.zeros(0, np.int64)] * 3
+        if len(cells):
+            size, lang_total = groups["size"][0].as_py(), groups["lang_total"][0].as_py()
+            code, count = unpack_sorted(cells["cells"][0]), unpack(cells["counts"][0])
+            source = pc.index_in(cells["sources"][0].values, names).to_numpy()[code // width].astype(np.int64)
+            kept, place = np.unique(code % width, return_inverse=True)
+            p = _shares(count, total[source], size)
+            step = max(1, _DENSE // len(names))
+            for at in range(0, len(kept), step):
+                use = (place >= at) & (place < at + step)
+                dense = np.tile(base, (min(step, len(kept) - at), 1))
+                dense[place[use] - at, source[use]] = p[use]
+                for i in range(len(names)):
+                    apart = dense[:, i : i + 1] - dense
+                    sums[i] += (apart * apart // dense).sum(0)
+            of_lang = np.zeros(len(kept), np.int64)
+            np.add.at(of_lang, place, count)
+            q = _shares(of_lang, lang_total, size)[place]
+            ordinal = cells["block"][0].as_py() * width + kept
+            best = _best(source, (p - q) * (p - q) // q, ordinal[place], p > q, top)
+        mine, other = np.nonzero(~np.eye(len(names), dtype=bool))
+        columns = [
+            pa.array([groups["lang"][0].as_py()] * (len(mine) + len(best[0])), pa.string()),
+            names.take(pa.array(np.concatenate([mine, best[0]]))),
+            pa.concat_arrays([names.take(pa.array(other)), pa.nulls(len(best[0]), pa.string())]),
+            pa.concat_arrays([pa.nulls(len(mine), pa.int64()), pa.array(best[2], pa.int64())]),
+            pa.array(np.concatenate([sums[mine, other], best[1]]), pa.int64()),
+        ]
+        return pa.Table.from_arrays(columns, names=["lang", "source", "item", "ordinal", "value"])
+
+    return run
+
+
+def _best(source, value, ordinal, use, top: int) -> list[np.ndarray]:
+    """The ``top`` cells of each source by value, ties by ordinal, of those in ``use``."""
+    source, value, ordinal = source[use], value[use], ordinal[use]
+    order = np.lexsort((ordinal, -value, source))
+    rank = np.arange(len(order)) - np.searchsorted(source[order], source[order])
+    order = order[rank < top]
+    return [source[order], value[order], ordinal[order]]
 
 
 def _group_sizes(docs: DataFrame, cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every (lang, source) with its total, and the language's total and vocabulary size."""
     groups = docs.select("lang", "source").distinct()
-    totals = cells.groupBy("lang", "source").agg(F.sum("count").alias("total"))
+    each = cells.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("own"))
+    totals = each.groupBy("lang", F.col("own.sources").alias("source")).agg(F.sum("own.totals").alias("total"))
     langs = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     sizes = ranges.groupBy("lang").agg(F.sum("n_terms").alias("size"))
     joined = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").join(sizes, "lang", "left")
@@ -353,36 +464,34 @@ def divergence(
     ranges = vocabulary(rows, min_docs, folder)
     cells = stored(recount(rows, ranges, folder), f"{folder}/counts")
     groups = stored(_group_sizes(rows, cells, ranges), f"{folder}/groups")
-    share = probability(F.col("count"), F.col("total"), F.col("size"))
-    shared = cells.join(groups, ["lang", "source"]).withColumn("p", share)
-    pairs = _pairs(shared, groups)
-    terms = _term_part(shared, ranges, top)
+    found = stored(_blocks_apart(cells, groups, top), f"{folder}/differences")
+    pairs, terms = _pairs(found), _term_part(found, ranges, top)
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pairs.select(columns).unionByName(terms.select(columns))
 
 
-def _pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each source against each other one of its language."""
+def _blocks_apart(cells: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    """Each block of terms: ``item`` and the sum of differences, or ``ordinal`` and value of a best term."""
     none = probability(F.lit(0), F.col("total"), F.col("size")).alias("p")  # of a term without an occurrence
     last = F.greatest(F.col("size") - 1, F.lit(0))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / PAIR_TERMS))).alias("block")
-    bases = groups.select("lang", "source", F.when(F.col("size") > 0, none).otherwise(0).alias("p"), every)
-    cells = shared.select("lang", "source", "ordinal", "p", F.floor(F.col("ordinal") / PAIR_TERMS).alias("block"))
+    bases = groups.withColumn("p", F.when(F.col("size") > 0, none).otherwise(0)).select("*", every)
     by = ("lang", "block")
-    sums = cells.groupBy(*by).cogroup(bases.groupBy(*by)).applyInArrow(_add_pairs, _PAIRS)
-    added = sums.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    both = cells.drop("totals").groupBy(*by).cogroup(bases.groupBy(*by))
+    return both.applyInArrow(_differences(top, PAIR_TERMS), _DIFFERENCES)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """Each source against each other one of its language."""
+    added = found.filter("ordinal IS NULL").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return added.withColumns({"part": F.lit("pair"), "rank": F.row_number().over(order)})
 
 
-def _term_part(shared: DataFrame, ranges: DataFrame, top: int) -> DataFrame:
+def _term_part(found: DataFrame, ranges: DataFrame, top: int) -> DataFrame:
     """The terms that a source uses more than its language."""
-    langs = shared.groupBy("lang", "ordinal").agg(
-        probability(F.sum("count"), F.first("lang_total"), F.first("size")).alias("q")
-    )
-    more = shared.select("lang", "ordinal", "source", "p").join(langs, ["lang", "ordinal"]).filter("p > q")
-    valued = more.withColumn("value", _difference(F.col("p"), F.col("q")))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal")
+    valued = found.filter("ordinal IS NOT NULL").drop("item")
     best = valued.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     named = ranges.select("lang", "base", F.posexplode("terms").alias("at", "item"))
     named = named.select("lang", (F.col("base") + F.col("at")).alias("ordinal"), "item")

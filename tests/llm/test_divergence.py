@@ -3,9 +3,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costlens.llm import divergence as d
+from costlens.llm.packed import unpack, unpack_sorted
 from costlens.llm.transducer import Transducer
 
 LOWER = str.maketrans({chr(x): chr(x + 32) for x in range(65, 91)})
@@ -82,6 +84,56 @@ def test_terms_with_one_long_start_stay_in_one_range(frame, monkeypatch):
     assert found(frame(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("max_broadcast", [None, 0])
+def test_counts_travel_as_one_packed_row_for_each_block_of_ordinals(frame, monkeypatch, spark, max_broadcast):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(d, "PAIR_TERMS", 50)
+    rows = [(x or "", y or "", t) for x, y, t in texts(5, 250, words=300)]
+    folder = d.scratch_dir(spark)
+    docs = frame(rows).repartition(4)
+    ranges = d.vocabulary(docs, 3, folder).cache()
+    cells = d.recount(docs, ranges, folder, max_broadcast).collect()
+    sizes = {r.lang: r.size for r in ranges.groupBy("lang").agg(d.F.sum("n_terms").alias("size")).collect()}
+    blocks = [(lang, b) for lang, size in sizes.items() for b in range(-(-size // 50))]
+    assert sorted((r.lang, r.block) for r in cells) == sorted(blocks)
+    counts = defaultdict(Counter)
+    for lang, source, text in rows:
+        counts[lang, source].update(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOWER)))
+    names = {(r.lang, r.base + i): t for r in ranges.collect() for i, t in enumerate(r.terms)}
+    found = {}
+    for r in cells:
+        code, count = unpack_sorted(pa.scalar(bytes(r.cells))), unpack(pa.scalar(bytes(r.counts)))
+        for c, n in zip(code.tolist(), count.tolist(), strict=True):
+            found[r.lang, r.sources[c // 50], names[r.lang, r.block * 50 + c % 50]] = n
+        assert sum(r.totals) == count.sum()
+    kept = {(lang, term) for (lang, _), term in names.items()}
+    assert found == {(x, y, t): n for (x, y), own in counts.items() for t, n in own.items() if (x, t) in kept}
+
+
+def test_packs_of_several_texts_and_sources_add_up():
+    def packs(*cells):
+        source, ordinal, count = (np.array(x) for x in zip(*cells, strict=True))
+        return d._packs("en", pa.array(["a", "b", "c"]), source, ordinal, count, 4)
+
+    one = packs((0, 1, 2**40), (2, 3, 5), (2, 9, 1))
+    two = packs((1, 1, 7), (0, 1, 3), (1, 0, 2))
+    batches = [one.slice(0, 1), two, one.slice(1)]  # by block, in several batches
+    first, second = [b.to_pylist()[0] for b in d._add_packs(4)(batches)]
+    assert (first["block"], first["sources"], first["totals"]) == (0, ["a", "c", "b"], [2**40 + 3, 5, 9])
+    assert unpack_sorted(pa.scalar(first["cells"])).tolist() == [1, 7, 8, 9]
+    assert unpack(pa.scalar(first["counts"])).tolist() == [2**40 + 3, 5, 2, 7]
+    assert (second["block"], second["sources"], second["totals"]) == (2, ["a", "c"], [0, 1])
+    assert list(d._add_packs(4)([])) == []
+
+
+def test_shares_of_arrays_are_exact_beyond_64_bits():
+    count, total, size = np.array([123_456_789_012_345, 0]), np.array([987_654_321_098_765, 2**62]), 55_555
+    exact = [1 + 10**9 * (c + 1) // (n + size) for c, n in zip(count.tolist(), total.tolist(), strict=True)]
+    assert d._shares(count, total, size).tolist() == exact
+    least = np.array([d._EXACT - 1])
+    assert d._shares(least, least, 1).tolist() == [1 + 10**9]
+
+
 def test_hot_source_and_long_text(frame):
     rows = [("en", "hot", "the same few words")] * 400 + [("en", "b", " ".join("abcdefghij"[i % 10] * (i % 7 + 1) for i in range(50_000)))] * 3
     rows += [("en", "c", "x" * 300_000)] * 3
