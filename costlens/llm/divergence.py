@@ -30,6 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,10 @@ _RANGES = (
 )
 _PACKS = "lang string, block long, sources array<string>, cells binary, counts binary"
 _COUNTS = f"{_PACKS}, totals array<long>"
-_FOUND = "lang string, source string, range int, term string, count long"
+_FOUND = (
+    "lang string, range int, number long, n_cells long, sources array<string>, "
+    "lengths binary, letters binary, cells binary, counts binary"
+)
 _DIFFERENCES = "lang string, source string, item string, ordinal long, value long"
 _FLAT = ["keys", "targets", "outputs", "final", "longest"]
 
@@ -199,13 +203,18 @@ def _spans(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), ends[:-1], ends[1:]
 
 
+def _used(names: pa.Array, number: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The names that have numbers here, and the numbers among these names."""
+    there = np.bincount(number, minlength=len(names)) > 0
+    return names.filter(pa.array(there)).to_pylist(), (np.cumsum(there) - 1)[number]
+
+
 def _packs(lang: str, names: pa.Array, source, ordinal, count, width: int) -> pa.RecordBatch:
     """Different cells of a language: a row for each block of ``width`` ordinals.
 
     A cell's number in its block is that of its source times ``width``, plus its place.
     """
-    there = np.bincount(source, minlength=len(names)) > 0
-    names, source = names.filter(pa.array(there)).to_pylist(), (np.cumsum(there) - 1)[source]
+    names, source = _used(names, source)
     many = len(names) * width
     code = ordinal // width * many + source * width + ordinal % width
     order = np.argsort(code)
@@ -247,53 +256,88 @@ def _stream(shared, size: int, width: int):
 
 
 def _deal(shared, size: int, chars: int):
-    """The terms of each block with the range that holds them if they are kept at all."""
+    """The terms and cells of each block, packed for each range that holds the terms if they are kept at all.
+
+    A cell's number is that of its term times the number of sources, plus its source's.
+    """
 
     def run(batches):
         starts = {}
         for lang, first, number in shared.value:
             starts.setdefault(lang, []).append((first.encode(), number))
+        turn = TaskContext.get().partitionId() << 32
         for terms, term, (langs, lang), (sources, source), counts in _block_counts(batches, size):
             begin = pc.utf8_slice_codeunits(terms, 0, chars).cast(pa.binary()).to_pylist()
-            begin = np.array(begin, object)
+            begin, turn = np.array(begin, object), turn + 1
             for number, name in enumerate(langs.to_pylist()):
                 own = sorted(starts.get(name, ()))
                 use = np.flatnonzero(lang == number)
                 if not own or not len(use):
                     continue
-                firsts = np.array([x for x, _ in own], object)
-                at = np.searchsorted(firsts, begin, side="right") - 1
-                use = use[at[term[use]] >= 0]
-                ranges = np.array([n for _, n in own], np.int32)[at[term[use]]]
-                columns = [
-                    pa.array([name] * len(use), pa.string()),
-                    sources.take(pa.array(source[use])),
-                    pa.array(ranges),
-                    terms.take(pa.array(term[use])),
-                    pa.array(counts[use]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "range", "term", "count"])
+                different, _ = _counted(term[use])
+                of_range = np.searchsorted(np.array([x for x, _ in own], object), begin[different], side="right") - 1
+                order = np.argsort(of_range, kind="stable")
+                order = order[of_range[order] >= 0]
+                different, of_range = different[order], of_range[order]
+                place = np.full(len(terms), -1, np.int64)
+                place[different] = np.arange(len(different))
+                use = use[place[term[use]] >= 0]
+                names, source_of = _used(sources, source[use])
+                code = place[term[use]] * len(names) + source_of
+                order = np.argsort(code)
+                code, count = code[order], counts[use[order]]
+                edges = np.flatnonzero(np.diff(of_range, prepend=-1, append=len(own)))
+                cells = np.searchsorted(code, edges * len(names))
+                data, begins, ends = _spans(terms.take(pa.array(different)))
+                for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    row = {"lang": name, "range": own[of_range[a]][1], "number": turn, "sources": names}
+                    mine = slice(cells[i], cells[i + 1])
+                    row |= {"n_cells": cells[i + 1] - cells[i], "lengths": pack(ends[a:b] - begins[a:b])}
+                    row["letters"] = pa.compress(data[begins[a] : ends[b - 1]].tobytes(), codec="zstd", asbytes=True)
+                    row |= {"cells": pack_sorted(code[mine] - a * len(names)), "counts": pack(count[mine])}
+                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW_FOUND)
 
     return run
 
 
 def _follow(width: int):
     def run(rows: pa.Table, ranges: pa.Table) -> pa.Table:
-        """The packed cells of one range's terms."""
-        row = ranges.to_pylist()[0] if len(ranges) else None
-        terms = rows["term"].combine_chunks()
-        ordinal = Transducer.load(row).ordinals(*_spans(terms)) if row else np.full(len(terms), -1)
-        use = np.flatnonzero(ordinal >= 0)
-        if not len(use):
+        """The packed cells of one range's terms, added up over the blocks of texts."""
+        if not len(rows):
             return _ARROW_PACKS.empty_table()
-        source, names = _codes(rows["source"].combine_chunks())
-        lang, base = rows["lang"][0].as_py(), row["base"]
-        made = _packs(lang, names, source[use], ordinal[use] + base, rows["count"].to_numpy()[use], width)
-        return pa.Table.from_batches([made])
+        row = ranges.to_pylist()[0]
+        transducer, names, found = Transducer.load(row), {}, []
+        for at in range(len(rows)):
+            lengths = unpack(rows["lengths"][at])
+            ends = np.cumsum(lengths)
+            letters = rows["letters"][at].as_buffer()
+            letters = pa.decompress(letters, decompressed_size=int(ends[-1]), codec="zstd", asbytes=True)
+            ordinal = transducer.ordinals(np.frombuffer(letters, np.uint8), ends - lengths, ends)
+            own = np.array([names.setdefault(x, len(names)) for x in rows["sources"][at].as_py()])
+            code, count = unpack_sorted(rows["cells"][at]), unpack(rows["counts"][at])
+            ordinal, source = ordinal[code // len(own)], own[code % len(own)]
+            use = ordinal >= 0
+            found.append((ordinal[use], source[use], count[use]))
+        ordinal, source, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(ordinal):
+            return _ARROW_PACKS.empty_table()
+        cell, place = np.unique(ordinal * len(names) + source, return_inverse=True)
+        sums = np.zeros(len(cell), np.int64)
+        np.add.at(sums, place, count)
+        ordinal, source = cell // len(names) + row["base"], cell % len(names)
+        lang = rows["lang"][0].as_py()
+        return pa.Table.from_batches([_packs(lang, pa.array(list(names)), source, ordinal, sums, width)])
 
     return run
 
 
+_ARROW_FOUND = pa.schema(
+    [
+        ("lang", pa.string()), ("range", pa.int32()), ("number", pa.int64()), ("n_cells", pa.int64()),
+        ("sources", pa.list_(pa.string())), ("lengths", pa.binary()), ("letters", pa.binary()),
+        ("cells", pa.binary()), ("counts", pa.binary()),
+    ]
+)
 _ARROW_PACKS = pa.schema(
     [
         ("lang", pa.string()), ("block", pa.int64()), ("sources", pa.list_(pa.string())),
@@ -354,13 +398,14 @@ def recount(docs: DataFrame, ranges: DataFrame, folder: str, max_broadcast: int
 def _dealt(spark: SparkSession, texts: DataFrame, ranges: DataFrame, folder: str) -> DataFrame:
     starts = [tuple(r) for r in ranges.select("lang", "first", "range").collect()]  # about MAX_RANGES
     sent = texts.mapInArrow(_deal(spark.sparkContext.broadcast(starts), BLOCK_BYTES, START_CHARS), _FOUND)
-    rows = stored(sent.groupBy("lang", "source", "range", "term").agg(F.sum("count").alias("count")), f"{folder}/dealt")
-    parts = rows.count() // (len(starts) * _GROUP_ROWS) + 1
-    part = F.pmod(F.xxhash64("term", "source"), F.lit(parts))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    copies = ranges.select("range", "base", *_FLAT, every.alias("part"))
+    rows = stored(sent, f"{folder}/dealt")
+    parts = rows.groupBy("range").agg(F.floor(F.sum("n_cells") / _GROUP_ROWS + 1).alias("parts"))  # MAX_RANGES rows
+    parts = F.broadcast(stored(parts, f"{folder}/parts"))
+    of = rows.join(parts, "range").withColumn("part", F.pmod(F.xxhash64("number"), "parts")).drop("parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    copies = ranges.join(parts, "range").select("range", "base", *_FLAT, every)
     by = ("range", "part")
-    return rows.withColumn("part", part).groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_follow(PAIR_TERMS), _PACKS)
+    return of.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(_follow(PAIR_TERMS), _PACKS)
 
 
 # --- divergence ---------------------------------------------------------------------

@@ -110,6 +110,18 @@ def test_counts_travel_as_one_packed_row_for_each_block_of_ordinals(frame, monke
     assert found == {(x, y, t): n for (x, y), own in counts.items() for t, n in own.items() if (x, t) in kept}
 
 
+def test_a_block_deals_one_packed_row_to_each_range(frame, monkeypatch, spark):
+    monkeypatch.setattr(d, "RANGE_TERMS", 40)
+    rows = [(x or "", y or "", t) for x, y, t in texts(6, 250, words=300)]
+    folder = d.scratch_dir(spark)
+    docs = frame(rows).coalesce(1)
+    ranges = d.vocabulary(docs, 3, folder)
+    d.recount(docs, ranges, folder, 0).collect()
+    dealt = [r.range for r in spark.read.parquet(f"{folder}/dealt").collect()]
+    assert sorted(dealt) == sorted(r.range for r in ranges.collect())
+    assert len(dealt) > 3
+
+
 def test_packs_of_several_texts_and_sources_add_up():
     def packs(*cells):
         source, ordinal, count = (np.array(x) for x in zip(*cells, strict=True))
