@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ def not_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 != 2, F.lit(True))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> list[tuple[str, bool]]:
-    """Different labelled texts, one of each of at most ``sizes[c]`` ids of each class ``c``:
-    the ids not held out with the smallest hashes. Several labels of one id: the largest.
+def sample(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> DataFrame:
+    """Id, text and label of at most ``sizes[c]`` ids of each class ``c``: the ids not held
+    out with the smallest hashes. Several labels of one id: the largest.
     """
     use = not_held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()
     known = labels.filter(use).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_label"))
@@ -26,5 +28,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[in
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull())
     # An id has one text, whatever rows it has: the one with the smallest hash.
     first = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
-    found = rows.groupBy("doc_id").agg(first.alias("text"), F.max("_label").alias("_label")).collect()
-    return [(t, bool(x)) for t, x in sorted({r["text"]: r["_label"] for r in sorted(found)}.items())]
+    return rows.groupBy("doc_id").agg(first.alias("text"), F.max("_label").alias("_label"))
+
+
+def in_order(rows: Iterable[tuple[int, str, int]]) -> list[tuple[str, bool]]:
+    """The different texts of a sample with their labels, in one order whatever that of the rows."""
+    return [(t, bool(x)) for t, x in sorted({t: x for _, t, x in sorted(rows)}.items())]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sizes: dict[int, int]) -> list[tuple[str, bool]]:
+    """Different labelled texts of the ``sample``."""
+    return in_order(sample(docs, labels, label, sizes).collect())

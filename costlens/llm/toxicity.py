@@ -10,7 +10,7 @@ that carry a mark are labelled toxic, all others clean.
 *Model.* Two states (clean, toxic); a token's evidence is the sum of the weights of
 its lower-case form and of its prefixes; two by two transitions. It is fitted by
 maximum likelihood on a bounded sample: at most ``TOXIC_SAMPLE`` and ``CLEAN_SAMPLE``
-labelled documents, those with the smallest hashes of their ids.
+labelled documents, those with the smallest hashes of their ids, in one task.
 
 *Scoring.* Forward-backward marginals of every token of every whole text, in blocks. A
 document's score is the largest marginal of its tokens, its spans are the runs of
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costlens.llm.labels import training_rows
-from costlens.llm.words import LETTER, U64, Block, blocks, lower_latin, span_hash
+from costlens.llm.labels import in_order, sample
+from costlens.llm.words import LETTER, U64, Block, blocks, lower_latin, signed, span_hash
 
 TOXIC_SAMPLE = 1200
 CLEAN_SAMPLE = 2400
@@ -315,10 +315,38 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     return model
 
 
+_MODEL = "known array<long>, weights array<double>, moves array<double>, bias double, error string"
+_ROW = pa.schema(
+    [(c, pa.list_(kind)) for c, kind in (("known", pa.int64()), ("weights", pa.float64()), ("moves", pa.float64()))]
+    + [("bias", pa.float64()), ("error", pa.string())]
+)
+
+
+def _fitted(batches):
+    """One row with the model of all rows of a sample, or with what is wrong with the sample."""
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    texts, model, error = in_order(rows), Model(), None
+    try:
+        model = fit([t for t, _ in texts], [x for _, x in texts])
+    except ValueError as wrong:
+        error = str(wrong)
+    found = {"known": signed(model.known), "weights": model.weights, "moves": model.moves.ravel(), "bias": model.bias}
+    yield pa.RecordBatch.from_pylist([{**found, "error": error}], _ROW)
+
+
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the labelled documents whose id is not held out, as far as the bounds go."""
-    texts = training_rows(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE})
-    return fit([t for t, _ in texts], [x for _, x in texts])
+    """Fit on the labelled documents whose id is not held out, as far as the bounds go.
+
+    The bounded sample is fitted in one task; the driver gets the weights, no texts.
+    """
+    rows = sample(docs, labels, "toxic", {1: TOXIC_SAMPLE, 0: CLEAN_SAMPLE}).repartition(1)
+    found = rows.mapInArrow(_fitted, _MODEL).first()
+    if found is None:
+        return Model()
+    if found.error:
+        raise ValueError(found.error)
+    known = np.array(found.known, np.int64).view(U64)
+    return Model(known, np.array(found.weights, float), np.array(found.moves, float).reshape(2, 2), found.bias)
 
 
 # --- scoring ----------------------------------------------------------------------

@@ -119,3 +119,26 @@ def test_an_id_with_very_many_rows_hides_no_other(spark, table):
     assert sum(x for _, x in plain) == sum(x for _, x in with_hot) > 0
     assert len(with_hot) in (len(plain), len(plain) + 1)
     assert with_hot == training_rows(docs.unionByName(many).repartition(7), labels, "toxic", sizes)
+
+
+def test_the_sample_stays_off_the_driver(table, monkeypatch):
+    """The texts are fitted in a task and the model is that of the same texts."""
+    docs, labels = table("documents"), table("labels")
+    texts = training_rows(docs, labels, "toxic", {1: X.TOXIC_SAMPLE, 0: X.CLEAN_SAMPLE})
+    plain = X.fit([t for t, _ in texts], [x for _, x in texts])
+
+    def not_here(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(X, "_marks", not_here)
+    model = X.fit_on(docs, labels)
+    assert len(plain.known) and (model.known == plain.known).all() and (model.weights == plain.weights).all()
+    assert (model.moves == plain.moves).all() and model.bias == plain.bias
+
+
+def test_a_sample_without_marks_is_an_error_on_tables_too(spark):
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same words "), F.col("id") % 3).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    texts = docs.withColumn("text", F.concat("text", F.repeat(F.lit(" "), F.col("doc_id").cast("int"))))
+    with pytest.raises(ValueError, match="nothing tells"):
+        X.fit_on(texts, labels)
