@@ -13,9 +13,13 @@ largest true product is a proven limit: rows that cannot reach it are out. Segme
 read until multiplying out all rows that are left costs less than reading on; then that is
 done. The answer is exact whatever the time of the stop.
 
-Queries are packed into blocks; blocks meet each shard in tasks of a bounded number of
-queries, and the shards' answers are merged. A shard is as large as a task holds well: the
-more rows it has, the sooner its limit rules rows out. Results do not depend on it.
+All that is moved are single vectors, never a packed shard. A task gets the rows of one
+shard, orders them into its index and lets its queries run through, some at a time; it holds
+one shard and one batch of rows, however many rows and queries there are. The shards' answers
+are merged. A shard is as large as a task holds well, in rows and in components: the more
+rows it has, the sooner its limit rules rows out. A shard's queries are spread over several
+tasks where there are few shards, and where they outnumber its rows, so that copies of rows
+stay in proportion to copies of queries. Results do not depend on any of this.
 
 Defined results: vectors that are null or hold null or non-finite components take no
 part, nor do null ids; zero vectors do. Vectors meet those of their own length only. An
@@ -37,22 +41,24 @@ from costlens.session import scratch_dir
 SCALE = 256.0
 LEVELS = 16
 SHARD_ROWS = 1 << 16
+SHARD_DIM = 64  # of longer vectors a shard has fewer rows
 BLOCK_QUERIES = 64
-TASK_BLOCKS = 4
+TASK_BLOCKS = 4  # a task with fewer blocks of queries is not worth a copy of the shard's rows
+_CORE_TASKS = 4
 _LOOKS = 8
 
-_SHARD = "dim int, shard int, ids binary, vectors binary, postings binary, starts binary"
-_BLOCK = "dim int, block int, query_ids binary, queries binary"
+_WHOLE = "vec_id long, dim int, vector binary"
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def whole_numbers(vectors: pa.Array, rows: int, dim: int) -> np.ndarray:
+def whole_numbers(vectors: np.ndarray) -> np.ndarray:
     """floor(256 * x) of each component."""
-    scaled = np.floor(SCALE * vectors.to_numpy(zero_copy_only=False).astype(np.float64)).reshape(rows, dim)
+    dim = vectors.shape[1]
+    scaled = np.floor(SCALE * vectors)
     largest = np.abs(scaled).max(initial=0)
     if dim * largest * largest >= 2.0 ** (61 - dim.bit_length()):
         raise ValueError("components are too large for exact products of 64 bits")
-    return scaled.astype(np.int64)
+    return scaled.astype(np.int32)
 
 
 class Shard:
@@ -68,20 +74,26 @@ class Shard:
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray) -> Shard:
-        order = np.argsort(-vectors, axis=0, kind="stable")
-        values = np.take_along_axis(vectors, order, axis=0).T
-        range_of = values[:, :1] - values[:, -1:] + 1
-        level = (values[:, :1] - values) * LEVELS // range_of
-        new = np.ones(values.shape, bool)
-        new[:, 1:] = level[:, 1:] != level[:, :-1]
-        return cls(ids, vectors, order.T.reshape(-1), np.flatnonzero(new))
+        rows, dim = vectors.shape
+        postings = np.empty((dim, rows), np.int32)
+        new = np.ones((dim, rows), bool)
+        for d in range(dim):  # one at a time: sorting all at once takes several times the shard's memory
+            values = vectors[:, d].astype(np.int64)
+            postings[d] = np.argsort(-values, kind="stable")
+            values = values[postings[d]]
+            level = (values[0] - values) * LEVELS // (values[0] - values[-1] + 1)
+            new[d, 1:] = level[1:] != level[:-1]
+        return cls(ids, vectors, postings.reshape(-1), np.flatnonzero(new))
 
     def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         return self.vectors[rows] @ query
 
-    def _best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` best different ids among the rows with their true scores."""
-        ids, scores = self.ids[rows], self.products(rows, query)
+    def _best(self, rows: np.ndarray, query: np.ndarray, k: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` best different ids among the rows with their true scores, which reach the limit."""
+        scores = self.products(rows, query)
+        if limit is not None:
+            rows, scores = rows[scores >= limit], scores[scores >= limit]
+        ids = self.ids[rows]
         order = np.lexsort((ids, -scores))
         ids, scores = ids[order], scores[order]
         first = np.sort(np.unique(ids, return_index=True)[1])[:k]
@@ -99,31 +111,32 @@ class Shard:
         sums = np.zeros(rows, np.int64)
         adds = ((impact << bits) + 1).tolist()
         begin, end = self.starts.tolist(), self.ends.tolist()
-        others = self.ids != query_id
         total, read, limit = dims * rows, 0, None
         look = total // _LOOKS
-        possible = np.flatnonzero(others)
+        possible = np.flatnonzero(self.ids != query_id)
         for place, segment in enumerate(order.tolist()):
-            sums[self.postings[begin[segment] : end[segment]]] += adds[segment]
+            np.add.at(sums, self.postings[begin[segment] : end[segment]], adds[segment])
             read += end[segment] - begin[segment]
             if read < look or place + 1 == len(order):
                 continue
             following = int(impact[order[place + 1]])
-            met = sums & ((1 << bits) - 1)
-            most = (sums >> bits) + (dims - met) * following
-            limit = self._limit(most, others, query, k, limit)
-            possible = np.flatnonzero(others if limit is None else others & (most >= limit))
+            # Bounds only fall and the limit only rises, so rows that are out stay out.
+            seen = sums[possible]
+            most = (seen >> bits) + (dims - (seen & ((1 << bits) - 1))) * following
+            limit = self._limit(most, possible, query, k, limit)
+            if limit is not None:
+                possible = possible[most >= limit]
             if len(possible) * self.dim <= total - read:
                 break
             look = read + total // _LOOKS
-        ids, scores = self._best(possible, query, k)
+        ids, scores = self._best(possible, query, k, limit)
         return ids, scores, read
 
-    def _limit(self, most: np.ndarray, others: np.ndarray, query: np.ndarray, k: int, limit: int | None) -> int | None:
+    def _limit(self, most: np.ndarray, possible: np.ndarray, query: np.ndarray, k: int, limit: int | None) -> int | None:
         """A score that ``k`` different ids reach for certain."""
         tried = min(len(most), 4 * k + 16)
-        likely = np.argpartition(most, len(most) - tried)[len(most) - tried :]
-        _, scores = self._best(likely[others[likely]], query, k)
+        likely = np.argpartition(most, len(most) - tried)[len(most) - tried :] if tried else []
+        _, scores = self._best(possible[likely], query, k)
         found = int(scores[-1]) if len(scores) == k else None
         return found if limit is None or (found is not None and found > limit) else limit
 
@@ -131,68 +144,87 @@ class Shard:
 # --- on Spark -----------------------------------------------------------------------
 
 
-def _numbers(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    table = table.combine_chunks()
-    dim = table["dim"][0].as_py()
-    return dim, table["vec_id"].to_numpy(), whole_numbers(table["vector"].combine_chunks().flatten(), len(table), dim)
+def _pack(batches):
+    """The components of each row as whole numbers: the lowest byte of each, then the second and so on, as the
+    upper ones are mostly the sign's and compress well."""
+    for batch in batches:
+        vectors = batch["vector"]
+        dims, values = vectors.value_lengths().to_numpy(), vectors.flatten().to_numpy()
+        for dim in np.unique(dims).tolist():
+            own = dims == dim
+            numbers = whole_numbers(values[np.repeat(own, dims)].reshape(int(own.sum()), dim))
+            raw = numbers.view(np.uint8).reshape(len(numbers), dim, 4).transpose(0, 2, 1).tobytes()
+            ends = np.arange(len(numbers) + 1, dtype=np.int32) * (4 * dim)
+            packed = pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            ids = batch["vec_id"].filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.full(len(ids), dim, np.int32)), packed], names=["vec_id", "dim", "vector"]
+            )
 
 
-def _row(kinds: str, *values) -> pa.Table:
-    types = {"int": pa.int32(), "binary": pa.binary()}
-    names = [x.split() for x in kinds.split(", ")]
-    return pa.table({n: pa.array([v], types[t]) for (n, t), v in zip(names, values, strict=True)})
+def _numbers(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and whole numbers of rows of one length."""
+    raw = np.frombuffer(b"".join(batch["vector"].to_pylist()), np.uint8).reshape(len(batch), 4, dim)
+    by_place = np.ascontiguousarray(raw.transpose(0, 2, 1))
+    return batch["vec_id"].to_numpy(), by_place.view(np.int32).reshape(len(batch), dim)
 
 
-def _build_shard(table: pa.Table) -> pa.Table:
-    dim, ids, vectors = _numbers(table)
-    order = np.lexsort((*vectors.T[::-1], ids))
-    made = Shard.build(ids[order], vectors[order])
-    arrays = (made.ids, made.vectors.astype(np.int32), made.postings.astype(np.int32), made.starts)
-    return _row(_SHARD, dim, table["shard"][0].as_py(), *[x.tobytes() for x in arrays])
+def _runs(batch: pa.RecordBatch):
+    """Neighbouring rows of a batch with the same ``task``, ``dim`` and ``asked``, with these."""
+    keys = np.stack([batch[c].to_numpy() for c in ("task", "dim", "asked")])
+    first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0))[: len(batch)])
+    ends = np.append(first[1:], len(batch))[: len(first)]
+    for begin, end in zip(first.tolist(), ends.tolist(), strict=True):
+        yield keys[:, begin].tolist(), batch.slice(begin, end - begin)
 
 
-def _pack_block(table: pa.Table) -> pa.Table:
-    dim, ids, vectors = _numbers(table)
-    return _row(_BLOCK, dim, table["block"][0].as_py(), ids.tobytes(), vectors.tobytes())
+def _search(k: int, block: int = BLOCK_QUERIES):
+    """For rows ordered by ``task``, ``dim`` and ``asked``: a shard's rows, and then its queries."""
 
-
-def _load(row: dict) -> Shard:
-    ids = np.frombuffer(row["ids"], np.int64)
-    vectors, postings = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("vectors", "postings"))
-    return Shard(ids, vectors.reshape(len(ids), row["dim"]), postings, np.frombuffer(row["starts"], np.int64))
-
-
-def _search(k: int):
     def run(batches):
+        current, held, shard = None, [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                shard = _load(row)
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), row["dim"])
-                found = [shard.search(i, q, k)[:2] for i, q in zip(query_ids.tolist(), queries, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(query_ids, [len(x) for x, _ in found])),
-                        pa.array(np.concatenate([x for x, _ in found])),
-                        pa.array(np.concatenate([s for _, s in found])),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+            for (task, dim, asked), rows in _runs(batch):
+                if current != (task, dim):
+                    current, held, shard = (task, dim), [], None
+                if not asked:
+                    held.append(_numbers(rows, dim))
+                    continue
+                if held:
+                    ids, vectors = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
+                    shard = Shard.build(ids, vectors)
+                for begin in range(0, len(rows) if shard else 0, block):
+                    yield _answers(shard, *_numbers(rows.slice(begin, block), dim), k)
 
     return run
 
 
+def _answers(shard: Shard, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    found = [shard.search(i, q, k)[:2] for i, q in zip(query_ids.tolist(), queries.astype(np.int64), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.repeat(query_ids, [len(x) for x, _ in found])),
+            pa.array(np.concatenate([x for x, _ in found])),
+            pa.array(np.concatenate([s for _, s in found])),
+        ],
+        names=["query_id", "vec_id", "score"],
+    )
+
+
 def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """Different pairs of id and vector that take part, with their ``dim``."""
+    """Different pairs of id and whole numbers that take part, with their ``dim``."""
     fine = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     own = own.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & fine)
-    return own.withColumn("dim", F.size("vector")).distinct()
+    return own.mapInArrow(_pack, _WHOLE).distinct()
 
 
-def _dealt(rows: DataFrame, to: str, count: int) -> DataFrame:
-    number = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(count)).cast("int")
-    return rows.withColumn(to, number).groupBy("dim", to)
+def _layout(rows: int, components: int, queries: int, cores: int) -> tuple[int, int]:
+    """Number of shards, and of tasks over which the queries of a shard are spread."""
+    shards = max(rows, components // SHARD_DIM) // SHARD_ROWS + 1
+    wanted = max(-(-_CORE_TASKS * cores // shards), queries // SHARD_ROWS + 1)
+    return shards, min(wanted, queries // (BLOCK_QUERIES * TASK_BLOCKS) + 1)
 
 
 def largest_products(
@@ -203,20 +235,19 @@ def largest_products(
     folder = scratch_dir(spark)
     rows = stored(_usable(vectors, vec_id, vector), f"{folder}/vectors")
     asked = stored(_usable(queries, vec_id, vector), f"{folder}/queries")
-    count = rows.count()
-    shards = count // SHARD_ROWS + 1
-    index = stored(_dealt(rows, "shard", shards).applyInArrow(_build_shard, _SHARD), f"{folder}/index")
-    blocks = asked.count() // BLOCK_QUERIES + 1
-    packed = _dealt(asked, "block", blocks).applyInArrow(_pack_block, _BLOCK)
-    # A task has one shard and up to TASK_BLOCKS blocks: the shard is copied once for each task.
-    tasks = blocks // TASK_BLOCKS + 1
-    there = index.select("dim", "shard")
-    sent = packed.join(there, "dim").withColumn("task", F.pmod("block", F.lit(tasks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")
-    key = ("dim", "shard", "task")
-    parts = 2 * shards * tasks
-    left, right = index.select("*", every).repartition(parts, *key), sent.repartition(parts, *key)
-    found = left.hint("merge").join(right, list(key)).mapInArrow(_search(k), _FOUND)
+    count, components = rows.agg(F.count("dim"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    shards, parts = _layout(count, components, asked.count(), spark.sparkContext.defaultParallelism)
+
+    number = F.xxhash64("vec_id", "vector")
+    # Task shard * parts + part: a row goes to all parts of its shard, a query to its part of all shards.
+    shard, part = (F.pmod(number, F.lit(shards)) * parts).cast("int"), F.pmod(number, F.lit(parts)).cast("int")
+    of_row = F.sequence(shard, shard + F.lit(parts - 1))
+    of_query = F.sequence(part, part + F.lit((shards - 1) * parts), F.lit(parts))
+    dealt = rows.select("*", F.lit(0).alias("asked"), F.explode(of_row).alias("task"))
+    dealt = dealt.unionByName(asked.select("*", F.lit(1).alias("asked"), F.explode(of_query).alias("task")))
+    dealt = dealt.repartitionById(shards * parts, "task").sortWithinPartitions("task", "dim", "asked")
+    # All answers to a query meet once, for its ids and for the ranks.
+    found = dealt.mapInArrow(_search(k, BLOCK_QUERIES), _FOUND).repartition("query_id")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -2,6 +2,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from costlens.llm import impact
@@ -109,3 +110,70 @@ def test_segments_hold_each_row_once_in_each_dimension():
         assert sorted(shard.postings[d * 100 : d * 100 + 100]) == list(range(100))
     assert (shard.high >= shard.low).all() and (np.diff(shard.starts) > 0).all()
     assert (shard.of_dim == 2).sum() == 1
+
+
+def test_what_is_moved_are_single_vectors(frame, monkeypatch):
+    """Packed shards, copied for every 256 queries, took the executors' memory."""
+    written, stored = [], impact.stored
+    monkeypatch.setattr(impact, "stored", lambda df, path: written.append(stored(df, path)) or written[-1])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(8, 600, 6))]
+    assert found(frame(rows)) == brute(rows, lambda i: i % 5 == 0, 5)
+    for df in written:
+        for name in (c for c, kind in df.dtypes if kind == "binary"):
+            assert df.selectExpr(f"max(octet_length({name}))").first()[0] == 4 * 6
+
+
+def test_a_task_holds_one_shard_and_a_batch_of_rows():
+    numbers = {d: np.floor(256 * vectors(9 + d, 120, d)).astype(np.int32) for d in (3, 5)}
+
+    def batch(task, dim, asked, ids):
+        packed = numbers[dim].view(np.uint8).reshape(-1, dim, 4).transpose(0, 2, 1)
+        columns = [[i for i in ids], [dim] * len(ids), [packed[i].tobytes() for i in ids]]
+        columns += [[asked] * len(ids), [task] * len(ids)]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+        names = ["vec_id", "dim", "vector", "asked", "task"]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    taken = []
+
+    def batches():
+        yield batch(0, 3, 1, range(20))  # queries that no row meets
+        for task, dim in ((1, 3), (1, 5), (2, 3)):
+            parts = [batch(task, dim, 0, range(a, a + 30)) for a in (0, 30, 60, 90)]
+            parts += [batch(task, dim, 1, range(a, a + 10)) for a in (0, 10, 20)]
+            yield from (pa.Table.from_batches(parts[:5]).combine_chunks().to_batches() if task == 2 else parts[:5])
+            for part in parts[5:]:
+                taken.append((task, dim))
+                yield part
+
+    got, ahead = [], []
+    for answer in impact._search(4, block=7)(batches()):
+        got += zip(*(answer[c].to_pylist() for c in ("query_id", "vec_id", "score")), strict=True)
+        ahead.append((len(got), len(taken)))
+    assert len(taken) == 6 and all(at >= 4 * (20 + 10 * n - 20) for at, n in ahead)
+    want = []
+    for dim in (3, 5, 3):
+        scores = numbers[dim].astype(np.int64) @ numbers[dim].T.astype(np.int64)
+        for i in range(30):
+            want += [(i, j, s) for s, j in sorted((-int(scores[i, j]), j) for j in range(120) if j != i)[:4]]
+    assert got == [(i, j, -s) for i, j, s in want]
+
+
+def test_copies_stay_in_proportion_and_long_vectors_make_small_shards():
+    assert impact._layout(1000, 64_000, 20, 6) == (1, 1)
+    for rows in (10**5, 10**6, 10**7, 10**8):
+        shards, parts = impact._layout(rows, 64 * rows, rows // 50, 6)
+        assert rows / shards <= impact.SHARD_ROWS
+        assert rows * parts <= 24 * impact.SHARD_ROWS + rows + shards * rows // 50
+        assert shards * parts >= 24 or parts == rows // 50 // 256 + 1
+    shards, _ = impact._layout(10**6, 1536 * 10**6, 20_000, 6)
+    assert 1536 * 10**6 / shards <= impact.SHARD_ROWS * impact.SHARD_DIM
+
+
+def test_queries_are_spread_over_tasks(frame, monkeypatch):
+    monkeypatch.setattr(impact, "SHARD_ROWS", 90)
+    monkeypatch.setattr(impact, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(impact, "TASK_BLOCKS", 1)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(13, 200, 7))] + [(i, [1.0, i / 9]) for i in range(40)]
+    assert impact._layout(240, 1480, 48, 4) == (3, 6)
+    assert found(frame(rows)) == brute(rows, lambda i: i % 5 == 0, 5)
