@@ -17,9 +17,8 @@ All that is moved are single vectors, never a packed shard. A task gets the rows
 shard, orders them into its index and lets its queries run through, some at a time; it holds
 one shard and one batch of rows, however many rows and queries there are. The shards' answers
 are merged. A shard is as large as a task holds well, in rows and in components: the more
-rows it has, the sooner its limit rules rows out. A shard's queries are spread over several
-tasks where there are few shards, and where they outnumber its rows, so that copies of rows
-stay in proportion to copies of queries. Results do not depend on any of this.
+rows it has, the sooner its limit rules rows out. Where there are few shards, the queries of
+each are spread over several tasks. Results do not depend on any of this.
 
 Defined results: vectors that are null or hold null or non-finite components take no
 part, nor do null ids; zero vectors do. Vectors meet those of their own length only. An
@@ -223,7 +222,7 @@ def _usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def _layout(rows: int, components: int, queries: int, cores: int) -> tuple[int, int]:
     """Number of shards, and of tasks over which the queries of a shard are spread."""
     shards = max(rows, components // SHARD_DIM) // SHARD_ROWS + 1
-    wanted = max(-(-_CORE_TASKS * cores // shards), queries // SHARD_ROWS + 1)
+    wanted = -(-_CORE_TASKS * cores // shards)
     return shards, min(wanted, queries // (BLOCK_QUERIES * TASK_BLOCKS) + 1)
 
 
@@ -246,8 +245,7 @@ def largest_products(
     dealt = rows.select("*", F.lit(0).alias("asked"), F.explode(of_row).alias("task"))
     dealt = dealt.unionByName(asked.select("*", F.lit(1).alias("asked"), F.explode(of_query).alias("task")))
     dealt = dealt.repartitionById(shards * parts, "task").sortWithinPartitions("task", "dim", "asked")
-    # All answers to a query meet once, for its ids and for the ranks.
-    found = dealt.mapInArrow(_search(k, BLOCK_QUERIES), _FOUND).repartition("query_id")
+    found = dealt.mapInArrow(_search(k, BLOCK_QUERIES), _FOUND)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
